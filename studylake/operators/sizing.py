@@ -1,0 +1,26 @@
+"""Checked sizes: what may go to the driver or to every executor, and what may not."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+# Most rows, and most characters in them, that may be broadcast or become columns of a table.
+MAX_ROWS = 10_000
+MAX_CHARS = 8_000_000
+
+
+def bounded_rows(df: DataFrame, max_rows: int = MAX_ROWS) -> list[Row] | None:
+    """Rows of a small frame, or None once it exceeds the bound. Never reads more than the bound allows."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows or sum(len(str(v)) for row in rows for v in row) > MAX_CHARS:
+        return None
+    return rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A broadcast copy when the size check passes; otherwise the frame itself, to be joined by shuffle."""
+    rows = bounded_rows(df, max_rows)
+    if rows is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
