@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters a name may start with and consist of.
@@ -38,3 +38,11 @@ def dataset_name(study: Column, asset: Column, major: Column, minor: Column, pat
     return F.concat(
         legal_name(study, strict=True), F.lit("."), legal_name(asset, strict=True), version_suffix(major, minor, patch)
     )
+
+
+def name_collisions(df: DataFrame, column: str, strict: bool = True) -> DataFrame:
+    """Legal names that several different names became: `legal, n_names`."""
+    return (
+        df.select(column).distinct().groupBy(legal_name(F.col(column), strict).alias("legal"))
+        .agg(F.count(F.lit(1)).alias("n_names")).where("n_names > 1")
+    )

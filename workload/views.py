@@ -65,7 +65,7 @@ SELECT CONCAT('f', CAST(CASE WHEN p_partkey % 10 = 9 THEN p_partkey - 1 ELSE p_p
 FROM part"""
 
 VIEWS["choices"] = """
-SELECT doc_id AS field_id, CONCAT('1, ', lang, ' | 2, ', source, ' | a = ', CAST(n_chars AS STRING), ' | 3, ', SUBSTR(text, 1, 40)) AS choices
+SELECT doc_id AS field_id, CONCAT('1, ', lang, ' | 2, ', source, ' | a = ', CAST(n_chars AS STRING), ' | 3, ', text) AS choices
 FROM documents"""
 
 VIEWS["known_variables"] = """
@@ -218,7 +218,7 @@ FROM documents"""
 VIEWS["names"] = """
 SELECT url AS name FROM pages UNION SELECT p_name FROM part UNION SELECT c_name FROM customer
 UNION SELECT CONCAT(' ', CAST(n_chars AS STRING), ' ', lang, '--', source, ' ') FROM documents
-UNION SELECT CONCAT('XML', source, '.', lang) FROM documents UNION SELECT SUBSTR(text, 1, 30) FROM conversations"""
+UNION SELECT CONCAT('XML', source, '.', lang) FROM documents UNION SELECT text FROM conversations"""
 VIEWS["relations"] = """
 SELECT user_id AS entity_instance_id_1, event_type AS kind, CAST(MIN(ts) AS DATE) AS valid_from, CAST(MAX(ts) AS DATE) AS valid_to
 FROM events GROUP BY user_id, event_type"""
