@@ -58,31 +58,38 @@ FLAVOURS = (*TYPE_NAMES, "sqlite")
 
 def map_type(data_type: Column, flavour: str) -> Column:
     """Value type id of a declared type, by the rules of one flavour."""
-    declared = F.lower(data_type)
-    if flavour == "sqlite":
-        return (
-            F.when(declared.rlike("int"), VT.INTEGER)
-            .when(declared.rlike("real|floa|doub"), VT.FLOAT)
-            .when(declared.rlike("datetime|timestamp"), VT.DATETIME)
-            .when(declared == "date", VT.DATE)
-            .when(declared == "time", VT.TIME)
-            .otherwise(VT.STRING)
-        )
-    names = TYPE_NAMES[flavour]
-    if flavour == "mssql":
-        declared = F.regexp_replace(declared, r"\s*\([^)]*\)\s*$", "")
-    rule = F.when(F.startswith(declared, F.lit("enum")), VT.CATEGORY) if flavour in ENUM_BY_NAME else F
-    rule = rule.when(declared.isin(names[VT.INTEGER]), VT.INTEGER)
-    rule = rule.when(declared.isin(names[VT.FLOAT]) | declared.rlike(SCALED_DECIMAL), VT.FLOAT)
-    for kind in (VT.DATETIME, VT.DATE, VT.TIME):
-        rule = rule.when(declared.isin(names[kind]), kind)
-    return rule.otherwise(VT.STRING)
+    return map_type_by_flavour(data_type, F.lit(flavour))
 
 
 def map_type_by_flavour(data_type: Column, flavour: Column) -> Column:
-    """The same for a column of flavours; unknown flavours follow the generic rules."""
-    rule = F
-    for name in FLAVOURS:
-        if name != "generic":
-            rule = rule.when(flavour == name, map_type(data_type, name))
-    return rule.otherwise(map_type(data_type, "generic"))
+    """The same for a column of flavours; unknown flavours follow the generic rules.
+
+    The names of all flavours go into one set per value type, keyed by flavour, so that the expression stays as
+    small as for one flavour.
+    """
+    declared = F.lower(data_type)
+    base = F.when(flavour == "mssql", F.regexp_replace(declared, r"\s*\([^)]*\)\s*$", "")).otherwise(declared)
+    rules = F.when(flavour.isin(*FLAVOURS), flavour).otherwise("generic")
+    key = F.concat(rules, F.lit(":"), base)
+
+    def named(kind: int) -> Column:
+        return key.isin([f"{name}:{text}" for name, kinds in TYPE_NAMES.items() for text in kinds[kind]])
+
+    affinity = (
+        F.when(F.contains(declared, F.lit("int")), VT.INTEGER)
+        .when(declared.rlike("real|floa|doub"), VT.FLOAT)
+        .when(declared.rlike("datetime|timestamp"), VT.DATETIME)
+        .when(declared == "date", VT.DATE)
+        .when(declared == "time", VT.TIME)
+        .otherwise(VT.STRING)
+    )
+    return (
+        F.when(flavour == "sqlite", affinity)
+        .when(flavour.isin(*ENUM_BY_NAME) & F.startswith(declared, F.lit("enum")), VT.CATEGORY)
+        .when(named(VT.INTEGER), VT.INTEGER)
+        .when(named(VT.FLOAT) | ((flavour != "mssql") & declared.rlike(SCALED_DECIMAL)), VT.FLOAT)
+        .when(named(VT.DATETIME), VT.DATETIME)
+        .when(named(VT.DATE), VT.DATE)
+        .when(named(VT.TIME), VT.TIME)
+        .otherwise(VT.STRING)
+    )

@@ -318,7 +318,7 @@ def enum_items(columns: DataFrame, enums: DataFrame) -> DataFrame:
 
 # The shapes of CHECK texts that list values. The first group is the column, the second its values.
 # Postgres prints casts and extra parentheses around both, which the shapes allow for.
-_CHECKED = r'(\w+)"?\)*(?:::[a-z ]+(?:\(\d+\))?)?\)*\s*'
+_CHECKED = r'(\w+)["`\]]?\)*(?:::[a-z ]+(?:\(\d+\))?)?\)*\s*'
 VALUE_LIST = rf"(?i){_CHECKED}(?:=\s*ANY\s*\(+\s*ARRAY\[|\bIN\s*\()([^)\]]+)[)\]]"
 VALUE_EQUALS = rf"(?i){_CHECKED}=\s*'([^']*)'"
 SQLITE_LIST = r"(?i)CHECK\s*\(\s*(\w+)\s+IN\s*\(([^)]+)\)"
