@@ -31,7 +31,9 @@ class StudyLake:
     def commits(self) -> DataFrame:
         try:
             return self.spark.read.schema(COMMITS_SCHEMA).parquet(f"{self.root}/commits")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], COMMITS_SCHEMA)
 
     def locations(self) -> dict[str, str]:

@@ -45,13 +45,16 @@ def scan_eav_transcode(spark: SparkSession, path: str, charset: str = "iso8859-2
     return raw.select(*[decode(name) for name in raw.columns])
 
 
-def scan_dictionary_json(spark: SparkSession, path: str, forms: Sequence[str] | None = None) -> DataFrame:
+def scan_dictionary_json(
+    spark: SparkSession, path: str, forms: Sequence[str] | None = None, multi_line: bool = True
+) -> DataFrame:
     """Dictionary: JSON arrays of field objects, optionally of some forms only. Absent keys become NULL.
 
-    `ord` keeps the row order of the file.
+    `ord` keeps the row order of the file. With `multi_line=False` every line is an object or array of its own,
+    and large files are split.
     """
     rows = (
-        spark.read.schema(DICTIONARY_SCHEMA).option("multiLine", True).json(path)
+        spark.read.schema(DICTIONARY_SCHEMA).option("multiLine", multi_line).json(path)
         .withColumn("ord", F.monotonically_increasing_id())
     )
     return rows.where(F.col("form_name").isin(list(forms))) if forms else rows

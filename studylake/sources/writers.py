@@ -33,8 +33,10 @@ def _mode(replace: bool) -> str:
 
 
 def export_csv(df: DataFrame, path: str, replace: bool = False, compress: bool = False) -> None:
-    """CSV files with header; refuses to overwrite unless `replace`."""
-    writer = df.write.mode(_mode(replace)).options(header=True, escape='"')
+    """CSV files with header; refuses to overwrite unless `replace`. Blanks around values are kept."""
+    writer = df.write.mode(_mode(replace)).options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     (writer.option("compression", "gzip") if compress else writer).csv(path)
 
 
