@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from studylake import types as VT
 from studylake.functions.names import dataset_name
 from studylake.operators.ids import assign_ids, same_key
-from studylake.session import materialize
+from studylake.session import local_rows, materialize
 
 VERSION = ["major", "minor", "patch"]
 
@@ -223,40 +223,6 @@ def dataset_names(studies: DataFrame, assets: DataFrame, versions: DataFrame) ->
 
 # --- constraints ----------------------------------------------------------------------------------------------
 
-def duplicate_keys(table: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
-    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.lit(check).alias("violation"), _key_label(keys).alias("key"), "n"
-    )
-
-
-def orphans(table: DataFrame, key: str, parent: DataFrame, parent_key: str, check: str) -> DataFrame:
-    """Rows whose key has no parent, counted per key."""
-    used = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    parents = parent.select(F.col(parent_key).alias(key))
-    return used.join(parents, key, "left_anti").select(
-        F.lit(check).alias("violation"), _key_label([key]).alias("key"), "n"
-    )
-
-
-def several_latest(versions: DataFrame) -> DataFrame:
-    return versions.where("is_latest").groupBy("asset_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        F.lit("several latest versions").alias("violation"), _key_label(["asset_id"]).alias("key"), "n"
-    )
-
-
-def renumbered(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Versions whose number changed; numbers are fixed once a version exists."""
-    old = before.select("version_id", F.struct(*VERSION).alias("_old"))
-    changed = after.join(old, "version_id").where(~F.struct(*VERSION).eqNullSafe(F.col("_old")))
-    return changed.groupBy("version_id").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("version number changed").alias("violation"), _key_label(["version_id"]).alias("key"), "n"
-    )
-
-
-def _key_label(keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(key).cast("string"), F.lit("NULL")) for key in keys])
-
-
 # Natural keys, and references: table, column, parent table, parent column.
 UNIQUE_KEYS = {
     "studies": ["name"], "domains": ["name", "uri"], "study_domains": ["study_id", "domain_id"],
@@ -287,23 +253,66 @@ REFERENCES = [
 ]
 
 
-def constraint_violations(tables: Mapping[str, DataFrame], before_versions: DataFrame | None = None) -> DataFrame:
+def _used(table: DataFrame, check: str, keys: Sequence[str]) -> DataFrame:
+    """One row per use of a key that must not be used twice, or must exist elsewhere."""
+    return table.select(F.lit(check).alias("violation"), _key_label(keys).alias("key"), F.lit(1).alias("_used"), F.lit(0).alias("_known"))
+
+
+def _known(parent: DataFrame, check: str, key: str) -> DataFrame:
+    return parent.select(F.lit(check).alias("violation"), _key_label([key]).alias("key"), F.lit(0).alias("_used"), F.lit(1).alias("_known"))
+
+
+def _key_label(keys: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(key).cast("string"), F.lit("NULL")) for key in keys])
+
+
+def renumbered(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Versions whose number changed; numbers are fixed once a version exists."""
+    old = before.select("version_id", F.struct(*VERSION).alias("_old"))
+    changed = after.join(old, "version_id").where(~F.struct(*VERSION).eqNullSafe(F.col("_old")))
+    return changed.select(
+        F.lit("version number changed").alias("violation"), _key_label(["version_id"]).alias("key"), F.lit(1).cast("bigint").alias("n")
+    )
+
+
+def constraint_violations(
+    tables: Mapping[str, DataFrame], before_versions: DataFrame | None = None, changed: Sequence[str] | None = None
+) -> DataFrame:
     """Everything a database would have refused, as rows `violation, key, n`; empty when the state is sound.
 
-    Keys compare NULL as a value, so a domain name may stand once without a URI.
+    Keys compare NULL as a value, so a domain name may stand once without a URI. All checks share one grouping
+    by (check, key): a key used twice is a duplicate, a key used but known nowhere an orphan. Uses fold on the
+    map side, so neither the number of checks nor a hot key adds shuffles.
+
+    With `changed`, `tables` is a whole state: absent tables are empty, and only the checks a changed table takes
+    part in are made.
     """
-    reports = [
-        duplicate_keys(tables[name], keys, f"duplicate {name}") for name, keys in UNIQUE_KEYS.items() if name in tables
-    ]
-    reports += [
-        orphans(tables[name], key, tables[parent], parent_key, f"orphan {name}.{key}")
-        for name, key, parent, parent_key in REFERENCES if name in tables and parent in tables
+    def due(*names: str) -> bool:
+        return changed is None or any(name in changed for name in names)
+
+    rows = [
+        _used(tables[name], f"duplicate {name}", keys)
+        for name, keys in UNIQUE_KEYS.items() if name in tables and due(name)
     ]
-    if "asset_versions" in tables:
-        reports.append(several_latest(tables["asset_versions"]))
-        if before_versions is not None:
-            reports.append(renumbered(before_versions, tables["asset_versions"]))
-    return reduce(DataFrame.unionByName, reports)
+    for name, key, parent, parent_key in REFERENCES:
+        if name in tables and due(name, parent) and (parent in tables or changed is not None):
+            check = f"orphan {name}.{key}"
+            rows.append(_used(tables[name].where(F.col(key).isNotNull()), check, [key]))
+            if parent in tables:
+                rows.append(_known(tables[parent], check, parent_key))
+    if "asset_versions" in tables and due("asset_versions"):
+        rows.append(_used(tables["asset_versions"].where("is_latest"), "several latest versions", ["asset_id"]))
+    orphan = F.startswith(F.col("violation"), F.lit("orphan"))
+    none = [_used(df, "", df.columns[:1]).limit(0) for df in list(tables.values())[:1]]
+    refused = (
+        reduce(DataFrame.union, rows or none).groupBy("violation", "key")
+        .agg(F.sum("_used").alias("n"), F.sum("_known").alias("known"))
+        .where(F.when(orphan, (F.col("n") > 0) & (F.col("known") == 0)).otherwise(F.col("n") > 1))
+        .select("violation", "key", "n")
+    )
+    if before_versions is None or "asset_versions" not in tables or not due("asset_versions"):
+        return refused
+    return refused.unionByName(renumbered(before_versions, tables["asset_versions"]))
 
 
 # --- studies, assets, variables -------------------------------------------------------------------------------
@@ -433,11 +442,11 @@ def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_depth:
 # --- seeds ----------------------------------------------------------------------------------------------------
 
 def value_types(spark) -> DataFrame:
-    return spark.createDataFrame(VT.VALUE_TYPES, "value_type_id INT, value_type STRING, description STRING")
+    return local_rows(spark, VT.VALUE_TYPES, "value_type_id INT, value_type STRING, description STRING")
 
 
 def study_types(spark) -> DataFrame:
-    return spark.createDataFrame(VT.STUDY_TYPES, "study_type_id INT, name STRING")
+    return local_rows(spark, VT.STUDY_TYPES, "study_type_id INT, name STRING")
 
 
 def value_type_usage(variables: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions.values import cast_integer, typed_columns
 from studylake.operators.sizing import MAX_ROWS, bounded_rows, broadcast_if_small
+from studylake.session import local_rows
 from studylake.types import Variable
 
 RECORD = ("record",)
@@ -101,8 +102,8 @@ def _pivot_in_blocks(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]
     width = math.ceil(math.sqrt(len(fields)))
     blocks = math.ceil(len(fields) / width)
     # As many rows as the result has columns, so the broadcast is bounded by the table's own width.
-    places = rows.sparkSession.createDataFrame(
-        [(name, i // width, i % width) for i, name in enumerate(fields)], "field_name string, block int, place int"
+    places = local_rows(
+        rows.sparkSession, [(name, i // width, i % width) for i, name in enumerate(fields)], "field_name string, block int, place int"
     )
     in_blocks = (
         rows.join(F.broadcast(places), "field_name", "left")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from studylake import types as VT
 from studylake.functions.sqltypes import map_type_by_flavour
+from studylake.session import local_rows
 from studylake.types import value_type_of
 
 TABLE = ["flavour", "schema_name", "table_name"]
@@ -156,7 +157,7 @@ def small_keyed_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
                     ).where("n = values AND n > 0").select("table_name", "column_name", "n")
                 )
     if not checks:
-        return spark.createDataFrame([], "table_name string, column_name string, n bigint")
+        return local_rows(spark, [], "table_name string, column_name string, n bigint")
     return reduce(DataFrame.unionByName, checks)
 
 
@@ -259,7 +260,7 @@ def inclusion_keys(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFram
         )
         reports.append(measured.select(F.inline(found)).where("holds").drop("holds"))
     if not reports:
-        return spark.createDataFrame([], "table_name string, column_name string, ref_table string, ref_column string")
+        return local_rows(spark, [], "table_name string, column_name string, ref_table string, ref_column string")
     return reduce(DataFrame.unionByName, reports)
 
 
@@ -290,8 +291,8 @@ def code_table_items(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFr
                 )
             )
     if not parts:
-        return spark.createDataFrame(
-            [], "table_name string, column_name string, value bigint, code string, description string"
+        return local_rows(
+            spark, [], "table_name string, column_name string, value bigint, code string, description string"
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -463,8 +464,8 @@ def snapshot(tables: Mapping[str, DataFrame], flavour: str = "spark", schema: st
         (flavour, schema, name, i + 1, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("comment"))
         for name, df in tables.items() for i, f in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(
-        rows,
+    return local_rows(
+        spark, rows,
         "flavour string, schema_name string, table_name string, ordinal int, column_name string, "
         "data_type string, is_nullable boolean, comment string",
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from studylake.session import local_rows
+
 # Most rows, and most characters in them, that may be broadcast or become columns of a table.
 MAX_ROWS = 10_000
 MAX_CHARS = 8_000_000
@@ -23,4 +25,4 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     rows = bounded_rows(df, max_rows)
     if rows is None:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(local_rows(df.sparkSession, rows, df.schema))

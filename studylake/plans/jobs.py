@@ -16,6 +16,7 @@ from studylake.operators.ids import assign_ids
 from studylake.operators.profile import declared_variables
 from studylake.operators.reconcile import void_to_string
 from studylake.plans.store import StudyLake
+from studylake.session import local_rows
 from studylake.sources import files as lake_files
 from studylake.sources.readers import read_query, scan_eav_csv
 from studylake.sources.writers import conform, table_schema
@@ -23,22 +24,22 @@ from studylake.types import Variable
 
 
 def _now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)
 
 
 def _one(df: DataFrame, like: DataFrame, **values: Any) -> DataFrame:
     """A one-row frame shaped like a catalog table."""
     row = tuple(values.get(name) for name in like.columns)
-    return df.sparkSession.createDataFrame([row], like.schema)
+    return local_rows(df.sparkSession, [row], like.schema)
 
 
 def register_study(lake: StudyLake, name: str, study_type_id: int, domains: Sequence[str]) -> None:
     """Create or update a study, its domains, and the links between them."""
     spark, state = lake.spark, lake.catalog()
-    incoming = spark.createDataFrame([(name, study_type_id, 0)], "name string, study_type_id int, ord int")
+    incoming = local_rows(spark, [(name, study_type_id, 0)], "name string, study_type_id int, ord int")
     studies = catalog.upsert_by_key(state["studies"], incoming, ["name"], "study_id", ["study_type_id"], "ord")
-    named = spark.createDataFrame(
-        [(d, None, i) for i, d in enumerate(domains)], "name string, uri string, ord int"
+    named = local_rows(
+        spark, [(d, None, i) for i, d in enumerate(domains)], "name string, uri string, ord int"
     ).withColumn("description", F.lit(None).cast("string"))
     known = catalog.insert_if_absent(state["domains"], named, ["name", "uri"], "domain_id", ["description"], "ord")
     links = studies.where(F.col("name") == name).select("study_id", F.lit(1).alias("_j")).join(
@@ -82,7 +83,7 @@ def _add_version(
         raise ValueError(f"asset {name!r} is a {asset.asset_type}")
     else:
         asset_id = asset.asset_id
-    request = lake.spark.createDataFrame([(asset_id, bump)], "asset_id bigint, bump string")
+    request = local_rows(lake.spark, [(asset_id, bump)], "asset_id bigint, bump string")
     row = catalog.next_versions(request, versions).first()
     number = explicit or (row.major, row.minor, row.patch)
     version_id = (versions.agg(F.max("version_id")).first()[0] or 0) + 1
@@ -117,8 +118,8 @@ def _publish(
     edges = "transformation_id bigint, version_id bigint"
     recorded = catalog.record_provenance(
         state, done,
-        spark.createDataFrame([] if input_version is None else [(number, input_version)], edges),
-        spark.createDataFrame([(number, version_id)], edges),
+        local_rows(spark, [] if input_version is None else [(number, input_version)], edges),
+        local_rows(spark, [(number, version_id)], edges),
     )
     lake.commit({"assets": state["assets"], "asset_versions": versions, **recorded, **(extra or {})})
 
@@ -162,7 +163,7 @@ def ingest_files(
         description=f"Ingested files below {path} into study {study}", date_created=_now(), **(provenance or {}),
     )
     recorded = catalog.record_provenance(
-        state, done, spark.createDataFrame([], state["transformation_inputs"].schema),
+        state, done, local_rows(spark, [], state["transformation_inputs"].schema),
         numbered.select(F.lit(transformation).cast("bigint").alias("transformation_id"), "version_id"),
     )
     lake.commit({"assets": assets, "asset_versions": versions, "datafiles": data, **recorded})
@@ -250,8 +251,8 @@ def query_to_dataset(
         raise ValueError(f"dataset {name!r} exists in study {study!r}: pass replace=True for a new version")
 
     result = void_to_string(read_query(spark, sql, jdbc, partition))
-    declared = spark.createDataFrame(
-        [(n, k, c, i) for i, (n, k, c) in enumerate(declared_variables(result))],
+    declared = local_rows(
+        spark, [(n, k, c, i) for i, (n, k, c) in enumerate(declared_variables(result))],
         "name string, value_type_id int, description string, ord int",
     ).withColumn("domain_id", F.lit(domain_id).cast("bigint"))
     state, _, version_id, number = _add_version(lake, study_id, name, "dataset", f"Query dataset {name}", explicit=new_version)

@@ -13,9 +13,11 @@ from collections.abc import Mapping
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studylake.functions.names import dataset_name
 from studylake.operators import catalog
+from studylake.session import local_rows
 from studylake.types import CATALOG_SCHEMAS
 
 COMMITS_SCHEMA = "commit_no BIGINT, table_name STRING, location STRING"
@@ -34,7 +36,7 @@ class StudyLake:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], COMMITS_SCHEMA)
+            return local_rows(self.spark, [], COMMITS_SCHEMA)
 
     def locations(self) -> dict[str, str]:
         """Current path of each catalog table; there are as many as the data model has tables."""
@@ -45,7 +47,7 @@ class StudyLake:
         schema = CATALOG_SCHEMAS[name]
         location = (self.locations() if locations is None else locations).get(name)
         if location is None:
-            return self.spark.createDataFrame([], schema)
+            return local_rows(self.spark, [], schema)
         return self.spark.read.schema(schema).parquet(location)
 
     def catalog(self) -> dict[str, DataFrame]:
@@ -54,22 +56,24 @@ class StudyLake:
 
     def commit(self, changes: Mapping[str, DataFrame]) -> None:
         """Write changed catalog tables, check the resulting state, then publish it in one append."""
-        state = self.catalog()
-        before = state["asset_versions"]
+        locations = self.locations()
+        state = {name: self.table(name, locations) for name in locations}
+        before = state.get("asset_versions")
         attempt = uuid.uuid4().hex
         written = {}
         for name, df in changes.items():
             location = f"{self.root}/catalog/{name}/{attempt}"
-            schema = self.spark.createDataFrame([], CATALOG_SCHEMAS[name]).schema
+            schema = T.StructType.fromDDL(CATALOG_SCHEMAS[name])
             df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(location)
             written[name] = location
             state[name] = self.spark.read.schema(schema).parquet(location)
-        refused = catalog.constraint_violations(state, before).first()
+        refused = catalog.constraint_violations(state, before, list(changes)).first()
         if refused is not None:
             raise ValueError(f"refused commit: {refused.violation} ({refused.key}, {refused.n} rows)")
         number = (self.commits().agg(F.max("commit_no")).first()[0] or 0) + 1
         rows = [(number, name, location) for name, location in written.items()]
-        self.spark.createDataFrame(rows, COMMITS_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        published = local_rows(self.spark, rows, COMMITS_SCHEMA).coalesce(1)
+        published.write.mode("append").parquet(f"{self.root}/commits")
 
     def study_id(self, study: str) -> int:
         row = self.table("studies").where(F.col("name") == study).select("study_id").first()

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(cores: str = "*", app: str = "studylake", **conf: str) -> SparkSession:
@@ -46,3 +49,10 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_rows(spark: SparkSession, rows, schema: str | T.StructType) -> DataFrame:
+    """A few rows, or none, as a frame whose size Spark knows when it plans."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    table = pa.Table.from_pylist([dict(zip(fields.names, row)) for row in rows], schema=to_arrow_schema(fields))
+    return spark.createDataFrame(table, fields)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from studylake.plans.jobs import eav_to_dataset, load_query, query_to_dataset, register_study
 from studylake.plans.store import StudyLake
-from studylake.session import scratch_path
+from studylake.session import local_rows, scratch_path
 from studylake.sources import files, readers, writers
 from studylake.types import DATETIME, FLOAT, INTEGER, STRING, Variable
 from workload.dictionary_queries import legal_sql
@@ -119,7 +119,7 @@ EVENT_VARIABLES = [
 def _(x):
     path = scratch_path(x.spark, "table")
     schema = writers.table_schema(EVENT_VARIABLES)
-    x.spark.createDataFrame([], schema).write.parquet(path)
+    local_rows(x.spark, [], schema).write.parquet(path)
     writers.append_rows(x.events.select("value", "ts", "user_id", "event_type"), x.spark.read.schema(schema).parquet(path), path)
     return x.spark.read.schema(schema).parquet(path)
 
@@ -172,8 +172,8 @@ def _lake(x) -> StudyLake:
     lake = StudyLake(x.spark, scratch_path(x.spark, "lake"))
     register_study(lake, "Customer study", 3, ["customers"])
     rows = [(i + 1, 1, v.name, v.value_type_id, v.value_format) for i, v in enumerate(EAV_VARIABLES)]
-    variables = x.spark.createDataFrame(
-        rows, "variable_id bigint, domain_id bigint, name string, value_type_id int, value_format string"
+    variables = local_rows(
+        x.spark, rows, "variable_id bigint, domain_id bigint, name string, value_type_id int, value_format string"
     )
     empty = lake.table("variables")
     lake.commit({"variables": empty.unionByName(variables.withColumn("keyrole", F.lit("none")), allowMissingColumns=True)})
