@@ -24,6 +24,7 @@ from studylake.types import Variable
 RECORD = ("record",)
 # Beyond this many columns the pivot goes through blocks of columns.
 PLAIN_PIVOT_COLUMNS = 128
+MARKER = "\u0001has other fields"
 
 
 def field_names(eav: DataFrame) -> DataFrame:
@@ -57,13 +58,17 @@ def _distinct_values(eav: DataFrame, keys: Sequence[str]) -> DataFrame:
     return eav.groupBy(*keys, "field_name", "value").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+JOINED = "listagg(repeated, ', ') WITHIN GROUP (ORDER BY value)"
+
+
+def _repeated(values: DataFrame) -> DataFrame:
+    """Each distinct value written out as often as it occurred."""
+    text = F.array_join(F.array_repeat("value", F.col("n")), ", ")
+    return values.withColumn("repeated", F.when(F.col("value").isNotNull(), text))
+
+
 def _join_distinct(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    repeated = F.when(F.col("value").isNotNull(), F.array_join(F.array_repeat("value", F.col("n")), ", "))
-    return (
-        values.withColumn("repeated", repeated)
-        .groupBy(*keys, "field_name")
-        .agg(F.expr("listagg(repeated, ', ') WITHIN GROUP (ORDER BY value)").alias("value"))
-    )
+    return _repeated(values).groupBy(*keys, "field_name").agg(F.expr(JOINED).alias("value"))
 
 
 def multi_agg(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
@@ -88,6 +93,8 @@ def column_names(eav: DataFrame) -> list[str]:
 
 def pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str] = RECORD) -> DataFrame:
     """One row per record, one column per field, first non-null value of each."""
+    if not fields:
+        return rows.select(*keys).distinct()
     if len(fields) <= PLAIN_PIVOT_COLUMNS:
         return rows.groupBy(*keys).pivot("field_name", list(fields)).agg(F.any_value("value", True))
     return _pivot_in_blocks(rows, fields, keys)
@@ -124,18 +131,16 @@ def wide_raw(
 ) -> DataFrame:
     """Whole pipeline without typing. Two shuffles: distinct values, then by record.
 
-    With `fields` given the discovery job is skipped and other fields are dropped before the shuffle; records
-    stay even if none of their fields is kept. `ordered` adds a global sort for presentation.
+    With `fields` given the discovery job is skipped and the values of other fields are dropped before the
+    shuffle; records stay even if none of their fields is kept. `ordered` adds a global sort for presentation.
     """
     if fields is None:
         fields = column_names(eav)
-    kept = eav.select(*keys, "field_name", "value")
-    if len(fields) <= PLAIN_PIVOT_COLUMNS:
-        # Rows of other fields only keep their record alive: one row per record is enough for that.
-        known = F.col("field_name").isin(list(fields))
-        kept = kept.select(
-            *keys, F.when(known, F.col("field_name")).alias("field_name"), F.when(known, F.col("value")).alias("value")
-        )
+    # Rows of other fields only keep their record alive: they fold to one row per record.
+    known = F.col("field_name").isin(list(fields))
+    kept = eav.select(
+        *keys, F.when(known, F.col("field_name")).alias("field_name"), F.when(known, F.col("value")).alias("value")
+    )
     values = _distinct_values(kept, keys).repartition(*keys)
     wide = pivot(_join_distinct(values, keys), fields, keys)
     return wide.orderBy(*keys) if ordered else wide
@@ -196,18 +201,21 @@ def flat_named_multi(eav: DataFrame, multi: Sequence[str], fields: Sequence[str]
     """
     if fields is None:
         fields = [name for name in column_names(eav) if name not in set(multi)]
-    values = _distinct_values(eav, RECORD).repartition("record")
     is_multi = F.coalesce(F.col("field_name").isin(list(multi)), F.lit(False))
-    per_field = _join_distinct_or_min(values, is_multi)
-    wide = pivot(per_field, [*fields, *multi])
-    others = per_field.where(~is_multi).select("record").distinct()
-    return wide.join(others, "record", "left_semi").select(*[_quoted(name) for name in [*fields, *multi]])
-
-
-def _join_distinct_or_min(values: DataFrame, is_multi: Column) -> DataFrame:
-    joined = _join_distinct(values.where(is_multi), RECORD)
-    rest = values.where(~is_multi).groupBy("record", "field_name").agg(F.min("value").alias("value"))
-    return rest.unionByName(joined)
+    values = _repeated(_distinct_values(eav, RECORD).repartition("record"))
+    per_field = values.groupBy("record", "field_name").agg(F.expr(JOINED).alias("joined"), F.min("value").alias("least"))
+    # A marker field tells which records have some field that is not named.
+    marked = per_field.select(
+        "record",
+        F.inline(
+            F.array(
+                F.struct("field_name", F.when(is_multi, F.col("joined")).otherwise(F.col("least")).alias("value")),
+                F.struct(F.lit(MARKER).alias("field_name"), F.when(~is_multi, "1").alias("value")),
+            )
+        ),
+    )
+    wide = pivot(marked, [*fields, *multi, MARKER])
+    return wide.where(_quoted(MARKER).isNotNull()).select(*[_quoted(name) for name in [*fields, *multi]])
 
 
 def partial_typed(wide: DataFrame, casts: Sequence[Variable]) -> DataFrame:

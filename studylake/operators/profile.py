@@ -245,7 +245,7 @@ def inclusion_keys(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFram
             continue
         measured = df.agg(
             *[
-                ((F.count(F.col(own)) > 0) & (F.count_if(~F.col(own).isin(values)) == 0)).alias(f"r{i}")
+                ((F.count(F.col(own)) > 0) & (F.count_if(_outside(own, values)) == 0)).alias(f"r{i}")
                 for i, (own, _, _, values) in enumerate(candidates)
             ]
         )
@@ -264,6 +264,11 @@ def inclusion_keys(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFram
     return reduce(DataFrame.unionByName, reports)
 
 
+def _outside(column: str, values: Sequence[int]) -> Column:
+    """Test for integers that are not among `values`, as one parsed list rather than a call per value."""
+    return F.expr(f"`{column}` NOT IN ({', '.join(str(int(value)) for value in values)})")
+
+
 def describe_code_table(df: DataFrame, key: str) -> tuple[str, str | None] | None:
     """Code and description column of one table by the same rule, None without a text column."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name != key]
