@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ EDAM_FORMATS = {
 
 
 def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """`storage_uri, file_name, extension, length, digest` of every file below `path`."""
+    """`storage_uri, file_name, extension, length, digest` of every file below `path` that is not empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.where(F.col("length") <= cell_bytes).select("path", "length", F.sha2("content", 256).alias("digest"))
     large = files.where(F.col("length") > cell_bytes).select("path", "length")
@@ -45,7 +46,7 @@ def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for uri in batch["path"]:
-            filesystem, location = fs.FileSystem.from_uri(uri)
+            filesystem, location = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
             digest = hashlib.sha256()
             with filesystem.open_input_stream(location) as stream:
                 while chunk := stream.read(CHUNK):
