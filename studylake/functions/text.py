@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Unicode sees it (separators of class Z and the control blanks).
+# White space as Unicode sees it (separators of class Z and the control blanks), as characters to
+# trim and as a pattern.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"[\x09-\x0D\x85\p{Z}]"
-TRIM = rf"^{BLANK}+|{BLANK}+\z"
 
 # Markup that is dropped, and the entities that are decoded. `&amp;` comes last so that the text
 # it uncovers is not decoded a second time.
@@ -15,15 +16,16 @@ DROPPED_BLOCKS = r"(?s)<script.*?</script>|<style.*?</style>"
 TAG = r"<[^>]+>"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
-# Fixed values: "id, label" and "id = label"; a label never spans lines.
-COMMA_CHOICE = rf"^([^,]+?){BLANK}*,{BLANK}*([^\n]+)\z"
-EQUALS_CHOICE = rf"^([^=]+?){BLANK}*={BLANK}*([^\n]+)\z"
-
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def trim_blank(text: Column) -> Column:
-    return F.regexp_replace(text, TRIM, "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _let(value: Column, use) -> Column:
+    """Evaluate `value` once and use it in several places of an expression."""
+    return F.transform(F.array(value), use)[0]
 
 
 def strip_markup(text: Column) -> Column:
@@ -36,20 +38,22 @@ def strip_markup(text: Column) -> Column:
 
 
 def _labelled(part: Column) -> Column:
-    """One trimmed choice -> its id and label; a choice that does not split is both."""
-    def split_by(pattern: str) -> Column:
-        choice_id = F.regexp_extract(part, pattern, 1)
-        matched = choice_id != ""
-        return F.struct(
-            F.when(matched, choice_id).otherwise(part).alias("id"),
-            F.when(matched, trim_blank(F.regexp_extract(part, pattern, 2))).otherwise(part).alias("label"),
-        )
+    """One trimmed choice -> its id and label.
 
-    return (
-        F.when(F.contains(part, F.lit(",")), split_by(COMMA_CHOICE))
-        .when(F.contains(part, F.lit("=")), split_by(EQUALS_CHOICE))
-        .otherwise(F.struct(part.alias("id"), part.alias("label")))
-    )
+    The text before the first comma, or else the first equals sign, is the id and the rest the label. Without
+    either sign, with nothing on one side of it, or with a label over several lines, the choice is both.
+    """
+    sign = F.when(F.contains(part, F.lit(",")), ",").when(F.contains(part, F.lit("=")), "=")
+    left = F.call_function("substring_index", part, sign, F.lit(1))
+    right = F.substr(part, F.length(left) + 2)
+    sides = F.struct(trim_blank(left).alias("id"), trim_blank(right).alias("label"))
+    whole = F.struct(part.alias("id"), part.alias("label"))
+
+    def checked(cut: Column) -> Column:
+        good = (cut["id"] != "") & (cut["label"] != "") & ~F.contains(cut["label"], F.lit("\n"))
+        return F.when(good, cut).otherwise(whole)
+
+    return F.when(sign.isNull(), whole).otherwise(_let(sides, checked))
 
 
 def split_choices(text: Column) -> Column:
@@ -75,21 +79,21 @@ def choice_items(text: Column) -> Column:
     Non-numeric ids are numbered 1, 2, 3 … among themselves. The numbering is done inside the array, so a
     dictionary needs no shuffle and no window to be turned into code lists.
     """
-    choices = split_choices(text)
-    numeric = F.filter(choices, lambda c: numeric_choice(c["id"]).isNotNull())
-    other = F.filter(choices, lambda c: numeric_choice(c["id"]).isNull())
+    def valued(c: Column) -> Column:
+        return F.struct(c["pos"], numeric_choice(c["id"]).alias("number"), c["id"], c["label"])
 
     def item(c: Column, value: Column, code: Column) -> Column:
         return F.struct(
             c["pos"].alias("pos"), value.alias("value"), code.alias("code"), c["label"].alias("description")
         )
 
-    return F.sort_array(
-        F.concat(
-            F.transform(
-                numeric,
-                lambda c: item(c, numeric_choice(c["id"]), F.regexp_replace(F.lower(c["label"]), rf"{BLANK}+", "_")),
-            ),
+    def numbered(choices: Column) -> Column:
+        numeric = F.filter(choices, lambda c: c["number"].isNotNull())
+        other = F.filter(choices, lambda c: c["number"].isNull())
+        code_of_label = lambda c: F.regexp_replace(F.lower(c["label"]), rf"{BLANK}+", "_")
+        return F.concat(
+            F.transform(numeric, lambda c: item(c, c["number"], code_of_label(c))),
             F.transform(other, lambda c, i: item(c, (i + 1).cast("bigint"), c["id"])),
         )
-    )
+
+    return F.sort_array(_let(F.transform(split_choices(text), valued), numbered))

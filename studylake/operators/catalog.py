@@ -423,8 +423,9 @@ def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_depth:
     transformation are never formed. A step is written to the shared scratch folder, which cuts the lineage of
     the plan; the loop ends when a step finds nothing new.
     """
-    wrote = outputs.select("version_id", "transformation_id").distinct()
-    read = inputs.select("transformation_id", "version_id").distinct()
+    # Every step reads the edges again, so they are brought into their shortest form once.
+    wrote = materialize(outputs.select("version_id", "transformation_id").distinct(), "lineage-outputs")
+    read = materialize(inputs.select("transformation_id", "version_id").distinct(), "lineage-inputs")
     frontier = seeds.select(F.col("version_id").alias("seed_id"), "version_id").distinct()
     frontier = materialize(frontier.withColumn("depth", F.lit(0)), "lineage")
     seen = frontier

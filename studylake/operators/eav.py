@@ -92,7 +92,14 @@ def column_names(eav: DataFrame) -> list[str]:
 
 
 def pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str] = RECORD) -> DataFrame:
-    """One row per record, one column per field, first non-null value of each."""
+    """One row per record, one column per field, first non-null value of each.
+
+    Rows are sent to their record before they are widened; partial results would each carry every column.
+    """
+    return _pivot(rows.repartition(*keys), fields, keys)
+
+
+def _pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
     if not fields:
         return rows.select(*keys).distinct()
     if len(fields) <= PLAIN_PIVOT_COLUMNS:
@@ -142,7 +149,7 @@ def wide_raw(
         *keys, F.when(known, F.col("field_name")).alias("field_name"), F.when(known, F.col("value")).alias("value")
     )
     values = _distinct_values(kept, keys).repartition(*keys)
-    wide = pivot(_join_distinct(values, keys), fields, keys)
+    wide = _pivot(_join_distinct(values, keys), fields, keys)
     return wide.orderBy(*keys) if ordered else wide
 
 
@@ -214,7 +221,7 @@ def flat_named_multi(eav: DataFrame, multi: Sequence[str], fields: Sequence[str]
             )
         ),
     )
-    wide = pivot(marked, [*fields, *multi, MARKER])
+    wide = _pivot(marked, [*fields, *multi, MARKER], RECORD)
     return wide.where(_quoted(MARKER).isNotNull()).select(*[_quoted(name) for name in [*fields, *multi]])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from studylake.session import local_rows
+from studylake.session import local_rows, materialize
 
 # Most rows, and most characters in them, that may be broadcast or become columns of a table.
 MAX_ROWS = 10_000
@@ -26,3 +26,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     if rows is None:
         return df
     return F.broadcast(local_rows(df.sparkSession, rows, df.schema))
+
+
+def computed_once(df: DataFrame, name: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The result of `df`, computed now: held as local rows when small, else written to the shared scratch folder."""
+    rows = bounded_rows(df, max_rows)
+    return materialize(df, name) if rows is None else local_rows(df.sparkSession, rows, df.schema)

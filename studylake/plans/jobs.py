@@ -16,7 +16,8 @@ from studylake.operators.ids import assign_ids
 from studylake.operators.profile import declared_variables
 from studylake.operators.reconcile import void_to_string
 from studylake.plans.store import StudyLake
-from studylake.session import local_rows
+from studylake.operators.sizing import computed_once
+from studylake.session import local_rows, materialize
 from studylake.sources import files as lake_files
 from studylake.sources.readers import read_query, scan_eav_csv
 from studylake.sources.writers import conform, table_schema
@@ -42,9 +43,8 @@ def register_study(lake: StudyLake, name: str, study_type_id: int, domains: Sequ
         spark, [(d, None, i) for i, d in enumerate(domains)], "name string, uri string, ord int"
     ).withColumn("description", F.lit(None).cast("string"))
     known = catalog.insert_if_absent(state["domains"], named, ["name", "uri"], "domain_id", ["description"], "ord")
-    links = studies.where(F.col("name") == name).select("study_id", F.lit(1).alias("_j")).join(
-        known.where(F.col("name").isin(list(domains))).select("domain_id", F.lit(1).alias("_j")), "_j"
-    ).drop("_j")
+    study_id = studies.where(F.col("name") == name).select("study_id").scalar()
+    links = known.where(F.col("name").isin(list(domains))).select(study_id.alias("study_id"), "domain_id")
     lake.commit({
         "studies": studies, "domains": known,
         "study_domains": catalog.link_if_absent(state["study_domains"], links, ["study_id", "domain_id"]),
@@ -194,12 +194,13 @@ def eav_to_dataset(
     if rows is None:
         if path is None:
             raise ValueError(f"no file {file_asset!r} in study {study!r}")
-        rows = scan_eav_csv(lake.spark, path)
+        # A file with line breaks in values is one task to read, so it is read once.
+        rows = materialize(scan_eav_csv(lake.spark, path), "eav")
     stem = file_asset.removesuffix("_eav")
     name = lake.spark.range(1).select(legal_name(F.lit(stem), strict=True).alias("n")).first().n
 
     known = catalog.study_variables(state["variables"], state["study_domains"], study_id)
-    fields = rows.select("field_name").distinct()
+    fields = computed_once(rows.select("field_name").distinct(), "fields")
     left_out = [row.field_name for row in eav.unmatched_fields(fields, known).limit(20).collect()]
     if left_out:
         warnings.warn(f"fields without a variable, e.g. {left_out}", stacklevel=2)
