@@ -454,3 +454,9 @@ def value_type_usage(variables: DataFrame) -> DataFrame:
     """The seeded value types with the number of variables that use each."""
     used = variables.groupBy("value_type_id").agg(F.count(F.lit(1)).alias("n_variables"))
     return value_types(variables.sparkSession).join(used, "value_type_id", "left").fillna(0, ["n_variables"])
+
+
+def study_type_usage(studies: DataFrame) -> DataFrame:
+    """The seeded study types with the number of studies of each."""
+    used = studies.groupBy("study_type_id").agg(F.count(F.lit(1)).alias("n_studies"))
+    return study_types(studies.sparkSession).join(used, "study_type_id", "left").fillna(0, ["n_studies"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylake import types as VT
-from studylake.functions.sqltypes import map_type_by_flavour
+from studylake.functions.sqltypes import ENUM_BY_NAME, map_type_by_flavour
 from studylake.session import local_rows
 from studylake.types import value_type_of
 
@@ -307,9 +307,9 @@ def code_table_items(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFr
 def enum_items(columns: DataFrame, enums: DataFrame) -> DataFrame:
     """Items of every enum column: `flavour, data_type, value, code`, numbered from 1 in declaration order.
 
-    MySQL spells its labels in the column type; the others list them in their catalog.
+    MySQL and DuckDB spell the labels in the column type; others list them in their catalog.
     """
-    spelled = columns.where((F.col("flavour") == "mysql") & F.startswith(F.lower("data_type"), F.lit("enum")))
+    spelled = columns.where(F.col("flavour").isin(*ENUM_BY_NAME) & F.startswith(F.lower("data_type"), F.lit("enum")))
     labels = F.regexp_extract_all(F.regexp_extract("data_type", r"(?i)enum\s*\((.*)\)", 1), F.lit("'([^']*)'"), 1)
     parsed = spelled.select("flavour", "data_type").distinct().select(
         "flavour", "data_type", F.posexplode(labels).alias("pos", "code")

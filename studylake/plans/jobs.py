@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from studylake.functions.names import is_legal_name, legal_name
 from studylake.operators import catalog, dictionary, eav
@@ -239,7 +240,7 @@ def query_to_dataset(
     """Store the result of a query as a dataset version.
 
     Column types come from the analysed query; `variables` (a `profile_catalog` result for the source) refines
-    them and brings vocabularies. Known variables of the domain are reused, never overwritten.
+    them and brings vocabularies; text categories are stored as their integer value beside the text. Known variables of the domain are reused, never overwritten.
     """
     spark, study_id = lake.spark, lake.study_id(study)
     legal = spark.range(1).select(is_legal_name(F.lit(name), strict=True).alias("ok")).first().ok
@@ -259,6 +260,11 @@ def query_to_dataset(
     state, _, version_id, number = _add_version(lake, study_id, name, "dataset", f"Query dataset {name}", explicit=new_version)
     vocabularies, items = state["vocabularies"], state["vocabulary_items"]
     if variables is not None:
+        variables = computed_once(variables.where(F.col("column_name").isin(result.columns)), "variables")
+        for row in variables.where(F.col("items").isNotNull()).collect():
+            if isinstance(result.schema[row.column_name].dataType, T.StringType):
+                items_of = local_rows(spark, [tuple(item) for item in row["items"]], "value bigint, code string, description string")
+                result = category_values(result, row.column_name, items_of)
         refined = variables.select(
             F.col("column_name").alias("name"), F.col("value_type_id").alias("kind"), F.col("description").alias("comment"),
             "vocabulary_name", "vocabulary_description", "items",
@@ -309,12 +315,13 @@ def load_query(lake: StudyLake, sql: str, variables: Sequence[Variable], locatio
 
 
 def category_values(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
-    """Integer value of a text category beside its text as `<column>_raw`."""
-    lookup = items.select(F.col("code").alias("_code"), F.col("value").cast("int").alias("_value"))
-    others = [F.col(name) for name in df.columns if name != column]
-    return df.join(lookup, df[column] == lookup["_code"], "left").select(
-        *others, F.col("_value").alias(column), df[column].alias(f"{column}_raw")
-    )
+    """Text category -> its integer value, with the text kept as `<column>_raw` beside it."""
+    lookup = items.groupBy(F.col("code").alias("_code")).agg(F.min("value").cast("int").alias("_value"))
+    coded = df.join(lookup, df[column] == lookup["_code"], "left")
+    columns = []
+    for name in df.columns:
+        columns += [F.col("_value").alias(name), df[name].alias(f"{name}_raw")] if name == column else [df[name]]
+    return coded.select(*columns)
 
 
 

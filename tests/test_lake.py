@@ -238,3 +238,15 @@ def test_query_reader_conforms_to_variables(spark, frame):
     assert typed.columns == ["b", "a"] and tuple(typed.first()) == (2.5, 1)
     assert readers.select_where_eq(result, ["c"], {"a": "1", "b": "2.5"}).count() == 1
     assert readers.select_where_eq(result, []).columns == ["a", "b", "c"]
+
+
+def test_text_categories_are_stored_as_values(lake, frame):
+    frame([(1, "low", "x"), (2, "odd", "y")], "id bigint, mood string, z string").createOrReplaceTempView("moods")
+    refined = frame(
+        [("mood", CATEGORY, None, "mood_enum", "Enum values for mood", [{"value": 1, "code": "low", "description": None}, {"value": 2, "code": "high", "description": None}])],
+        "column_name string, value_type_id int, description string, vocabulary_name string, vocabulary_description string, "
+        "items array<struct<value:bigint,code:string,description:string>>",
+    )
+    stored = jobs.query_to_dataset(lake, "My study", 1, "moods", "SELECT * FROM moods", variables=refined)
+    assert stored.columns == ["id", "mood", "mood_raw", "z"]
+    assert sorted((r.id, r.mood, r.mood_raw) for r in stored.collect()) == [(1, 1, "low"), (2, None, "odd")]

@@ -340,3 +340,20 @@ VALUE_TYPE_ROWS = """(1, 'xsd:integer', 'integer'), (2, 'xsd:float', 'float'), (
 )
 def _(x):
     return cat.value_type_usage(x.cat_variables)
+
+
+# The seeded study types.
+STUDY_TYPE_ROWS = """(1,'HDSS'),(2,'COHORT'),(3,'SURVEY'),(4,'PANEL'),(5,'CASE_CONTROL'),(6,'RCT'),(7,'QUASI_EXPERIMENTAL'),(8,'NATURAL_EXPERIMENT'),
+(10,'LAB_EXPERIMENT'),(11,'QUALITATIVE_INTERVIEW'),(12,'FOCUS_GROUP'),(13,'ETHNOGRAPHY'),(14,'PARTICIPATORY'),(15,'CASE_STUDY'),(16,'MIXED_METHODS'),
+(17,'SECONDARY_ANALYSIS'),(18,'DESK_REVIEW'),(19,'TIME_MOTION'),(20,'DIARY'),(21,'LONGITUDINAL_OBSERVATION'),(22,'SIMULATION'),(23,'AGENT_BASED_MODEL'),
+(24,'STATISTICAL_MODEL'),(25,'SYSTEM_DYNAMICS'),(26,'GENOMICS'),(27,'MULTIOMICS'),(28,'BIOBANK'),(29,'PHARMACOGENOMICS')"""
+SUPPLIER_STUDIES = "SELECT s_suppkey AS study_id, s_name AS name, s_nationkey + 1 AS study_type_id FROM supplier"
+
+
+@query(
+    "seed_study_types",
+    f"""SELECT t.study_type_id, t.name, COUNT(s.study_id) AS n_studies FROM (VALUES {STUDY_TYPE_ROWS}) AS t(study_type_id, name)
+    LEFT JOIN ({SUPPLIER_STUDIES}) s ON s.study_type_id = t.study_type_id GROUP BY t.study_type_id, t.name""",
+)
+def _(x):
+    return cat.study_type_usage(x.sql(SUPPLIER_STUDIES))

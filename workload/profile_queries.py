@@ -69,7 +69,7 @@ for _flavour in ("generic", "mssql", "duckdb", "postgresql", "mysql", "sqlite"):
             "table_name", "column_name", "data_type", map_type(F.col("data_type"), flavour).alias("value_type_id")
         )
 
-    query(f"map_types_{_flavour}", f"SELECT table_name, column_name, data_type, {type_sql(_flavour)} AS value_type_id FROM cat_columns")(_typed)
+    query("map_types_postgres" if _flavour == "postgresql" else f"map_types_{_flavour}", f"SELECT table_name, column_name, data_type, {type_sql(_flavour)} AS value_type_id FROM cat_columns")(_typed)
 
 
 @query("original_types", f"SELECT {COLUMN}, COALESCE(c.data_type, r.data_type) AS data_type FROM ("
