@@ -48,8 +48,9 @@ def choice_sql(source: str, key: str, text: str) -> str:
       CASE WHEN sep IS NOT NULL THEN regexp_replace(substr(part, instr(part, sep) + 1), '{TRIM}', '', 'g') END AS l FROM split_parts),
     labelled AS (SELECT {key}, pos, CASE WHEN i <> '' AND l <> '' AND NOT contains(l, chr(10)) THEN i ELSE part END AS id,
       CASE WHEN i <> '' AND l <> '' AND NOT contains(l, chr(10)) THEN l ELSE part END AS label FROM cut),
-    valued AS (SELECT {key}, pos, id, label, CASE WHEN regexp_matches(id, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')
-      THEN CAST(round_even(CAST(id AS DOUBLE), 0) AS BIGINT) END AS num FROM labelled),
+    valued AS (SELECT {key}, pos, id, label, CASE WHEN regexp_matches(id, '^[+-]?[0-9]+$') AND TRY_CAST(id AS BIGINT) IS NOT NULL THEN CAST(id AS BIGINT)
+      WHEN regexp_matches(id, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')
+      THEN TRY_CAST(round_even(CAST(id AS DOUBLE), 0) AS BIGINT) END AS num FROM labelled),
     items AS (SELECT {key}, pos, COALESCE(num, SUM(CASE WHEN num IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY pos)::BIGINT) AS value,
       CASE WHEN num IS NULL THEN id ELSE regexp_replace(lower(label), '{BLANK}+', '_', 'g') END AS code, label AS description FROM valued)"""
 
