@@ -6,25 +6,24 @@ needs no pass that first finds out which fields are multi-valued, and no self jo
 
 Skew: rows are first counted per (record, field, value). That aggregation combines on the map side and spreads a
 hot record or field over all its values, so only distinct values travel on.
+
+Widening: a record's cells are collected into one array, sorted, cut into runs of one field and padded with the
+fields it lacks; column i of the table is then element i. The work grows with the cells and columns of a record,
+where a pivot tests each row against each column.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions.values import cast_integer, typed_columns
 from studylake.operators.sizing import MAX_ROWS, bounded_rows, broadcast_if_small
-from studylake.session import local_rows
 from studylake.types import Variable
 
 RECORD = ("record",)
-# Beyond this many columns the pivot goes through blocks of columns.
-PLAIN_PIVOT_COLUMNS = 128
-MARKER = "\u0001has other fields"
 
 
 def field_names(eav: DataFrame) -> DataFrame:
@@ -58,17 +57,17 @@ def _distinct_values(eav: DataFrame, keys: Sequence[str]) -> DataFrame:
     return eav.groupBy(*keys, "field_name", "value").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-JOINED = "listagg(repeated, ', ') WITHIN GROUP (ORDER BY value)"
-
-
-def _repeated(values: DataFrame) -> DataFrame:
-    """Each distinct value written out as often as it occurred."""
-    text = F.array_join(F.array_repeat("value", F.col("n")), ", ")
-    return values.withColumn("repeated", F.when(F.col("value").isNotNull(), text))
+def _join_distinct(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    repeated = F.when(F.col("value").isNotNull(), _written_out(F.col("value"), F.col("n")))
+    return (
+        values.withColumn("repeated", repeated).groupBy(*keys, "field_name")
+        .agg(F.expr("listagg(repeated, ', ') WITHIN GROUP (ORDER BY value)").alias("value"))
+    )
 
 
-def _join_distinct(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _repeated(values).groupBy(*keys, "field_name").agg(F.expr(JOINED).alias("value"))
+def _written_out(value: Column, n: Column) -> Column:
+    """A value as often as it occurred."""
+    return F.when(n == 1, value).otherwise(F.array_join(F.array_repeat(value, n), ", "))
 
 
 def multi_agg(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
@@ -92,45 +91,69 @@ def column_names(eav: DataFrame) -> list[str]:
 
 
 def pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str] = RECORD) -> DataFrame:
-    """One row per record, one column per field, first non-null value of each.
+    """One row per record, one column per field, its (smallest) non-null value.
 
-    Rows are sent to their record before they are widened; partial results would each carry every column.
+    Rows are sent to their record as they are; partial results would each carry every column.
     """
-    return _pivot(rows.repartition(*keys), fields, keys)
+    cells = _of_fields(rows, fields, keys).repartition(*keys).withColumn("n", F.lit(1))
+    return _widen(_collect_cells(cells, keys), fields, keys, lambda run: run[0]["value"])
 
 
-def _pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    if not fields:
-        return rows.select(*keys).distinct()
-    if len(fields) <= PLAIN_PIVOT_COLUMNS:
-        return rows.groupBy(*keys).pivot("field_name", list(fields)).agg(F.any_value("value", True))
-    return _pivot_in_blocks(rows, fields, keys)
+def _of_fields(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Rows of other fields only keep their record alive: without field and value they fold to one row per record."""
+    known = F.col("field_name").isin(list(fields))
+    return rows.select(
+        *keys, F.when(known, F.col("field_name")).alias("field_name"), F.when(known, F.col("value")).alias("value")
+    )
+
 
+def _collect_cells(values: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """One row per record with its cells in field and value order; cells without field or value are left out."""
+    usable = F.col("field_name").isNotNull() & F.col("value").isNotNull()
+    cell = F.when(usable, F.struct("field_name", "value", "n"))
+    return values.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("cells"), *more)
 
-def _pivot_in_blocks(rows: DataFrame, fields: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Pivot of many columns: first within blocks of about sqrt(n) columns, then the blocks side by side.
 
-    A plain pivot tests every row against every column; this one against one block, then one row per block
-    against the number of blocks. Both steps group by record, so they share one shuffle.
+def _joined_run(run: Column) -> Column:
+    """The cells of one field as text."""
+    texts = F.transform(run, lambda c: _written_out(c["value"], c["n"]))
+    return F.when(F.size(run) == 1, texts[0]).otherwise(F.array_join(texts, ", "))
+
+
+def _widen(
+    records: DataFrame, fields: Sequence[str], keys: Sequence[str], text_of_run: Callable[[Column], Column]
+) -> DataFrame:
+    """Sorted cells of these fields -> one column per field.
+
+    Each step is a column of its own, so it is evaluated once per record.
     """
-    width = math.ceil(math.sqrt(len(fields)))
-    blocks = math.ceil(len(fields) / width)
-    # As many rows as the result has columns, so the broadcast is bounded by the table's own width.
-    places = local_rows(
-        rows.sparkSession, [(name, i // width, i % width) for i, name in enumerate(fields)], "field_name string, block int, place int"
-    )
-    in_blocks = (
-        rows.join(F.broadcast(places), "field_name", "left")
-        .groupBy(*keys, "block")
-        .agg(*[F.any_value(F.when(F.col("place") == p, F.col("value")), True).alias(f"p{p}") for p in range(width)])
-    )
-    packed = in_blocks.select(*keys, "block", F.struct(*[f"p{p}" for p in range(width)]).alias("cells"))
-    side_by_side = packed.groupBy(*keys).agg(
-        *[F.any_value(F.when(F.col("block") == b, F.col("cells")), True).alias(f"b{b}") for b in range(blocks)]
-    )
-    return side_by_side.select(
-        *keys, *[F.col(f"b{i // width}.p{i % width}").alias(name) for i, name in enumerate(fields)]
+    if not fields:
+        return records.select(*keys)
+    cells = F.col("cells")
+    starts = F.filter(
+        F.transform(
+            cells,
+            lambda c, i: F.when((i == 0) | (F.get(cells, i - 1)["field_name"] != c["field_name"]), i + 1),
+        ),
+        lambda start: start.isNotNull(),
     )
+    cut = records.select(*keys, "cells", starts.alias("starts"))
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("field_name"), value.alias("value"))
+
+    def run_entry(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), i + 1), F.size(cells) + 1)
+        run = F.slice(cells, start, end - start)
+        return F.transform(F.array(run), lambda r: entry(r[0]["field_name"], text_of_run(r)))[0]
+
+    present = cut.select(*keys, F.transform("starts", run_entry).alias("entries"))
+    order = sorted(set(fields), key=lambda name: name.encode())
+    absent = F.array_except(F.array(*[F.lit(name) for name in order]), F.transform("entries", lambda e: e["field_name"]))
+    padding = F.transform(absent, lambda name: entry(name, F.lit(None).cast("string")))
+    full = present.select(*keys, F.sort_array(F.concat("entries", padding)).alias("full"))
+    place = {name: i for i, name in enumerate(order)}
+    return full.select(*keys, *[F.get("full", F.lit(place[name]))["value"].alias(name) for name in fields])
 
 
 def wide_raw(
@@ -143,13 +166,8 @@ def wide_raw(
     """
     if fields is None:
         fields = column_names(eav)
-    # Rows of other fields only keep their record alive: they fold to one row per record.
-    known = F.col("field_name").isin(list(fields))
-    kept = eav.select(
-        *keys, F.when(known, F.col("field_name")).alias("field_name"), F.when(known, F.col("value")).alias("value")
-    )
-    values = _distinct_values(kept, keys).repartition(*keys)
-    wide = _pivot(_join_distinct(values, keys), fields, keys)
+    values = _distinct_values(_of_fields(eav, fields, keys), keys).repartition(*keys)
+    wide = _widen(_collect_cells(values, keys), fields, keys, _joined_run)
     return wide.orderBy(*keys) if ordered else wide
 
 
@@ -208,21 +226,18 @@ def flat_named_multi(eav: DataFrame, multi: Sequence[str], fields: Sequence[str]
     """
     if fields is None:
         fields = [name for name in column_names(eav) if name not in set(multi)]
-    is_multi = F.coalesce(F.col("field_name").isin(list(multi)), F.lit(False))
-    values = _repeated(_distinct_values(eav, RECORD).repartition("record"))
-    per_field = values.groupBy("record", "field_name").agg(F.expr(JOINED).alias("joined"), F.min("value").alias("least"))
-    # A marker field tells which records have some field that is not named.
-    marked = per_field.select(
-        "record",
-        F.inline(
-            F.array(
-                F.struct("field_name", F.when(is_multi, F.col("joined")).otherwise(F.col("least")).alias("value")),
-                F.struct(F.lit(MARKER).alias("field_name"), F.when(~is_multi, "1").alias("value")),
-            )
-        ),
-    )
-    wide = _pivot(marked, [*fields, *multi, MARKER], RECORD)
-    return wide.where(_quoted(MARKER).isNotNull()).select(*[_quoted(name) for name in [*fields, *multi]])
+    named = list(multi)
+    columns = [*fields, *named]
+    # Only records with a row of some other field appear; an unnamed row does not count as one.
+    others = F.coalesce(F.bool_or(~F.col("field_name").isin(named)), F.lit(False)).alias("others")
+    values = _distinct_values(eav, RECORD).repartition("record")
+    records = _collect_cells(values, RECORD, others).where("others")
+    kept = records.withColumn("cells", F.filter("cells", lambda c: c["field_name"].isin(columns)))
+
+    def text_of_run(run: Column) -> Column:
+        return F.when(run[0]["field_name"].isin(named), _joined_run(run)).otherwise(run[0]["value"])
+
+    return _widen(kept, columns, RECORD, text_of_run).select(*[_quoted(name) for name in columns])
 
 
 def partial_typed(wide: DataFrame, casts: Sequence[Variable]) -> DataFrame:

@@ -19,7 +19,8 @@ def scan_eav_csv(spark: SparkSession, path: str, multi_line: bool = True, encodi
     Values may hold line breaks, which makes a file one task. Set `multi_line=False` for exports known to have
     none, and large files are split.
     """
-    options = {"header": True, "multiLine": multi_line, "encoding": encoding, "escape": '"'}
+    # A folder's files must agree on their columns: without enforceSchema Spark compares every header.
+    options = {"header": True, "multiLine": multi_line, "encoding": encoding, "escape": '"', "enforceSchema": False}
     header = spark.read.options(**{**options, "multiLine": False}).csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     wanted = [f.name for f in T.StructType.fromDDL(EAV_SCHEMA).fields]

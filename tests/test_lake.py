@@ -186,6 +186,14 @@ def test_eav_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.scan_eav_transcode(spark, str(tmp_path / "l2.csv")).collect()] == [("1", "név", "Łódź žluťoučký kůň őű")]
 
 
+def test_files_with_other_columns_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("record,field_name,value\n1,a,x\n")
+    (tmp_path / "2.csv").write_text("record,value,field_name\n2,y,b\n")
+    for multi_line in (True, False):
+        with pytest.raises(Exception, match="header"):
+            readers.scan_eav_csv(spark, str(tmp_path), multi_line).collect()
+
+
 def test_exports_refuse_to_overwrite(spark, tmp_path):
     rows = spark.range(3).select("id", F.lit("  blanks ").alias("t"), F.lit(None).cast("string").alias("n"), F.lit("").alias("e"))
     for export in (writers.export_csv, writers.export_columnar):

@@ -74,12 +74,12 @@ def _(x):
     return eav.wide_raw(x.eav)
 
 
-# Part names repeat within a brand and type, which gives 150 columns at most and so takes the pivot in blocks.
+# Brands and types make up to 150 columns, most of them empty for a given size.
 BRAND_EAV = """SELECT CAST(p_size AS STRING) AS record, CONCAT(p_brand, ' ', p_type) AS field_name, p_name AS value FROM part"""
 
 
 @query(
-    "eav_wide_blocks",
+    "eav_wide_many_fields",
     f"""WITH b AS ({BRAND_EAV}), cells AS (SELECT record, field_name, string_agg(value, ', ' ORDER BY value) AS value FROM b GROUP BY 1, 2)
     SELECT record, COUNT(value) AS n_cells, string_agg(field_name || '=' || value, '; ' ORDER BY field_name) AS cells
     FROM cells GROUP BY record""",
