@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -253,13 +254,20 @@ REFERENCES = [
 ]
 
 
-def _used(table: DataFrame, check: str, keys: Sequence[str]) -> DataFrame:
-    """One row per use of a key that must not be used twice, or must exist elsewhere."""
-    return table.select(F.lit(check).alias("violation"), _key_label(keys).alias("key"), F.lit(1).alias("_used"), F.lit(0).alias("_known"))
+class _Check(NamedTuple):
+    """What one row of a table says to a check: it uses a key, or makes it known."""
 
+    violation: str
+    keys: Sequence[str]
+    known: bool = False
+    where: Column | None = None
 
-def _known(parent: DataFrame, check: str, key: str) -> DataFrame:
-    return parent.select(F.lit(check).alias("violation"), _key_label([key]).alias("key"), F.lit(0).alias("_used"), F.lit(1).alias("_known"))
+    def row(self) -> Column:
+        said = F.struct(
+            F.lit(self.violation).alias("violation"), _key_label(self.keys).alias("key"),
+            F.lit(int(not self.known)).alias("_used"), F.lit(int(self.known)).alias("_known"),
+        )
+        return said if self.where is None else F.when(self.where, said)
 
 
 def _key_label(keys: Sequence[str]) -> Column:
@@ -281,8 +289,9 @@ def constraint_violations(
     """Everything a database would have refused, as rows `violation, key, n`; empty when the state is sound.
 
     Keys compare NULL as a value, so a domain name may stand once without a URI. All checks share one grouping
-    by (check, key): a key used twice is a duplicate, a key used but known nowhere an orphan. Uses fold on the
-    map side, so neither the number of checks nor a hot key adds shuffles.
+    by (check, key): a key used twice is a duplicate, a key used but known nowhere an orphan. Each table is read
+    once for all its checks, and uses fold on the map side, so neither the number of checks nor a hot key adds
+    scans or shuffles.
 
     With `changed`, `tables` is a whole state: absent tables are empty, and only the checks a changed table takes
     part in are made.
@@ -290,24 +299,32 @@ def constraint_violations(
     def due(*names: str) -> bool:
         return changed is None or any(name in changed for name in names)
 
-    rows = [
-        _used(tables[name], f"duplicate {name}", keys)
-        for name, keys in UNIQUE_KEYS.items() if name in tables and due(name)
-    ]
+    checks: dict[str, list[_Check]] = {name: [] for name in tables}
+    for name, keys in UNIQUE_KEYS.items():
+        if name in tables and due(name):
+            checks[name].append(_Check(f"duplicate {name}", keys))
     for name, key, parent, parent_key in REFERENCES:
         if name in tables and due(name, parent) and (parent in tables or changed is not None):
-            check = f"orphan {name}.{key}"
-            rows.append(_used(tables[name].where(F.col(key).isNotNull()), check, [key]))
+            orphan = f"orphan {name}.{key}"
+            checks[name].append(_Check(orphan, [key], where=F.col(key).isNotNull()))
             if parent in tables:
-                rows.append(_known(tables[parent], check, parent_key))
+                checks[parent].append(_Check(orphan, [parent_key], known=True))
     if "asset_versions" in tables and due("asset_versions"):
-        rows.append(_used(tables["asset_versions"].where("is_latest"), "several latest versions", ["asset_id"]))
-    orphan = F.startswith(F.col("violation"), F.lit("orphan"))
-    none = [_used(df, "", df.columns[:1]).limit(0) for df in list(tables.values())[:1]]
+        checks["asset_versions"].append(_Check("several latest versions", ["asset_id"], where=F.col("is_latest")))
+    said = [
+        tables[name].select(F.inline(F.array(*[check.row() for check in of_table])))
+        for name, of_table in checks.items() if of_table
+    ]
+    if not said:
+        nothing = _Check("", next(iter(tables.values())).columns[:1])
+        said = [next(iter(tables.values())).limit(0).select(F.inline(F.array(nothing.row())))]
     refused = (
-        reduce(DataFrame.union, rows or none).groupBy("violation", "key")
+        reduce(DataFrame.union, said).where("violation IS NOT NULL").groupBy("violation", "key")
         .agg(F.sum("_used").alias("n"), F.sum("_known").alias("known"))
-        .where(F.when(orphan, (F.col("n") > 0) & (F.col("known") == 0)).otherwise(F.col("n") > 1))
+        .where(
+            F.when(F.startswith("violation", F.lit("orphan")), (F.col("n") > 0) & (F.col("known") == 0))
+            .otherwise(F.col("n") > 1)
+        )
         .select("violation", "key", "n")
     )
     if before_versions is None or "asset_versions" not in tables or not due("asset_versions"):
@@ -329,14 +346,19 @@ def study_assets_latest(assets: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def study_versions(
-    assets: DataFrame, versions: DataFrame, asset_type: str, include_versions: bool = False
+    assets: DataFrame, versions: DataFrame, asset_type: str, include_versions: bool = False,
+    details: DataFrame | None = None,
 ) -> DataFrame:
-    """Dataset (or file) assets with their latest version, or with all of them."""
+    """Dataset (or file) assets with their latest version, or with all of them.
+
+    `details` adds what another table holds about a version: file metadata, or one row per variable.
+    """
     if asset_type not in VT.ASSET_TYPES:
         raise ValueError(f"asset_type must be one of {VT.ASSET_TYPES}")
     wanted = versions if include_versions else latest_versions(versions)
     chosen = assets.where(F.col("asset_type") == asset_type).select("asset_id", "study_id", "name")
-    return wanted.select("asset_id", "version_id", *VERSION).join(chosen, "asset_id")
+    found = wanted.select("asset_id", "version_id", *VERSION).join(chosen, "asset_id")
+    return found if details is None else found.join(details, "version_id", "left")
 
 
 def vocabulary_items_nested(vocabularies: DataFrame, items: DataFrame, key: str = "vocabulary_id") -> DataFrame:

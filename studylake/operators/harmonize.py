@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.operators.ids import assign_ids
+from studylake.operators.sizing import MAX_ROWS, bounded_rows
 
 COMPARISONS = {
     "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v,
@@ -29,6 +30,26 @@ class MappingRule(NamedTuple):
     prerequisite: str | None = None
 
 
+def mapping_rules(mapping: DataFrame, variables: DataFrame) -> list[MappingRule]:
+    """Rules of a variable mapping table, with variable ids replaced by names, in mapping order.
+
+    `mapping(mapping_id, from_variable_id, to_variable_id, operator, operants, prerequisite_id)`. Rules become
+    columns of a projection, so there is a bound to their number, and going beyond it is an error.
+    """
+    names = variables.select("variable_id", "name")
+    named = mapping
+    for column, out in (("to_variable_id", "destination"), ("from_variable_id", "source"), ("prerequisite_id", "prerequisite")):
+        lookup = names.select(F.col("variable_id").alias(column), F.col("name").alias(out))
+        named = named.join(lookup, column, "left")
+    rows = bounded_rows(named.select("mapping_id", "destination", "source", "operator", "operants", "prerequisite", "prerequisite_id").orderBy("mapping_id"))
+    if rows is None:
+        raise ValueError(f"more than {MAX_ROWS} mapping rules")
+    for row in rows:
+        if row.destination is None or row.source is None or (row.prerequisite is None and row.prerequisite_id is not None):
+            raise ValueError(f"mapping {row.mapping_id} names an unknown variable")
+    return [MappingRule(row.destination, row.source, row.operator, row.operants, row.prerequisite) for row in rows]
+
+
 def _rule_value(df: DataFrame, rule: MappingRule) -> Column:
     source = F.col(rule.source)
     kind = df.schema[rule.source].dataType

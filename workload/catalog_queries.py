@@ -237,6 +237,15 @@ def _(x):
     return cat.study_versions(x.cat_assets, x.raw_versions, "file", include_versions=True)
 
 
+@query(
+    "study_datasets_with_variables",
+    f"""SELECT a.asset_id, study_id, name, v.version_id, major, minor, patch, variable_id FROM cat_assets a JOIN ({LATEST}) v ON v.asset_id = a.asset_id
+    LEFT JOIN cat_dataset_variables d ON d.version_id = v.version_id WHERE asset_type = 'dataset'""",
+)
+def _(x):
+    return cat.study_versions(x.cat_assets, x.raw_versions, "dataset", details=x.cat_dataset_variables)
+
+
 VOCABULARIES = "SELECT DISTINCT p_type AS vocabulary FROM part UNION SELECT p_brand FROM part"
 
 

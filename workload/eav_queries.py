@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions import values
 from studylake.operators import eav
+from studylake.operators.sizing import computed_once
 from studylake.types import CATEGORY, DATE, FLOAT, INTEGER, STRING, VALUE_FORMATS, Variable
 from workload.registry import query
 
@@ -98,7 +99,7 @@ def _(x):
     "JOIN (SELECT DISTINCT field_name FROM eav) f ON f.field_name = v.name",
 )
 def _(x):
-    return eav.variable_match(eav.field_names(x.eav), x.eav_variables).select(
+    return eav.variable_match(computed_once(eav.field_names(x.eav), "fields"), x.eav_variables).select(
         "field_name", "variable_id", "domain_id", "value_type_id", "value_format"
     )
 
@@ -108,7 +109,7 @@ def _(x):
     "SELECT DISTINCT field_name FROM eav WHERE field_name NOT IN (SELECT name FROM eav_variables)",
 )
 def _(x):
-    return eav.unmatched_fields(eav.field_names(x.eav), x.eav_variables)
+    return eav.unmatched_fields(computed_once(eav.field_names(x.eav), "fields"), x.eav_variables)
 
 
 def eav_wide_typed(x):
