@@ -148,7 +148,8 @@ def extract_relation_instances(
     right = objects.select(F.col("external_id").alias("_o"), F.col("instance_id").alias("entity_instance_id_2"))
     return pairs.join(left, "_s").join(right, "_o").select(
         F.lit(relation_id).cast("bigint").alias("entity_relation_id"),
-        "entity_instance_id_1", "entity_instance_id_2", "valid_from", "valid_to",
+        F.col("entity_instance_id_1").cast("bigint").alias("entity_instance_id_1"),
+        F.col("entity_instance_id_2").cast("bigint").alias("entity_instance_id_2"), "valid_from", "valid_to",
         F.lit(transformation_id).cast("bigint").alias("transformation_id"),
     )
 

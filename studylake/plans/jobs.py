@@ -20,7 +20,7 @@ from studylake.plans.store import StudyLake
 from studylake.operators.sizing import computed_once
 from studylake.session import local_rows, materialize
 from studylake.sources import files as lake_files
-from studylake.sources.readers import read_query, scan_eav_csv
+from studylake.sources.readers import read_query, scan_dictionary_json, scan_eav_csv, scan_eav_transcode
 from studylake.sources.writers import conform, table_schema
 from studylake.types import Variable
 
@@ -171,6 +171,22 @@ def ingest_files(
     return manifest
 
 
+def ingest_project(
+    lake: StudyLake,
+    study: str,
+    domain_id: int,
+    dictionary_path: str,
+    export_path: str,
+    prefix: str = "REDCap",
+    forms: Sequence[str] | None = None,
+    provenance: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Register a survey project's dictionary and its exported EAV files; returns the files' manifest."""
+    rows = scan_dictionary_json(lake.spark, dictionary_path, forms)
+    register_dictionary(lake, rows, domain_id, prefix)
+    return ingest_files(lake, study, export_path, provenance=provenance)
+
+
 def eav_to_dataset(
     lake: StudyLake,
     study: str,
@@ -179,11 +195,13 @@ def eav_to_dataset(
     convert: bool = True,
     rows: DataFrame | None = None,
     integer_record: bool = True,
+    charset: str | None = None,
     provenance: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Turn an EAV file into a typed, versioned dataset named after the file without `_eav`.
 
-    The rows come from `rows`, from `path`, or from the latest version of the file asset. Fields without a
+    The rows come from `rows`, from `path`, or from the latest version of the file asset; `charset` names the
+    file's single-byte character set if it is not UTF-8. Fields without a
     variable are reported and left out.
     """
     study_id, state = lake.study_id(study), lake.catalog()
@@ -196,7 +214,8 @@ def eav_to_dataset(
         if path is None:
             raise ValueError(f"no file {file_asset!r} in study {study!r}")
         # A file with line breaks in values is one task to read, so it is read once.
-        rows = materialize(scan_eav_csv(lake.spark, path), "eav")
+        export = scan_eav_transcode(lake.spark, path, charset) if charset else scan_eav_csv(lake.spark, path)
+        rows = materialize(export, "eav")
     stem = file_asset.removesuffix("_eav")
     name = lake.spark.range(1).select(legal_name(F.lit(stem), strict=True).alias("n")).first().n
 

@@ -86,6 +86,19 @@ def test_export_to_dataset(described, tmp_path):
     assert described.table("dataset_variables").count() == 4
 
 
+def test_project_in_another_character_set(lake, tmp_path):
+    (tmp_path / "dictionary.json").write_text(json.dumps(DICTIONARY))
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    text = EXPORT.replace("unknown", "neznámé").replace("2,e,extra", "2,e,happy")
+    (folder / "round_1_eav.csv").write_bytes(text.encode("iso8859-2"))
+    manifest = jobs.ingest_project(lake, "My study", 1, str(tmp_path / "dictionary.json"), str(folder), forms=["base", "exam"])
+    assert [(r.asset_name, r.major, r.patch) for r in manifest.collect()] == [("round_1_eav", 1, 0)]
+    stored = jobs.eav_to_dataset(lake, "My study", "round_1_eav", charset="iso8859-2").orderBy("record")
+    assert [(r.record, r.sex, r.sex_raw) for r in stored.collect()] == [(1, 2, "2"), (2, None, "neznámé")]
+    assert "REDCap.sex" in {r.name for r in lake.table("vocabularies").collect()}
+
+
 def test_query_to_dataset(lake, frame):
     frame([(1, "x", 1.5), (2, None, None)], "id bigint, t string, d double").createOrReplaceTempView("source_rows")
     sql = "SELECT id, t, d, NULL AS nothing FROM source_rows"

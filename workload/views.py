@@ -135,7 +135,7 @@ WHERE later IS NULL"""
 VIEWS["src"] = """
 SELECT s_suppkey AS k, s_nationkey AS n, CASE s_suppkey % 5 WHEN 0 THEN 'duckdb' WHEN 1 THEN 'postgresql' WHEN 2 THEN 'mysql'
   WHEN 3 THEN 'mssql' ELSE 'sqlite' END AS flavour, CASE WHEN s_nationkey < 12 THEN 'main' ELSE 'codes' END AS schema_name,
-  CONCAT('t', CAST(s_suppkey AS STRING)) AS table_name, s_name FROM supplier"""
+  CONCAT('t', CAST(s_suppkey AS STRING)) AS table_name, s_name, s_acctbal FROM supplier"""
 
 # Declared types as databases spell them.
 NUMBER_TYPES = [
@@ -200,11 +200,11 @@ SELECT DISTINCT flavour, CONCAT('mood', CAST(n AS STRING)) AS type_name, 1.0 AS
 UNION ALL SELECT DISTINCT flavour, CONCAT('mood', CAST(n AS STRING)), 1.5, CONCAT('mid ', CAST(n AS STRING)) FROM src WHERE flavour IN ('duckdb', 'postgresql')
 UNION ALL SELECT DISTINCT flavour, CONCAT('mood', CAST(n AS STRING)), 2.0, 'high' FROM src WHERE flavour IN ('duckdb', 'postgresql')) t"""
 
-# Rows of the keyed tables: between a handful and several hundred each.
+# Rows of the keyed tables: from none to several hundred, the more the higher the balance.
 VIEWS["cat_code_items"] = """
 SELECT DISTINCT flavour, schema_name, table_name, l_partkey AS value, CONCAT('c', CAST(l_partkey AS STRING)) AS code,
   CASE WHEN l_partkey > 10 THEN CONCAT('part ', CAST(l_partkey AS STRING)) END AS description
-FROM lineitem JOIN src ON l_suppkey = k WHERE l_quantity <= 5 * (1 + k % 10)"""
+FROM lineitem JOIN src ON l_suppkey = k WHERE l_quantity <= s_acctbal / 200"""
 VIEWS["cat_row_counts"] = "SELECT flavour, schema_name, table_name, COUNT(*) AS n FROM cat_code_items GROUP BY flavour, schema_name, table_name"
 
 VIEWS["query_log"] = """
