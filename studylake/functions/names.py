@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studylake.functions.text import trim_blank
+
 # The characters a name may start with and consist of.
 START_CHARS = r"_\p{L}"
 NAME_CHARS = r"\p{L}\p{N}\p{Mc}\p{Mn}\p{Pc}\p{Lm}"
-# Julia-style strip: blanks of class Zs and the control blanks.
-OUTER_BLANKS = r"^[\x09-\x0D\x85\p{Zs}]+|[\x09-\x0D\x85\p{Zs}]+\z"
 
 
 def _allowed(strict: bool) -> str:
@@ -18,7 +18,7 @@ def _allowed(strict: bool) -> str:
 
 def legal_name(name: Column, strict: bool = False) -> Column:
     """Nearest legal name. Strict names also avoid `-` and `.`."""
-    out = F.regexp_replace(F.regexp_replace(name, OUTER_BLANKS, ""), f"[^{_allowed(strict)}]", "_")
+    out = F.regexp_replace(trim_blank(name), f"[^{_allowed(strict)}]", "_")
     out = F.regexp_replace(out, f"^([^{START_CHARS}])", "_$1")
     out = F.regexp_replace(out, "_{2,}", "_")
     out = F.when(out == "", F.lit("_x")).otherwise(out)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as Unicode sees it (separators of class Z and the control blanks), as characters to
-# trim and as a pattern.
-BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# The blanks that are trimmed (space separators and the control blanks), and white space as a pattern.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 BLANK = r"[\x09-\x0D\x85\p{Z}]"
 
 # Markup that is dropped, and the entities that are decoded. `&amp;` comes last so that the text

@@ -13,7 +13,7 @@ KEPT = "SELECT * FROM dictionary WHERE lower(field_type) NOT IN ('descriptive',
 VALIDATION = "text_validation_type_or_show_slider_number"
 CHOICES = "select_choices_or_calculations"
 BLANK = r"[\x09-\x0D\x85\p{Z}]"
-TRIM = rf"^{BLANK}+|{BLANK}+\z"
+TRIM = r"^[\x09-\x0D\x85\p{Zs}]+|[\x09-\x0D\x85\p{Zs}]+\z"
 
 # Date and time formats by validation.
 FORMATS = [
