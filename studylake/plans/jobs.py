@@ -35,11 +35,46 @@ def _one(df: DataFrame, like: DataFrame, **values: Any) -> DataFrame:
     return local_rows(df.sparkSession, [row], like.schema)
 
 
-def register_study(lake: StudyLake, name: str, study_type_id: int, domains: Sequence[str]) -> None:
+def upsert(lake: StudyLake, table: str, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Insert or update rows of one catalog table by its natural key, commit, and return the table.
+
+    Rows without an id get one; link tables only take what is new. Attributes the batch does not name keep their
+    values. `order` tells which of several rows with one key comes last.
+    """
+    existing, keys = lake.table(table), catalog.UNIQUE_KEYS[table]
+    id_column = existing.columns[0]
+    if id_column in keys:
+        padded = incoming.select(
+            *[F.col(f.name) if f.name in incoming.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in existing.schema.fields]
+        )
+        after = catalog.link_if_absent(existing, padded, keys)
+    else:
+        attributes = [name for name in existing.columns if name in incoming.columns and name not in (id_column, *keys)]
+        ordered = incoming.withColumn("_order", F.lit(0) if order is None else F.col(order))
+        for key in keys:
+            if key not in incoming.columns:
+                ordered = ordered.withColumn(key, F.lit(None).cast(existing.schema[key].dataType))
+        after = catalog.upsert_by_key(existing, ordered, keys, id_column, attributes, "_order")
+    lake.commit({table: after})
+    return lake.table(table)
+
+
+def register_study(
+    lake: StudyLake,
+    name: str,
+    study_type_id: int,
+    domains: Sequence[str],
+    description: str | None = None,
+    external_id: str | None = None,
+) -> None:
     """Create or update a study, its domains, and the links between them."""
     spark, state = lake.spark, lake.catalog()
-    incoming = local_rows(spark, [(name, study_type_id, 0)], "name string, study_type_id int, ord int")
-    studies = catalog.upsert_by_key(state["studies"], incoming, ["name"], "study_id", ["study_type_id"], "ord")
+    attributes = ["study_type_id", "description", "external_id"]
+    incoming = local_rows(
+        spark, [(name, study_type_id, description, external_id, 0)],
+        "name string, study_type_id int, description string, external_id string, ord int",
+    )
+    studies = catalog.upsert_by_key(state["studies"], incoming, ["name"], "study_id", attributes, "ord")
     named = local_rows(
         spark, [(d, None, i) for i, d in enumerate(domains)], "name string, uri string, ord int"
     ).withColumn("description", F.lit(None).cast("string"))
@@ -280,6 +315,9 @@ def query_to_dataset(
     vocabularies, items = state["vocabularies"], state["vocabulary_items"]
     if variables is not None:
         variables = computed_once(variables.where(F.col("column_name").isin(result.columns)), "variables")
+        names = [row.column_name for row in variables.select("column_name").collect()]
+        if len(set(names)) < len(names):
+            raise ValueError("variables describe a column more than once: choose those of one source table")
         for row in variables.where(F.col("items").isNotNull()).collect():
             if isinstance(result.schema[row.column_name].dataType, T.StringType):
                 items_of = local_rows(spark, [tuple(item) for item in row["items"]], "value bigint, code string, description string")

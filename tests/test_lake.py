@@ -47,6 +47,23 @@ def test_study_and_domains(lake):
     assert lake.table("domains").count() == 3 and lake.table("study_domains").count() == 3
 
 
+def test_upserts_of_catalog_tables(lake, frame):
+    entities = frame([(1, "person", "A person"), (1, "household", None)], "domain_id bigint, name string, description string")
+    ids = {r.name: r.entity_id for r in jobs.upsert(lake, "entities", entities).collect()}
+    assert sorted(ids.values()) == [1, 2]
+    relation = frame([(1, "lives in", ids["person"], ids["household"])], "domain_id bigint, name string, subject_entity_id bigint, object_entity_id bigint")
+    assert jobs.upsert(lake, "entity_relations", relation).first().object_entity_id == ids["household"]
+    again = jobs.upsert(lake, "entities", entities.withColumn("description", F.lit("changed")).drop("nothing"))
+    assert {(r.name, r.entity_id, r.description) for r in again.collect()} == {(n, i, "changed") for n, i in ids.items()}
+    jobs.upsert(lake, "domains", frame([("onto", "http://x")], "name string, uri string"))
+    jobs.upsert(lake, "domains", frame([("onto",)], "name string"))
+    assert lake.table("domains").where("name = 'onto'").count() == 2
+    access = frame([(1, "ann", "read"), (1, "ann", "read")], "study_id bigint, user_id string, access_level string")
+    assert jobs.upsert(lake, "study_access", access).count() == 1
+    with pytest.raises(ValueError, match="orphan entities.domain_id"):
+        jobs.upsert(lake, "entities", frame([(77, "x")], "domain_id bigint, name string"))
+
+
 def test_register_dictionary(described):
     variables = {r.name: r for r in described.table("variables").collect()}
     assert set(variables) == {"record_id", "age", "sex", "signs", "seen", "happy"}
