@@ -43,6 +43,13 @@ TYPE_NAMES = {
         VT.DATE: ["date"],
         VT.TIME: ["time", "timetz", *_ZONED_TIMES],
     },
+    "spark": {
+        VT.INTEGER: ["tinyint", "smallint", "int", "bigint", "boolean"],
+        VT.FLOAT: ["float", "double"],
+        VT.DATETIME: ["timestamp", "timestamp_ntz"],
+        VT.DATE: ["date"],
+        VT.TIME: ["time(0)", "time(3)", "time(6)"],
+    },
     "mysql": {
         VT.INTEGER: ["int", "integer", "smallint", "bigint", "tinyint", "mediumint"],
         VT.FLOAT: ["float", "double", "real", "decimal", "numeric"],

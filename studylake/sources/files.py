@@ -32,7 +32,7 @@ def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.where(F.col("length") <= cell_bytes).select("path", "length", F.sha2("content", 256).alias("digest"))
     large = files.where(F.col("length") > cell_bytes).select("path", "length")
-    streamed = large.repartition("path").mapInPandas(_hash_files, "path string, length bigint, digest string")
+    streamed = large.repartition("path").mapInPandas(_streamed_hash(CHUNK), "path string, length bigint, digest string")
     name = F.substring_index("path", "/", -1)
     extension = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     return small.unionByName(streamed).select(
@@ -40,19 +40,24 @@ def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) ->
     )
 
 
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _streamed_hash(chunk_bytes: int):
+    """Digest of files read piece by piece. The function is made here so that it travels to the workers by value."""
 
-    for batch in batches:
-        digests = []
-        for uri in batch["path"]:
-            filesystem, location = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
-            digest = hashlib.sha256()
-            with filesystem.open_input_stream(location) as stream:
-                while chunk := stream.read(CHUNK):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.assign(digest=digests)
+    def hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for uri in batch["path"]:
+                filesystem, location = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+                digest = hashlib.sha256()
+                with filesystem.open_input_stream(location) as stream:
+                    while chunk := stream.read(chunk_bytes):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield batch.assign(digest=digests)
+
+    return hash_files
 
 
 def file_manifest(files: DataFrame, assets: DataFrame, versions: DataFrame, study: str, bump: str = "patch") -> DataFrame:

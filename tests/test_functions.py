@@ -116,7 +116,8 @@ def test_multiresponse_array(spark):
         ("duckdb", "HUGEINT", VT.INTEGER), ("postgresql", "money", VT.FLOAT), ("postgresql", "timestamptz", VT.DATETIME),
         ("mysql", "enum('a','b')", VT.CATEGORY), ("mysql", "mediumint", VT.INTEGER), ("sqlite", "UNSIGNED BIG INT", VT.INTEGER),
         ("sqlite", "numeric", VT.STRING), ("sqlite", "DOUBLE PRECISION", VT.FLOAT), ("postgresql", "boolean", VT.STRING),
-        ("somethingelse", "tinyint", VT.INTEGER),
+        ("somethingelse", "tinyint", VT.INTEGER), ("spark", "timestamp_ntz", VT.DATETIME),
+        ("spark", "decimal(12,2)", VT.FLOAT), ("spark", "boolean", VT.INTEGER), ("spark", "array<int>", VT.STRING),
     ],
 )
 def test_map_type(spark, flavour, declared, kind):
