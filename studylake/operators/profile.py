@@ -307,7 +307,8 @@ def code_table_items(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFr
 def enum_items(columns: DataFrame, enums: DataFrame) -> DataFrame:
     """Items of every enum column: `flavour, data_type, value, code`, numbered from 1 in declaration order.
 
-    MySQL and DuckDB spell the labels in the column type; others list them in their catalog.
+    MySQL and DuckDB spell the labels in the column type; others list them in their catalog. The labels of one type
+    are one declaration, so numbering them in one window is bounded.
     """
     spelled = columns.where(F.col("flavour").isin(*ENUM_BY_NAME) & F.startswith(F.lower("data_type"), F.lit("enum")))
     labels = F.regexp_extract_all(F.regexp_extract("data_type", r"(?i)enum\s*\((.*)\)", 1), F.lit("'([^']*)'"), 1)
