@@ -29,7 +29,9 @@ def _let(value: Column, use) -> Column:
 
 def strip_markup(text: Column) -> Column:
     """Plain text of a rich-text label."""
-    plain = F.regexp_replace(text, DROPPED_BLOCKS, " ")
+    # Without a closing tag there is no block, and no need to look for its end behind every opening one.
+    closed = F.contains(text, F.lit("</script>")) | F.contains(text, F.lit("</style>"))
+    plain = F.when(closed, F.regexp_replace(text, DROPPED_BLOCKS, " ")).otherwise(text)
     plain = F.regexp_replace(plain, TAG, " ")
     for entity, char in ENTITIES:
         plain = F.replace(plain, F.lit(entity), F.lit(char))

@@ -39,8 +39,10 @@ def parse_datetime(text: Column, value_format: str) -> Column:
     return F.to_timestamp_ntz(text, F.lit(spark_pattern(value_format)))
 
 
-def parse_time(text: Column, value_format: str) -> Column:
-    """Time of day as `HH:mm:ss` text."""
+def parse_time(text: Column, value_format: str, as_time: bool = False) -> Column:
+    """Time of day as `HH:mm:ss` text, or as TIME where the session has `spark.sql.timeType.enabled`."""
+    if as_time:
+        return F.to_time(text, F.lit(spark_pattern(value_format)))
     stamp = F.to_timestamp_ntz(F.concat(F.lit("1970-01-01 "), text), F.lit("yyyy-M-d " + spark_pattern(value_format)))
     return F.substring(stamp.cast("string"), 12, 8)
 
@@ -59,7 +61,9 @@ def multiresponse_array(text: Column) -> Column:
     return F.transform(F.split(text, ", *"), cast_category)
 
 
-def typed_columns(variables: list[VT.Variable], multiresponse_as_array: bool = False) -> list[Column]:
+def typed_columns(
+    variables: list[VT.Variable], multiresponse_as_array: bool = False, as_time: bool = False
+) -> list[Column]:
     """Projection of text columns into their variables' types, in variable order."""
     columns: list[Column] = []
     for variable in variables:
@@ -78,7 +82,7 @@ def typed_columns(variables: list[VT.Variable], multiresponse_as_array: bool = F
         elif kind == VT.DATETIME:
             columns.append(parse_datetime(text, variable.value_format).alias(variable.name))
         elif kind == VT.TIME:
-            columns.append(parse_time(text, variable.value_format).alias(variable.name))
+            columns.append(parse_time(text, variable.value_format, as_time).alias(variable.name))
         elif kind == VT.MULTIRESPONSE and multiresponse_as_array:
             columns.append(multiresponse_array(text).alias(variable.name))
         else:

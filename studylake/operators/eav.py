@@ -209,12 +209,13 @@ def wide_typed(
     variables: Sequence[Variable],
     integer_record: bool = True,
     multiresponse_as_array: bool = False,
+    as_time: bool = False,
     ordered: bool = False,
 ) -> DataFrame:
     """Whole pipeline, typed by variable: one column per variable, `<name>_raw` beside each category."""
     raw = wide_raw(eav, [variable.name for variable in variables])
     record = cast_integer(F.col("record")).alias("record") if integer_record else F.col("record")
-    wide = raw.select(record, *typed_columns(list(variables), multiresponse_as_array))
+    wide = raw.select(record, *typed_columns(list(variables), multiresponse_as_array, as_time))
     return wide.orderBy("record") if ordered else wide
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake.operators import eav
-from studylake.types import CATEGORY, EAV_SCHEMA, INTEGER, MULTIRESPONSE, STRING, Variable
+from studylake.types import CATEGORY, EAV_SCHEMA, INTEGER, MULTIRESPONSE, STRING, TIME, Variable
 
 ROWS = [
     ("1", "age", "30"), ("1", "visit", "b"), ("1", "visit", "a"), ("1", "visit", "a"), ("1", "sex", "1"),
@@ -140,6 +140,18 @@ def test_partial_typed(rows):
     assert typed.columns == ["sex", "sex_raw", "age", "record", "visit"]
 
 
+def test_arrays_and_times(spark, frame):
+    rows = frame([("1", "signs", "2"), ("1", "signs", "1"), ("1", "at", "5:30")], EAV_SCHEMA)
+    variables = [Variable("signs", MULTIRESPONSE), Variable("at", TIME, "%H:%M")]
+    assert tuple(eav.wide_typed(rows, variables, multiresponse_as_array=True).first()) == (1, [1, 2], "05:30:00")
+    before = spark.conf.get("spark.sql.timeType.enabled")
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        assert str(eav.wide_typed(rows, variables, as_time=True).first().at) == "05:30:00"
+    finally:
+        spark.conf.set("spark.sql.timeType.enabled", before)
+
+
 def test_odd_field_names(frame):
     rows = frame([("1", "a.b", "x"), ("1", "c`d", "y"), ("1", "e f", "2")], EAV_SCHEMA)
     wide = eav.wide_typed(rows, [Variable("a.b", STRING), Variable("c`d", STRING), Variable("e f", INTEGER)])

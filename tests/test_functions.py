@@ -46,6 +46,9 @@ def test_choice_items(spark, choice_text, expected):
         ("  <p>x</p>  ", "x"),
         ("&quot;a&#39;s&quot; &gt; b", "\"a's\" > b"),
         ("<SCRIPT>kept</SCRIPT>", "kept"),
+        ("<script>a<script>b</script>c</script>d", "c d"),
+        ("<style>a</script>b", "a b"),
+        ("<script>" * 50_000 + "x", "x"),
     ],
 )
 def test_strip_markup(spark, html, plain):
