@@ -70,6 +70,35 @@ def test_wide_typed(rows):
     assert {r.record for r in text.collect()} == {"r1", "r2", "r3", None}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_rows_follow_a_plain_reading(frame, seed):
+    random.seed(seed)
+    pick = random.choice
+    rows = [
+        (pick(["1", "2", "3", "", None]), pick(["a", "b", "c", "a b", "", None]), pick(["x", "y", "é", "", ", ", None]))
+        for _ in range(random.randint(1, 120))
+    ]
+    fields = ["a b", "c", "", "a", "absent"]
+    cells = {record: {field: [] for field in fields} for record, _, _ in rows}
+    for record, field, value in rows:
+        if field in fields and value is not None:
+            cells[record][field].append(value)
+    expected = [
+        (record, *[", ".join(sorted(by[f], key=lambda v: v.encode())) if by[f] else None for f in fields])
+        for record, by in cells.items()
+    ]
+    got = as_set(eav.wide_raw(frame(rows, EAV_SCHEMA), fields))
+    assert got == sorted(expected, key=str)
+    named = eav.flat_named_multi(frame(rows, EAV_SCHEMA), ["a"], ["c", "a b"])
+    kept = {r for r, f, _ in rows if f is not None and f != "a"}
+    flat = [
+        (min(by["c"], default=None, key=lambda v: v.encode()), min(by["a b"], default=None, key=lambda v: v.encode()),
+         ", ".join(sorted(by["a"], key=lambda v: v.encode())) if by["a"] else None)
+        for r, by in cells.items() if r in kept
+    ]
+    assert as_set(named) == sorted(flat, key=str)
+
+
 def test_extra_key_columns(frame):
     rows = frame(
         [("1", "base", "w", "70"), ("1", "year1", "w", "72"), ("1", "year1", "h", "180")],
