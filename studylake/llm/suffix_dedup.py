@@ -14,9 +14,9 @@ Ranks and order are those of fingerprints of the bytes (64 bits, and the bucket
 fingerprint in step 2), because only ties matter, not which suffix is smaller.
 
 The unit of exchange is a chunk: a set of documents from one input split. A chunk sends each distinct key once with a mark
-if it holds it more than once, so a key that holds a third of all positions arrives at most once per chunk; text and
-positions never leave their chunk. The text is written once, bucketed by chunk, to the shared folder, and later steps read
-it there without another shuffle.
+if it holds it more than once, so a key that holds a third of all positions arrives at most once per chunk, and gets back
+one bit for each key; text and positions never leave their chunk. The text is written once, bucketed by chunk, to the shared
+folder, and later steps read it there without another shuffle.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from studylake.llm.bytetext import U64, Sums, arrow_bytes, slices
 from studylake.llm.common import free_shuffles, materialize, partitions, pick
 from studylake.session import scratch_path
 
-#: Chunks made of each input split, by a hash of the document id.
-CHUNKS_PER_SPLIT = 4
+#: Bytes of an input split that become one chunk, by a hash of the document id.
+CHUNK_BYTES = 4 << 20
 KEYS = "round int, chunk int, bucket int, once binary, many binary"
-TIES = "round int, chunk int, ties binary"
+TIES = "round int, chunk int, bucket int, tied binary"
 OUT = (
     "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, "
     "span_starts array<long>, span_ends array<long>"
@@ -44,7 +44,7 @@ OUT = (
 _ARROW_KEYS = pa.schema(
     [("round", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("once", pa.binary()), ("many", pa.binary())]
 )
-_ARROW_TIES = pa.schema([("round", pa.int32()), ("chunk", pa.int32()), ("ties", pa.binary())])
+_ARROW_TIES = pa.schema([("round", pa.int32()), ("chunk", pa.int32()), ("bucket", pa.int32()), ("tied", pa.binary())])
 
 
 def difference_cover(length: int) -> tuple[int, np.ndarray]:
@@ -58,14 +58,20 @@ def difference_cover(length: int) -> tuple[int, np.ndarray]:
     return 24 * r * r + 36 * r + 13, np.cumsum([0, *steps])
 
 
-def _to_planes(keys: np.ndarray) -> bytes:
-    """Sorted keys with their bytes of one significance together, which the shuffle's compression can use."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, bytes of one significance together."""
+    if not len(keys):
+        return b""
+    planes = np.diff(keys, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(U64)
+def _unpack(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, U64)
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(U64), dtype=U64)
 
 
 def _pieces(table: pa.Table):
@@ -94,109 +100,136 @@ def _sample(offsets: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(wanted[within % v] & (_room(offsets) >= length - v + 1))
 
 
-def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(keys), bool)
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+class _Dealt:
+    """A chunk's keys, made distinct and dealt to buckets; the same again whenever it is made from the same chunk."""
+
+    def __init__(self, keys: np.ndarray, buckets: np.ndarray, n_buckets: int):
+        self.order = np.argsort(keys)
+        key, bucket = keys[self.order], buckets[self.order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))) if len(key) else np.zeros(0, bool)
+        self.group = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        self.twice = np.diff(np.append(at, len(key))) > 1
+        self.key, bucket = key[at], bucket[at]
+        small = np.uint16 if n_buckets <= 1 << 16 else np.int32
+        self.by_bucket = np.argsort(bucket.astype(small), kind="stable")
+        self.edges = np.searchsorted(bucket[self.by_bucket], np.arange(n_buckets + 1))
+
+    def buckets(self):
+        """(bucket, distinct keys in it that occur once in the chunk, those that occur more often)."""
+        for b in np.flatnonzero(np.diff(self.edges)).tolist():
+            own = self.by_bucket[self.edges[b] : self.edges[b + 1]]
+            yield b, own[~self.twice[own]], own[self.twice[own]]
+
+    def rows(self, round_: int, chunk: int) -> pa.Table:
+        columns: list[list] = [[], [], [], [], []]
+        for b, once, many in self.buckets():
+            for column, value in zip(columns, (round_, chunk, b, _pack(self.key[once]), _pack(self.key[many]))):
+                column.append(value)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW_KEYS.types)], schema=_ARROW_KEYS)
+
+    def tied(self, answers: pa.Table, round_: int) -> np.ndarray:
+        """For each key as given: is it tied with another, here or in another chunk?"""
+        found = self.twice.copy()
+        numbers, buckets = answers.column("round").to_pylist(), answers.column("bucket").to_pylist()
+        bits = {b: i for i, (number, b) in enumerate(zip(numbers, buckets)) if number == round_}
+        for b, once, _ in self.buckets():
+            if b in bits:
+                raw = np.frombuffer(answers.column("tied")[bits[b]].as_py(), np.uint8)
+                found[once] = np.unpackbits(raw, count=len(once)).astype(bool)
+        out = np.empty(len(self.order), bool)
+        out[self.order] = found[self.group]
+        return out
+
+
+class _Chunk:
+    """The texts of a chunk with their keys. Sums are kept for both steps: eight bytes for each byte of the chunk."""
+
+    def __init__(self, chunk: pa.Table, length: int, n_buckets: int):
+        self.number = chunk.column("chunk")[0].as_py()
+        self.length, self.n_buckets = length, n_buckets
+        self.pieces = [(buf, offsets, first, Sums(buf)) for buf, offsets, first in _pieces(chunk)]
+
+    def _deal(self, found: list[np.ndarray], keys: list[np.ndarray], buckets: list[np.ndarray]) -> tuple[list[np.ndarray], _Dealt]:
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return found, _Dealt(join(keys, U64), join(buckets, np.int32), self.n_buckets)
+
+    def samples(self) -> tuple[list[np.ndarray], _Dealt]:
+        """Cover positions of each piece; 40 bits of a fingerprint as the key and the rest for the bucket: a false tie here
+        only lets a suffix through to the next step."""
+        v, _ = difference_cover(self.length)
+        found, keys, buckets = [], [], []
+        for _, offsets, _, sums in self.pieces:
+            at = _sample(offsets, self.length)
+            h = sums.spans(at, at + (self.length - v + 1))
+            found.append(at)
+            keys.append(h >> U64(24))
+            buckets.append(((h & U64(0xFFFFFF)) % U64(self.n_buckets)).astype(np.int32))
+        return self._deal(found, keys, buckets)
+
+    def suffixes(self, answers: pa.Table) -> tuple[list[np.ndarray], _Dealt]:
+        """Suffixes of each piece with a tied cover sample in reach, by 64 bits and a bucket from other bits."""
+        at, dealt = self.samples()
+        tied = np.split(dealt.tied(answers, 0), np.cumsum([len(a) for a in at])[:-1])
+        found, keys, buckets = [], [], []
+        for (buf, offsets, _, sums), positions, mask in zip(self.pieces, at, tied):
+            starts = _in_reach(positions[mask], offsets, self.length)
+            found.append(starts)
+            if len(starts):
+                keys.append(sums.spans(starts, starts + self.length))
+                other = Sums(buf, 1).spans(starts, starts + self.length)
+                buckets.append((other % U64(self.n_buckets)).astype(np.int32))
+        return self._deal(found, keys, buckets)
 
 
-def _candidates(sums: Sums, offsets: np.ndarray, length: int, tied_samples: np.ndarray) -> np.ndarray:
-    """Suffixes with room for `length` bytes that have a tied cover sample in reach."""
-    v, _ = difference_cover(length)
-    sample = _sample(offsets, length)
-    tied = sample[_member(sums.spans(sample, sample + (length - v + 1)), tied_samples)]
+def _in_reach(tied: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Starts with room for `length` bytes of which a tied sample is less than v bytes away."""
     if not len(tied):
         return tied
-    # Each tied sample p allows starts from p - v + 1 to p; distances to the next tied sample say which starts reach one.
-    starts = np.arange(offsets[-1])
-    following = np.searchsorted(tied, starts)
-    reach = np.where(following < len(tied), tied[np.minimum(following, len(tied) - 1)] - starts, v)
-    return np.flatnonzero((reach < v) & (_room(offsets) >= length))
-
-
-def _key_rows(round_: int, chunk: int, keys: list[np.ndarray], buckets: list[np.ndarray], n_buckets: int) -> pa.Table:
-    """Distinct keys of a chunk, one row for each bucket that gets any."""
-    if not keys or not sum(map(len, keys)):
-        return _ARROW_KEYS.empty_table()
-    key, bucket = np.concatenate(keys), np.concatenate(buckets)
-    order = np.lexsort((key, bucket))
-    key, bucket = key[order], bucket[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
-    at = np.flatnonzero(new)
-    twice = np.diff(np.append(at, len(key))) > 1
-    key, bucket = key[at], bucket[at]
-    rows: dict[str, list] = {name: [] for name in _ARROW_KEYS.names}
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        own, dup = key[edges[b] : edges[b + 1]], twice[edges[b] : edges[b + 1]]
-        for name, value in zip(_ARROW_KEYS.names, (round_, chunk, int(b), _to_planes(own[~dup]), _to_planes(own[dup]))):
-            rows[name].append(value)
-    return pa.Table.from_pydict(rows, schema=_ARROW_KEYS)
+    v, _ = difference_cover(length)
+    change = np.zeros(int(offsets[-1]) + 1, np.int32)
+    np.add.at(change, np.maximum(tied - (v - 1), 0), 1)
+    np.add.at(change, tied + 1, -1)
+    return np.flatnonzero((np.cumsum(change)[:-1] > 0) & (_room(offsets) >= length))
 
 
 def _sample_keys(length: int, n_buckets: int):
-    v, _ = difference_cover(length)
-
-    def keys_of(chunk: pa.Table) -> pa.Table:
-        keys, buckets = [], []
-        for buf, offsets, _ in _pieces(chunk):
-            sample = _sample(offsets, length)
-            if len(sample):
-                key = np.unique(Sums(buf).spans(sample, sample + (length - v + 1)), return_counts=True)
-                for part in (key[0], key[0][key[1] > 1]):  # a second entry marks a key this slice holds twice
-                    keys.append(part)
-                    buckets.append((part >> U64(40)) % U64(n_buckets))
-        return _key_rows(0, chunk.column("chunk")[0].as_py(), keys, buckets, n_buckets)
+    def keys_of(table: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, length, n_buckets)
+        return chunk.samples()[1].rows(0, chunk.number)
 
     return keys_of
 
 
-def _ties_of(answers: pa.Table, round_: int) -> np.ndarray:
-    found = [
-        _from_planes(blob)
-        for number, blob in zip(answers.column("round").to_pylist(), answers.column("ties").to_pylist())
-        if number == round_
-    ]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
-
-
 def _suffix_keys(length: int, n_buckets: int):
-    def keys_of(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunk.num_rows or not answers.num_rows:
+    def keys_of(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
             return _ARROW_KEYS.empty_table()
-        tied, keys, buckets = _ties_of(answers, 0), [], []
-        for buf, offsets, _ in _pieces(chunk):
-            sums = Sums(buf)
-            starts = _candidates(sums, offsets, length, tied)
-            if len(starts):
-                keys.append(sums.spans(starts, starts + length))
-                buckets.append((Sums(buf, 1).spans(starts, starts + length) % U64(n_buckets)).astype(np.int32))
-        return _key_rows(1, chunk.column("chunk")[0].as_py(), keys, buckets, n_buckets)
+        chunk = _Chunk(table, length, n_buckets)
+        return chunk.suffixes(answers)[1].rows(1, chunk.number)
 
     return keys_of
 
 
 def _sort_bucket(rows: pa.Table) -> pa.Table:
-    """Sorts one bucket; for each chunk, the keys it sent that are tied."""
-    round_, chunks = rows.column("round")[0].as_py(), rows.column("chunk").to_pylist()
-    parts, owners, marks = [], [], []
+    """Sorts one bucket; for each chunk, a bit for each key it holds once: is it tied with a key of another chunk?"""
+    once = [_unpack(blob.as_py()) for blob in rows.column("once")]
+    many = [_unpack(blob.as_py()) for blob in rows.column("many")]
+    edges = np.cumsum([0, *map(len, once)])
+    keys = np.concatenate([*once, *many])
+    order = np.argsort(keys)
+    ordered = keys[order]
+    equal = ordered[1:] == ordered[:-1]
+    tied = np.empty(len(keys), bool)
+    tied[order] = np.concatenate((equal, [False])) | np.concatenate(([False], equal)) if len(keys) else False
+    columns: list[list] = [[], [], [], []]
     for i in range(rows.num_rows):
-        for name, mark in (("once", False), ("many", True)):
-            keys = _from_planes(rows.column(name)[i].as_py())
-            parts.append(keys)
-            owners.append(np.full(len(keys), chunks[i], np.int32))
-            marks.append(np.full(len(keys), mark))
-    keys, owner, mark = np.concatenate(parts), np.concatenate(owners), np.concatenate(marks)
-    order = np.argsort(keys, kind="stable")
-    keys, owner, mark = keys[order], owner[order], mark[order]
-    equal = keys[1:] == keys[:-1]
-    tied = np.concatenate((equal, [False])) | np.concatenate(([False], equal)) | mark
-    keys, owner = keys[tied], owner[tied]
-    order = np.argsort(owner, kind="stable")
-    keys, owner = keys[order], owner[order]
-    who, at = np.unique(owner, return_index=True)
-    blobs = [_to_planes(part) for part in np.split(keys, at[1:])] if len(who) else []
-    return pa.Table.from_pydict({"round": [round_] * len(who), "chunk": who.tolist(), "ties": blobs}, schema=_ARROW_TIES)
+        bits = tied[edges[i] : edges[i + 1]]
+        if bits.any():
+            values = (*(rows.column(c)[i].as_py() for c in ("round", "chunk", "bucket")), np.packbits(bits).tobytes())
+            for column, value in zip(columns, values):
+                column.append(value)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW_TIES.types)], schema=_ARROW_TIES)
 
 
 def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,18 +241,17 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[last] + length
 
 
-def _remove(length: int):
-    def removed(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        samples, windows = _ties_of(answers, 0), _ties_of(answers, 1)
-        ids = chunk.column("doc_id").to_pylist()
+def _remove(length: int, n_buckets: int):
+    def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _ARROW_OUT.empty_table()
+        chunk = _Chunk(table, length, n_buckets)
+        found, dealt = chunk.suffixes(answers)
+        masks = np.split(dealt.tied(answers, 1), np.cumsum([len(f) for f in found])[:-1])
+        ids = table.column("doc_id").to_pylist()
         rows: list[tuple] = []
-        for buf, offsets, first in _pieces(chunk):
-            tied = np.zeros(0, np.int64)
-            if len(windows):
-                sums = Sums(buf)
-                starts = _candidates(sums, offsets, length, samples)
-                if len(starts):
-                    tied = starts[_member(sums.spans(starts, starts + length), windows)]
+        for (buf, offsets, first, _), starts, mask in zip(chunk.pieces, found, masks):
+            tied = starts[mask]
             edges = np.searchsorted(tied, offsets)
             raw = buf.tobytes()
             for i in range(len(offsets) - 1):
@@ -235,10 +267,7 @@ def _remove(length: int):
                     (ids[first + i], b - a, b - a - len(rest), len(opens), hashlib.sha256(rest).hexdigest(), rest,
                      (opens - a).tolist(), (closes - a).tolist())
                 )
-        return pa.Table.from_arrays(
-            [pa.array(x, t) for x, t in zip(zip(*rows), _ARROW_OUT.types)] if rows else [pa.array([], t) for t in _ARROW_OUT.types],
-            schema=_ARROW_OUT,
-        )
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ARROW_OUT.types)], schema=_ARROW_OUT)
 
     return removed
 
@@ -266,10 +295,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
         raise ValueError("length must be positive")
     spark = docs.sparkSession
     n = partitions(spark)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    per_split = max(1, split // CHUNK_BYTES)
     texts = pick(docs, doc_id=id_column, text=text_column).withColumns(
         {
             "doc_id": F.col("doc_id").cast("long"),
-            "chunk": (F.spark_partition_id() * CHUNKS_PER_SPLIT + F.pmod(F.hash("doc_id"), F.lit(CHUNKS_PER_SPLIT))).cast("int"),
+            "chunk": (F.spark_partition_id() * per_split + F.pmod(F.hash("doc_id"), F.lit(per_split))).cast("int"),
         }
     )
     # Bucketed by chunk, so that each step reads the text where it lies and only keys are shuffled.
@@ -284,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     samples = answers(texts.groupBy("chunk").applyInArrow(_sample_keys(length, n), KEYS))
     free_shuffles(spark)
     together = texts.groupBy("chunk").cogroup(samples.groupBy("chunk"))
-    windows = answers(together.applyInArrow(_suffix_keys(length, n), KEYS))
+    suffixes = answers(together.applyInArrow(_suffix_keys(length, n), KEYS))
     free_shuffles(spark)
-    known = samples.unionByName(windows)
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_remove(length), OUT)
+    known = samples.unionByName(suffixes)
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_remove(length, n), OUT)
