@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from studylake.llm.common import read_table
+from studylake.llm.decontaminate import contamination
+from studylake.llm.line_dedup import HTML_BREAK, page_lines
+from studylake.llm.mixing import mix
 from studylake.llm.near_dedup import near_duplicates
 from studylake.llm.suffix_dedup import remove_repeats
 
@@ -34,3 +37,73 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT rid, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+hit AS (SELECT rid, dw.n, s, item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid),
+items AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS ids FROM hit GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+
+@query("op3_decontamination", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_OP2_SQL = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS host,
+    list_filter(list_transform(string_split_regex(coalesce(html, ''), '{HTML_BREAK}'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
+totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+often AS (
+  SELECT host, line FROM (SELECT DISTINCT rid, host, unnest(lines) AS line FROM p) JOIN totals USING (host)
+  GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > pages * CAST(0.3 AS DOUBLE)),
+x AS (SELECT rid, host, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM p),
+kept AS (SELECT rid, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM x ANTI JOIN often USING (host, line) GROUP BY rid)
+SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - coalesce(n, 0) AS BIGINT) AS n_dropped,
+  coalesce(text, '') AS text
+FROM p LEFT JOIN kept USING (rid)"""
+
+
+@query("op2_line_dedup", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_lines(read_table(spark, sf_dir, "pages"))
+
+
+_OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+w AS (
+  SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (
+  SELECT *, row_number() OVER f AS k, sum(3 * n) OVER f - 3 * n AS cut, sum(weight) OVER () - sum(weight) OVER f + weight AS open,
+    sum(n) OVER () AS total FROM w WINDOW f AS (ORDER BY 3 * n / CAST(weight AS DOUBLE), source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT min(CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) AS level FROM o
+  WHERE weight * (CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) <= 3 * n
+    AND k = (SELECT min(k) FROM o WHERE weight * (CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) <= 3 * n)),
+t AS (SELECT source, n, least(weight * coalesce(level, 0), CAST(3 * n AS DOUBLE)) AS target FROM w, level)
+SELECT doc_id, size, n AS source_size, target,
+  CASE WHEN n = 0 THEN 0 ELSE least(CAST(floor(target / n * size + u) AS BIGINT), 3 * size) END AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+
+@query("op6_mixing", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
