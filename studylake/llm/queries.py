@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from studylake.llm.common import read_table
 from studylake.llm.decontaminate import contamination
+from studylake.llm.languages import identify
 from studylake.llm.line_dedup import HTML_BREAK, page_lines
 from studylake.llm.mixing import mix
 from studylake.llm.near_dedup import near_duplicates
+from studylake.llm.quality import quality
 from studylake.llm.suffix_dedup import remove_repeats
+from studylake.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +110,21 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
