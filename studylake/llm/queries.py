@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from studylake.llm.common import read_table
 from studylake.llm.decontaminate import contamination
 from studylake.llm.languages import identify
+from studylake.llm.licenses import licenses
 from studylake.llm.line_dedup import HTML_BREAK, page_lines
 from studylake.llm.mixing import mix
 from studylake.llm.near_dedup import near_duplicates
@@ -145,3 +147,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op7_knn_join", _OP7_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
