@@ -20,6 +20,8 @@ from studylake.operators.ids import assign_ids, same_key
 from studylake.session import local_rows, materialize
 
 VERSION = ["major", "minor", "patch"]
+# Steps of lineage after which what was seen becomes one table.
+COMPACT = 16
 
 
 # --- changing state -------------------------------------------------------------------------------------------
@@ -437,21 +439,23 @@ def record_provenance(
     }
 
 
-def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_depth: int = 1000) -> DataFrame:
+def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Versions each seed was made from, with the fewest transformations in between.
 
     `seeds(version_id)` -> `seed_id, version_id, depth`. Each step goes from versions to the transformations that
     wrote them and on to what those read, removing repeats at both ends, so the input-by-output pairs of a busy
     transformation are never formed. A step is written to the shared scratch folder, which cuts the lineage of
-    the plan; the loop ends when a step finds nothing new.
+    the plan; the loop ends when a step finds nothing new, so cycles end it too. What was seen is written anew as one
+    table after every `COMPACT` steps.
     """
     # Every step reads the edges again, so they are brought into their shortest form once.
     wrote = materialize(outputs.select("version_id", "transformation_id").distinct(), "lineage-outputs")
     read = materialize(inputs.select("transformation_id", "version_id").distinct(), "lineage-inputs")
     frontier = seeds.select(F.col("version_id").alias("seed_id"), "version_id").distinct()
     frontier = materialize(frontier.withColumn("depth", F.lit(0)), "lineage")
-    seen = frontier
-    for depth in range(1, max_depth + 1):
+    seen, depth = frontier, 0
+    while True:
+        depth += 1
         steps = frontier.select("seed_id", "version_id").join(wrote, "version_id").select("seed_id", "transformation_id")
         reached = steps.distinct().join(read, "transformation_id").select("seed_id", "version_id").distinct()
         fresh = reached.join(seen.select("seed_id", "version_id"), ["seed_id", "version_id"], "left_anti")
@@ -459,7 +463,8 @@ def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_depth:
         if frontier.isEmpty():
             return seen.where("depth > 0")
         seen = seen.unionByName(frontier)
-    raise RuntimeError(f"lineage deeper than {max_depth} steps")
+        if depth % COMPACT == 0:
+            seen = materialize(seen, "lineage-seen")
 
 
 # --- seeds ----------------------------------------------------------------------------------------------------

@@ -153,7 +153,7 @@ def register(
     """New catalog state after a dictionary is registered, and the report of what was registered.
 
     Returns `report`, `variables`, `vocabularies` and `vocabulary_items` (the items of the dictionary's own
-    vocabularies, which replace older ones).
+    vocabularies, which replace older ones; all NULL but the id for a vocabulary without choices).
     """
     declared = dictionary_variables(dictionary, domain_id, prefix)
     coded = vocabularies(dictionary, domain_id, prefix)
@@ -175,7 +175,7 @@ def register(
     )
     latest = coded.groupBy("name").agg(F.max_by("items", "ord").alias("items"))
     items = latest.join(vocab_ids, latest["name"] == vocab_ids["vocabulary"]).select(
-        "vocabulary_id", F.inline("items")
+        "vocabulary_id", F.inline_outer("items")  # a list that is now empty still empties the stored one
     )
     return {"report": report, "variables": variables, "vocabularies": vocabs, "vocabulary_items": items}
 

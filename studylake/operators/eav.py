@@ -14,13 +14,13 @@ where a pivot tests each row against each column.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions.values import cast_integer, typed_columns
-from studylake.operators.sizing import MAX_ROWS, bounded_rows, broadcast_if_small
 from studylake.types import Variable
 
 RECORD = ("record",)
@@ -44,7 +44,7 @@ def multi_fields(eav: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
 
 def single_rows(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Rows of the fields that are never multi-valued."""
-    multi = broadcast_if_small(multi_fields(eav) if multi is None else multi)
+    multi = multi_fields(eav) if multi is None else multi
     return eav.join(multi, "field_name", "left_anti").select(*eav.columns)
 
 
@@ -72,30 +72,30 @@ def _written_out(value: Column, n: Column) -> Column:
 
 def multi_agg(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Joined values of the multi-valued fields."""
-    multi = broadcast_if_small(multi_fields(eav) if multi is None else multi)
+    multi = multi_fields(eav) if multi is None else multi
     return joined_values(eav.join(multi, "field_name", "left_semi"))
 
 
-def prepped(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
-    """Single-valued rows as they are, multi-valued fields joined: one row per (record, field)."""
-    multi = broadcast_if_small(multi_fields(eav) if multi is None else multi)
-    return single_rows(eav, multi).select("record", "field_name", "value").unionByName(multi_agg(eav, multi))
+def prepped(eav: DataFrame) -> DataFrame:
+    """One row per (record, field): a single value as it is, several joined.
+
+    A field with one row in a record joins to exactly that row's value, so one pass serves both kinds of field.
+    """
+    return joined_values(eav).select("record", "field_name", "value")
 
 
 def column_names(eav: DataFrame) -> list[str]:
-    """Field names as the columns of a wide table; refuses what no table can hold rather than cutting it."""
-    rows = bounded_rows(field_names(eav.where(F.col("field_name").isNotNull())))
-    if rows is None:
-        raise ValueError(f"more than {MAX_ROWS} distinct field names: pass the fields to keep")
-    return [row.field_name for row in rows]
+    """Field names as the columns of a wide table, all of them."""
+    return [row.field_name for row in field_names(eav.where(F.col("field_name").isNotNull())).collect()]
 
 
 def pivot(rows: DataFrame, fields: Sequence[str], keys: Sequence[str] = RECORD) -> DataFrame:
     """One row per record, one column per field, its (smallest) non-null value.
 
-    Rows are sent to their record as they are; partial results would each carry every column.
+    Values fold per (record, field) on the map side first, so a hot record travels as one row for each of its fields.
     """
-    cells = _of_fields(rows, fields, keys).repartition(*keys).withColumn("n", F.lit(1))
+    smallest = _of_fields(rows, fields, keys).groupBy(*keys, "field_name").agg(F.min("value").alias("value"))
+    cells = smallest.repartition(*keys).withColumn("n", F.lit(1))
     return _widen(_collect_cells(cells, keys), fields, keys, lambda run: run[0]["value"])
 
 
@@ -194,12 +194,9 @@ def unmatched_fields(fields: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def variable_list(matched: DataFrame) -> list[Variable]:
-    """Matched variables as a projection list, ordered by name. They are columns, so they are bounded."""
-    rows = bounded_rows(matched.select("field_name", "value_type_id", "value_format").orderBy("field_name"))
-    if rows is None:
-        raise ValueError(f"more than {MAX_ROWS} variables in one table")
-    names = [row.field_name for row in rows]
-    repeated = sorted({name for name in names if names.count(name) > 1}) if len(set(names)) < len(names) else []
+    """Matched variables as a projection list, ordered by name."""
+    rows = matched.select("field_name", "value_type_id", "value_format").orderBy("field_name").collect()
+    repeated = sorted(name for name, n in Counter(row.field_name for row in rows).items() if n > 1)
     if repeated:
         raise ValueError(f"variables defined in several domains: {repeated}")
     return [Variable(row.field_name, row.value_type_id, row.value_format) for row in rows]

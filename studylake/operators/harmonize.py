@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.operators.ids import assign_ids
-from studylake.operators.sizing import MAX_ROWS, bounded_rows
 
 COMPARISONS = {
     "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v,
@@ -34,24 +33,27 @@ def mapping_rules(mapping: DataFrame, variables: DataFrame) -> list[MappingRule]
     """Rules of a variable mapping table, with variable ids replaced by names, in mapping order.
 
     `mapping(mapping_id, from_variable_id, to_variable_id, operator, operants, prerequisite_id)`. Rules become
-    columns of a projection, so there is a bound to their number, and going beyond it is an error.
+    columns of a projection, all of them.
     """
     names = variables.select("variable_id", "name")
     named = mapping
     for column, out in (("to_variable_id", "destination"), ("from_variable_id", "source"), ("prerequisite_id", "prerequisite")):
         lookup = names.select(F.col("variable_id").alias(column), F.col("name").alias(out))
         named = named.join(lookup, column, "left")
-    rows = bounded_rows(named.select("mapping_id", "destination", "source", "operator", "operants", "prerequisite", "prerequisite_id").orderBy("mapping_id"))
-    if rows is None:
-        raise ValueError(f"more than {MAX_ROWS} mapping rules")
+    rows = named.select("mapping_id", "destination", "source", "operator", "operants", "prerequisite", "prerequisite_id")
+    rows = rows.orderBy("mapping_id").collect()
     for row in rows:
         if row.destination is None or row.source is None or (row.prerequisite is None and row.prerequisite_id is not None):
             raise ValueError(f"mapping {row.mapping_id} names an unknown variable")
     return [MappingRule(row.destination, row.source, row.operator, row.operants, row.prerequisite) for row in rows]
 
 
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def _rule_value(df: DataFrame, rule: MappingRule) -> Column:
-    source = F.col(rule.source)
+    source = _quoted(rule.source)
     kind = df.schema[rule.source].dataType
     if rule.operator == "map":
         pairs = [pair.split("=", 1) for pair in rule.operands.split("|")]
@@ -71,7 +73,7 @@ def _rule_value(df: DataFrame, rule: MappingRule) -> Column:
     if rule.prerequisite is None:
         return value
     # A prerequisite holds when it is neither NULL, nor empty, nor zero.
-    return F.when(~F.coalesce(F.col(rule.prerequisite).cast("string"), F.lit("0")).isin("", "0", "0.0", "false"), value)
+    return F.when(~F.coalesce(_quoted(rule.prerequisite).cast("string"), F.lit("0")).isin("", "0", "0.0", "false"), value)
 
 
 def apply_variable_mapping(df: DataFrame, rules: Sequence[MappingRule], keep: Sequence[str]) -> DataFrame:
@@ -90,7 +92,7 @@ def apply_variable_mapping(df: DataFrame, rules: Sequence[MappingRule], keep: Se
         if len(compared) > 1:
             compared = [F.greatest(*compared)]
         derived.append(F.coalesce(*mapped, *compared).alias(name))
-    return df.select(*keep, *derived)
+    return df.select(*map(_quoted, keep), *derived)
 
 
 def recode_table(mapping: DataFrame, from_items: DataFrame, to_items: DataFrame) -> DataFrame:
@@ -103,10 +105,18 @@ def recode_table(mapping: DataFrame, from_items: DataFrame, to_items: DataFrame)
 def recode_vocabulary(
     df: DataFrame, column: str, mapping: DataFrame, from_items: DataFrame, to_items: DataFrame, out: str
 ) -> DataFrame:
-    """Translate a category column into another vocabulary; values without a counterpart become NULL."""
-    table = recode_table(mapping, from_items, to_items)
+    """Translate a category column into another vocabulary; values without a counterpart become NULL.
+
+    A value with several counterparts fails the query and is named: rows never multiply.
+    """
+    table = recode_table(mapping, from_items, to_items).groupBy("from_value").agg(
+        F.min("to_value").alias("_least"), F.max("to_value").alias("_most")
+    )
+    several = F.concat(F.lit("several counterparts of "), F.col("from_value").cast("string"))
+    single = F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(F.raise_error(several).cast("int"))
+    table = table.select("from_value", single.cast(table.schema["_least"].dataType).alias("_to"))
     return df.join(table, df[column] == table["from_value"], "left").select(
-        *[df[name] for name in df.columns], F.col("to_value").alias(out)
+        *[df[name] for name in df.columns], F.col("_to").alias(out)
     )
 
 
@@ -138,15 +148,19 @@ def extract_entity_instances(
 
 def extract_relation_instances(
     df: DataFrame, subject: str, object_: str, at: str, subjects: DataFrame, objects: DataFrame,
-    relation_id: int, transformation_id: int,
+    relation_id: int, transformation_id: int, study_id: str = "study_id",
 ) -> DataFrame:
-    """One row per related pair with the first and last date it was seen."""
-    pairs = df.groupBy(F.col(subject).cast("string").alias("_s"), F.col(object_).cast("string").alias("_o")).agg(
-        F.min(F.to_date(at)).alias("valid_from"), F.max(F.to_date(at)).alias("valid_to")
-    )
-    left = subjects.select(F.col("external_id").alias("_s"), F.col("instance_id").alias("entity_instance_id_1"))
-    right = objects.select(F.col("external_id").alias("_o"), F.col("instance_id").alias("entity_instance_id_2"))
-    return pairs.join(left, "_s").join(right, "_o").select(
+    """One row per related pair and study with the first and last date it was seen.
+
+    `study_id` names the study's column in `df`; instances (`study_id, external_id, instance_id`, of one entity each) are those
+    of the same study, for external ids are only unique within one.
+    """
+    keys = (F.col(study_id).cast("bigint").alias("_study"), F.col(subject).cast("string").alias("_s"), F.col(object_).cast("string").alias("_o"))
+    pairs = df.groupBy(*keys).agg(F.min(F.to_date(at)).alias("valid_from"), F.max(F.to_date(at)).alias("valid_to"))
+    study = F.col("study_id").cast("bigint").alias("_study")
+    left = subjects.select(study, F.col("external_id").alias("_s"), F.col("instance_id").alias("entity_instance_id_1"))
+    right = objects.select(study, F.col("external_id").alias("_o"), F.col("instance_id").alias("entity_instance_id_2"))
+    return pairs.join(left, ["_study", "_s"]).join(right, ["_study", "_o"]).select(
         F.lit(relation_id).cast("bigint").alias("entity_relation_id"),
         F.col("entity_instance_id_1").cast("bigint").alias("entity_instance_id_1"),
         F.col("entity_instance_id_2").cast("bigint").alias("entity_instance_id_2"), "valid_from", "valid_to",
@@ -160,12 +174,18 @@ def relations_valid_at(relations: DataFrame, start: str, end: str | None = None)
     return relations.where((F.col("valid_from") <= last) & (F.col("valid_to") >= first))
 
 
-def asset_entities(rows: DataFrame, asset_id: str, external_id: str, instances: DataFrame) -> DataFrame:
-    """Which instances occur in which asset."""
-    used = rows.select(F.col(asset_id).alias("asset_id"), F.col(external_id).cast("string").alias("external_id")).distinct()
-    return used.join(instances.select("external_id", F.col("instance_id").alias("entity_instance_id")), "external_id").select(
-        "asset_id", "entity_instance_id"
+def asset_entities(
+    rows: DataFrame, asset_id: str, external_id: str, instances: DataFrame, study_id: str = "study_id"
+) -> DataFrame:
+    """Which instances of the asset's study occur in which asset; `study_id` names the study's column in `rows`."""
+    used = rows.select(
+        F.col(asset_id).alias("asset_id"), F.col(study_id).cast("bigint").alias("study_id"),
+        F.col(external_id).cast("string").alias("external_id"),
     ).distinct()
+    known = instances.select(
+        F.col("study_id").cast("bigint").alias("study_id"), "external_id", F.col("instance_id").alias("entity_instance_id")
+    )
+    return used.join(known, ["study_id", "external_id"]).select("asset_id", "entity_instance_id").distinct()
 
 
 def accessible_studies(rows: DataFrame, access: DataFrame, user_id: str, levels: Sequence[str] | None = None) -> DataFrame:

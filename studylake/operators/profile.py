@@ -2,9 +2,11 @@
 
 Snapshots (one row per thing, any number of source databases side by side):
 
-- `columns(flavour, schema_name, table_name, ordinal, column_name, data_type, is_nullable, comment)`
+- `columns(flavour, schema_name, table_name, ordinal, column_name, data_type, is_nullable, comment)`, optionally with
+  `base_type` where `data_type` is the full declaration (MySQL: `tinyint(1)`, `enum(…)`)
 - `constraints(flavour, schema_name, table_name, kind, columns[], ref_table, ref_columns[], definition)`, kind one of
-  `PRIMARY KEY`, `FOREIGN KEY`, `CHECK`
+  `PRIMARY KEY`, `FOREIGN KEY`, `CHECK`; optionally with `ref_schema`, without which a reference means the first schema
+  by name that has such a code table
 - `enums(flavour, type_name, ord, label)`
 - `row_counts(flavour, schema_name, table_name, n)`
 - `code_items(flavour, schema_name, table_name, value, code, description)`, the rows of small keyed tables
@@ -67,11 +69,16 @@ def declared_variables(df: DataFrame) -> list[tuple[str, int, str | None]]:
 
 
 def query_source_table(queries: DataFrame, sql: str = "sql", out: str = "source_table") -> DataFrame:
-    """First table after FROM in each query text; NULL for qualified names and anything else that does not match."""
-    word = r"[\p{L}\p{N}_]+"
-    found = F.regexp_extract(F.col(sql), rf"(?i)FROM\s+([\"'`\[]?{word}[\"'`\]]?)(?:\s|\z|,|;)", 1)
-    bare = F.regexp_replace(found, r"^[\"'`\[\]]+|[\"'`\[\]]+\z", "")
-    return queries.withColumn(out, F.when(found != "", bare))
+    """First table after FROM in each query text; NULL for qualified names and anything else that does not match.
+
+    What follows the first FROM is cut at the next blank, comma or semicolon; it is a table if it is one word, or one
+    word between quotes.
+    """
+    after = F.ltrim(F.regexp_replace(F.regexp_extract(F.col(sql), r"(?is)\bfrom(\s.*)", 1), r"\s", " "))
+    named = F.substring_index(F.translate(after, ",;", "  "), " ", 1)
+    quoted = F.translate(named, "\"'`[]", "")
+    closed = F.length(named) - F.length(quoted)
+    return queries.withColumn(out, F.when(F.rlike(quoted, F.lit(r"^[\p{L}\p{N}_]+$")) & (closed <= 2), quoted))
 
 
 # --- columns --------------------------------------------------------------------------------------------------
@@ -116,10 +123,19 @@ def list_table_columns(columns: DataFrame, table_name: str | None = None) -> Dat
 
 def foreign_keys(constraints: DataFrame) -> DataFrame:
     """Referenced table and column of every foreign key column, multi-column keys matched by position."""
+    return _references(constraints).drop("ref_schema")
+
+
+def _references(constraints: DataFrame) -> DataFrame:
+    """`foreign_keys` with `ref_schema`, NULL where the snapshot does not say."""
     pairs = F.explode(F.arrays_zip("columns", "ref_columns"))
+    schema = F.col("ref_schema") if "ref_schema" in constraints.columns else F.lit(None).cast("string").alias("ref_schema")
     return (
-        constraints.where(F.col("kind") == "FOREIGN KEY").select(*TABLE, "ref_table", pairs.alias("pair"))
-        .select(*TABLE, F.col("pair.columns").alias("column_name"), "ref_table", F.col("pair.ref_columns").alias("ref_column"))
+        constraints.where(F.col("kind") == "FOREIGN KEY").select(*TABLE, schema, "ref_table", pairs.alias("pair"))
+        .select(
+            *TABLE, F.col("pair.columns").alias("column_name"), "ref_schema", "ref_table",
+            F.col("pair.ref_columns").alias("ref_column"),
+        )
         .where("column_name IS NOT NULL AND ref_column IS NOT NULL")
     )
 
@@ -167,7 +183,10 @@ def code_table_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
     The code is the first text column besides the key. The description is the last text column with a telling
     name, unless that is the code; then it is the next text column.
     """
-    typed = map_types(columns)
+    typed = columns
+    if "base_type" in columns.columns:
+        typed = columns.withColumn("data_type", F.coalesce("base_type", "data_type"))
+    typed = map_types(typed)
     texts = (
         typed.where(F.col("value_type_id") == VT.STRING)
         .join(keys.select(*TABLE, F.col("column_name").alias("key_column")), TABLE)
@@ -407,11 +426,19 @@ def profile_catalog(
         F.lower("column_name").alias("_ref"), "items",
     )
     by_table = with_items.groupBy("flavour", "ref_table", "_ref").agg(F.min_by("items", "ref_schema").alias("fk_items"))
-    first_key = foreign_keys(constraints).groupBy(*COLUMN).agg(
-        F.min(F.struct("ref_table", "ref_column")).alias("_fk")
-    ).select(*TABLE, F.lower("column_name").alias("_col"), F.col("_fk.ref_table").alias("ref_table"), F.lower("_fk.ref_column").alias("_ref"))
-    referenced = first_key.join(by_table, ["flavour", "ref_table", "_ref"]).select(
-        *TABLE, "_col", F.col("ref_table").alias("fk_table"), "fk_items"
+    first_key = _references(constraints).groupBy(*COLUMN).agg(
+        F.min(F.struct("ref_table", "ref_column", "ref_schema")).alias("_fk")
+    ).select(
+        *TABLE, F.lower("column_name").alias("_col"), F.col("_fk.ref_schema").alias("ref_schema"),
+        F.col("_fk.ref_table").alias("ref_table"), F.lower("_fk.ref_column").alias("_ref"),
+    )
+    # The table of the schema that is named, or of the first schema that has one.
+    any_schema = by_table.select("flavour", F.lit(None).cast("string").alias("ref_schema"), "ref_table", "_ref", "fk_items")
+    one_schema = with_items.select("flavour", "ref_schema", "ref_table", "_ref", F.col("items").alias("fk_items"))
+    known = any_schema.unionByName(one_schema).withColumnRenamed("ref_schema", "_schema")
+    referenced = (
+        first_key.join(known, ["flavour", "ref_table", "_ref"]).where(F.col("ref_schema").eqNullSafe(F.col("_schema")))
+        .select(*TABLE, "_col", F.col("ref_table").alias("fk_table"), "fk_items")
     )
     integers = typed.where(F.col("value_type_id") == VT.INTEGER)
     named = code_table_by_name(integers, constraints).select(

@@ -17,7 +17,6 @@ from studylake.operators.ids import assign_ids
 from studylake.operators.profile import declared_variables
 from studylake.operators.reconcile import void_to_string
 from studylake.plans.store import StudyLake
-from studylake.operators.sizing import computed_once
 from studylake.session import local_rows, materialize
 from studylake.sources import files as lake_files
 from studylake.sources.readers import read_query, scan_dictionary_json, scan_eav_csv, scan_eav_transcode
@@ -161,18 +160,28 @@ def _publish(
 
 
 def ingest_files(
-    lake: StudyLake, study: str, path: str, bump: str = "patch", provenance: Mapping[str, str] | None = None
-) -> DataFrame:
-    """Register every file below `path` as a new version of its asset, with digest and format."""
+    lake: StudyLake, study: str, path: str, bump: str = "patch", provenance: Mapping[str, str] | None = None,
+    edam_format: str | None = None, description: str | None = None, new_version: bool = True, cell_bytes: int = lake_files.CELL_BYTES,
+) -> DataFrame:
+    """Register every file below `path`, empty ones too, as a new version of its asset, with digest and format.
+
+    Files of one legal name become versions of one asset in the order of their paths. `edam_format` is the format of all files
+    (otherwise the extension tells), `description` that of new assets. With `new_version=False` a file whose asset exists is
+    refused. Files above `cell_bytes` are hashed as a stream; digests are the same.
+    """
     spark, study_id, state = lake.spark, lake.study_id(study), lake.catalog()
     own = state["assets"].where((F.col("study_id") == study_id) & (F.col("asset_type") == "file"))
-    manifest = lake_files.file_manifest(lake_files.scan_files(spark, path), own, state["asset_versions"], study, bump)
+    scanned = lake_files.scan_files(spark, path, cell_bytes)
+    manifest = lake_files.file_manifest(scanned, own, state["asset_versions"], study, bump, edam_format)
     # Digests are computed once: the manifest is written before the catalog tables are derived from it.
     location = f"{lake.root}/manifests/{study_id}/{_now():%Y%m%d%H%M%S%f}"
     manifest.write.parquet(location)
     manifest = spark.read.schema(manifest.schema).parquet(location)
+    known = None if new_version else manifest.where("asset_id IS NOT NULL").select("asset_name").first()
+    if known is not None:
+        raise ValueError(f"file {known.asset_name!r} exists in study {study!r}: allow a new version")
     new = manifest.where("asset_id IS NULL").select(F.lit(study_id).alias("study_id"), F.col("asset_name").alias("name"))
-    new = new.withColumns({"ord": F.lit(0), "description": F.lit(None).cast("string"), "asset_type": F.lit("file")})
+    new = new.withColumns({"ord": F.lit(0), "description": F.lit(description).cast("string"), "asset_type": F.lit("file")})
     assets = catalog.insert_if_absent(
         state["assets"], new, ["study_id", "name"], "asset_id", ["description", "asset_type"], "ord"
     )
@@ -232,12 +241,14 @@ def eav_to_dataset(
     integer_record: bool = True,
     charset: str | None = None,
     provenance: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Turn an EAV file into a typed, versioned dataset named after the file without `_eav`.
 
     The rows come from `rows`, from `path`, or from the latest version of the file asset; `charset` names the
-    file's single-byte character set if it is not UTF-8. Fields without a
-    variable are reported and left out.
+    file's single-byte character set if it is not UTF-8. Files are split between tasks; set `multi_line` for exports
+    whose values hold line breaks, which makes a file one task. Fields without a variable are left out; all of them
+    are named in a warning and stored beside the dataset (`StudyLake.fields_left_out`).
     """
     study_id, state = lake.study_id(study), lake.catalog()
     source = state["assets"].where((F.col("study_id") == study_id) & (F.col("name") == file_asset)).first()
@@ -248,17 +259,21 @@ def eav_to_dataset(
     if rows is None:
         if path is None:
             raise ValueError(f"no file {file_asset!r} in study {study!r}")
-        # A file with line breaks in values is one task to read, so it is read once.
-        export = scan_eav_transcode(lake.spark, path, charset) if charset else scan_eav_csv(lake.spark, path)
+        # Text is parsed once; later steps read columns.
+        if charset:
+            export = scan_eav_transcode(lake.spark, path, charset, multi_line)
+        else:
+            export = scan_eav_csv(lake.spark, path, multi_line)
         rows = materialize(export, "eav")
     stem = file_asset.removesuffix("_eav")
     name = lake.spark.range(1).select(legal_name(F.lit(stem), strict=True).alias("n")).first().n
 
     known = catalog.study_variables(state["variables"], state["study_domains"], study_id)
-    fields = computed_once(rows.select("field_name").distinct(), "fields")
-    left_out = [row.field_name for row in eav.unmatched_fields(fields, known).limit(20).collect()]
+    fields = materialize(rows.select("field_name").distinct(), "fields")
+    unmatched = materialize(eav.unmatched_fields(fields, known), "unmatched")
+    left_out = [row.field_name for row in unmatched.orderBy("field_name").collect()]
     if left_out:
-        warnings.warn(f"fields without a variable, e.g. {left_out}", stacklevel=2)
+        warnings.warn(f"fields without a variable: {left_out}", stacklevel=2)
     matched = eav.variable_match(fields, known)
     variables = eav.variable_list(matched)
     wide = (
@@ -267,6 +282,7 @@ def eav_to_dataset(
     state, _, version_id, number = _add_version(lake, study_id, name, "dataset", f"Dataset from eav file {file_asset}")
     location = lake.new_data_path(study, name, number)
     wide.write.parquet(location)
+    unmatched.write.parquet(lake.left_out_path(location))
     links = matched.select(
         F.lit(version_id).cast("bigint").alias("version_id"), "variable_id", F.lit(None).cast("int").alias("ordinal"), "keyrole"
     )
@@ -314,7 +330,7 @@ def query_to_dataset(
     state, _, version_id, number = _add_version(lake, study_id, name, "dataset", f"Query dataset {name}", explicit=new_version)
     vocabularies, items = state["vocabularies"], state["vocabulary_items"]
     if variables is not None:
-        variables = computed_once(variables.where(F.col("column_name").isin(result.columns)), "variables")
+        variables = materialize(variables.where(F.col("column_name").isin(result.columns)), "variables")
         names = [row.column_name for row in variables.select("column_name").collect()]
         if len(set(names)) < len(names):
             raise ValueError("variables describe a column more than once: choose those of one source table")

@@ -88,6 +88,15 @@ class StudyLake:
         ).first().name
         return f"{self.root}/data/{name.replace('.', '/', 1)}/{uuid.uuid4().hex}"
 
+    @staticmethod
+    def left_out_path(location: str) -> str:
+        """Where the fields a dataset version left out are listed."""
+        return f"{location}-left-out"
+
+    def fields_left_out(self, location: str) -> DataFrame:
+        """`field_name` of every field the dataset version at `location` has no variable for."""
+        return self.spark.read.schema("field_name STRING").parquet(self.left_out_path(location))
+
     def read_dataset(self, study: str, dataset: str, version: tuple[int, int, int] | None = None) -> DataFrame:
         """A dataset's latest version, or the one asked for."""
         study_id = self.study_id(study)

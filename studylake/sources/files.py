@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from studylake.functions.names import legal_name, version_suffix
 from studylake.operators.catalog import next_versions
+from studylake.session import local_rows
 
 # Files up to this size are read as one cell; larger ones are hashed as a stream.
 CELL_BYTES = 256 * 1024 * 1024
@@ -27,15 +28,32 @@ EDAM_FORMATS = {
 }
 
 
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of no bytes below `path`, which Spark's own file scan passes over."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for status in store.globStatus(top) or []:
+        below = store.listFiles(status.getPath(), True)
+        while below.hasNext():
+            entry = below.next()
+            if entry.getLen() == 0:
+                found.append(entry.getPath().toString())
+    return [uri for uri in found if not uri.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
 def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """`storage_uri, file_name, extension, length, digest` of every file below `path` that is not empty."""
+    """`storage_uri, file_name, extension, length, digest` of every file below `path`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     small = files.where(F.col("length") <= cell_bytes).select("path", "length", F.sha2("content", 256).alias("digest"))
     large = files.where(F.col("length") > cell_bytes).select("path", "length")
     streamed = large.repartition("path").mapInPandas(_streamed_hash(CHUNK), "path string, length bigint, digest string")
     name = F.substring_index("path", "/", -1)
     extension = F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    return small.unionByName(streamed).select(
+    nothing = hashlib.sha256(b"").hexdigest()
+    empty = local_rows(spark, [(uri, 0, nothing) for uri in empty_files(spark, path)], "path string, length bigint, digest string")
+    return small.unionByName(streamed).unionByName(empty).select(
         F.col("path").alias("storage_uri"), name.alias("file_name"), extension.alias("extension"), "length", "digest"
     )
 
@@ -60,26 +78,34 @@ def _streamed_hash(chunk_bytes: int):
     return hash_files
 
 
-def file_manifest(files: DataFrame, assets: DataFrame, versions: DataFrame, study: str, bump: str = "patch") -> DataFrame:
+def file_manifest(
+    files: DataFrame, assets: DataFrame, versions: DataFrame, study: str, bump: str = "patch", edam_format: str | None = None
+) -> DataFrame:
     """Files with the asset they belong to, their next version and their path in the lake.
 
     The asset name is the strict legal name of the file name without extension. `assets(asset_id, name)` are the
-    study's file assets; unknown names start at 1.0.0.
+    study's file assets; unknown names start at 1.0.0. Several files of one asset get consecutive versions in the order
+    of their paths, each a further `bump`. `edam_format` overrides what the extension tells.
     """
     stem = F.regexp_replace("file_name", r"\.[^.]+$", "")
     edam = F
     for extension, uri in EDAM_FORMATS.items():
         edam = edam.when(F.lower("extension") == f".{extension}", uri)
-    named = files.withColumns({"asset_name": legal_name(stem, strict=True), "edam_format": edam.otherwise(None)})
+    named = files.withColumns({"asset_name": legal_name(stem, strict=True), "edam_format": F.lit(edam_format) if edam_format else edam.otherwise(None)})
     known = named.join(
         assets.select(F.col("name").alias("asset_name"), "asset_id"), "asset_name", "left"
     )
     bumped = next_versions(
         known.where("asset_id IS NOT NULL").select("asset_id", F.lit(bump).alias("bump")).distinct(), versions
     )
-    numbered = known.join(bumped, "asset_id", "left").withColumns(
-        {"major": F.coalesce("major", F.lit(1)), "minor": F.coalesce("minor", F.lit(0)), "patch": F.coalesce("patch", F.lit(0))}
-    )
+    later = F.row_number().over(Window.partitionBy("asset_name").orderBy("storage_uri")) - 1
+    place = ["major", "minor", "patch"].index(bump)
+    first = [F.coalesce("major", F.lit(1)), F.coalesce("minor", F.lit(0)), F.coalesce("patch", F.lit(0))]
+    numbers = {
+        name: (first[i] + F.col("_later") if i == place else F.when(F.col("_later") > 0, 0).otherwise(first[i]) if i > place else first[i]).cast("int")
+        for i, name in enumerate(["major", "minor", "patch"])
+    }
+    numbered = known.join(bumped, "asset_id", "left").withColumn("_later", later).withColumns(numbers)
     suffix = version_suffix(F.col("major"), F.col("minor"), F.col("patch"))
     return numbered.select(
         "asset_id", "asset_name", "storage_uri", "extension", "length", "digest", "edam_format", "major", "minor", "patch",

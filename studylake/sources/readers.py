@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from studylake.types import DICTIONARY_SCHEMA, EAV_SCHEMA
 
 
-def scan_eav_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def scan_eav_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """EAV export with a header row -> `record, field_name, value`, all text; other columns are ignored.
 
     Values may hold line breaks, which makes a file one task. Set `multi_line=False` for exports known to have

@@ -31,7 +31,7 @@ COLUMN_QUERIES = {
         WHERE c.table_schema NOT IN ('pg_catalog', 'information_schema')""",
     "mysql": """
         SELECT table_schema AS schema_name, table_name AS table_name, ordinal_position AS ordinal, column_name AS column_name,
-               column_type AS data_type, is_nullable = 'YES' AS is_nullable, column_comment AS comment
+               column_type AS data_type, is_nullable = 'YES' AS is_nullable, column_comment AS comment, data_type AS base_type
         FROM information_schema.columns WHERE table_schema = DATABASE()""",
     "mssql": """
         SELECT c.TABLE_SCHEMA AS schema_name, c.TABLE_NAME AS table_name, c.ORDINAL_POSITION AS ordinal, c.COLUMN_NAME AS column_name,
@@ -55,59 +55,60 @@ CONSTRAINT_QUERIES = {
                CASE c.contype WHEN 'p' THEN 'PRIMARY KEY' WHEN 'f' THEN 'FOREIGN KEY' ELSE 'CHECK' END AS kind,
                (SELECT string_agg(a.attname, chr(31) ORDER BY k.i) FROM unnest(c.conkey) WITH ORDINALITY k(num, i)
                 JOIN pg_attribute a ON a.attrelid = c.conrelid AND a.attnum = k.num) AS columns,
-               r.relname AS ref_table,
+               rn.nspname AS ref_schema, r.relname AS ref_table,
                (SELECT string_agg(a.attname, chr(31) ORDER BY k.i) FROM unnest(c.confkey) WITH ORDINALITY k(num, i)
                 JOIN pg_attribute a ON a.attrelid = c.confrelid AND a.attnum = k.num) AS ref_columns,
                CASE c.contype WHEN 'c' THEN pg_get_constraintdef(c.oid) END AS definition
         FROM pg_constraint c JOIN pg_class t ON t.oid = c.conrelid JOIN pg_namespace n ON n.oid = t.relnamespace
-        LEFT JOIN pg_class r ON r.oid = c.confrelid WHERE c.contype IN ('p', 'f', 'c')""",
+        LEFT JOIN pg_class r ON r.oid = c.confrelid LEFT JOIN pg_namespace rn ON rn.oid = r.relnamespace WHERE c.contype IN ('p', 'f', 'c')""",
     "mysql": """
         SELECT k.table_schema AS schema_name, k.table_name AS table_name, MAX(t.constraint_type) AS kind,
                GROUP_CONCAT(k.column_name ORDER BY k.ordinal_position SEPARATOR '\x1f') AS columns,
-               MAX(k.referenced_table_name) AS ref_table,
+               MAX(k.referenced_table_schema) AS ref_schema, MAX(k.referenced_table_name) AS ref_table,
                GROUP_CONCAT(k.referenced_column_name ORDER BY k.ordinal_position SEPARATOR '\x1f') AS ref_columns, NULL AS definition
         FROM information_schema.key_column_usage k JOIN information_schema.table_constraints t
           ON t.constraint_schema = k.constraint_schema AND t.table_name = k.table_name AND t.constraint_name = k.constraint_name
         WHERE k.table_schema = DATABASE() AND t.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')
         GROUP BY k.table_schema, k.table_name, k.constraint_name
         UNION ALL
-        SELECT t.table_schema, t.table_name, 'CHECK', NULL, NULL, NULL, c.check_clause
+        SELECT t.table_schema, t.table_name, 'CHECK', NULL, NULL, NULL, NULL, c.check_clause
         FROM information_schema.check_constraints c JOIN information_schema.table_constraints t
           ON t.constraint_schema = c.constraint_schema AND t.constraint_name = c.constraint_name
         WHERE t.table_schema = DATABASE()""",
     "mssql": """
         SELECT SCHEMA_NAME(t.schema_id) AS schema_name, t.name AS table_name, 'PRIMARY KEY' AS kind,
                STRING_AGG(c.name, CHAR(31)) WITHIN GROUP (ORDER BY x.key_ordinal) AS columns,
-               CAST(NULL AS SYSNAME) AS ref_table, CAST(NULL AS NVARCHAR(MAX)) AS ref_columns, CAST(NULL AS NVARCHAR(MAX)) AS definition
+               CAST(NULL AS SYSNAME) AS ref_schema, CAST(NULL AS SYSNAME) AS ref_table, CAST(NULL AS NVARCHAR(MAX)) AS ref_columns, CAST(NULL AS NVARCHAR(MAX)) AS definition
         FROM sys.tables t JOIN sys.indexes i ON i.object_id = t.object_id AND i.is_primary_key = 1
         JOIN sys.index_columns x ON x.object_id = i.object_id AND x.index_id = i.index_id
         JOIN sys.columns c ON c.object_id = x.object_id AND c.column_id = x.column_id GROUP BY t.schema_id, t.name
         UNION ALL
         SELECT SCHEMA_NAME(t.schema_id), t.name, 'FOREIGN KEY', STRING_AGG(c.name, CHAR(31)) WITHIN GROUP (ORDER BY f.constraint_column_id),
-               r.name, STRING_AGG(d.name, CHAR(31)) WITHIN GROUP (ORDER BY f.constraint_column_id), NULL
+               SCHEMA_NAME(r.schema_id), r.name, STRING_AGG(d.name, CHAR(31)) WITHIN GROUP (ORDER BY f.constraint_column_id), NULL
         FROM sys.foreign_key_columns f JOIN sys.tables t ON t.object_id = f.parent_object_id JOIN sys.tables r ON r.object_id = f.referenced_object_id
         JOIN sys.columns c ON c.object_id = f.parent_object_id AND c.column_id = f.parent_column_id
         JOIN sys.columns d ON d.object_id = f.referenced_object_id AND d.column_id = f.referenced_column_id
-        GROUP BY t.schema_id, t.name, f.constraint_object_id, r.name
+        GROUP BY t.schema_id, t.name, f.constraint_object_id, r.schema_id, r.name
         UNION ALL
-        SELECT SCHEMA_NAME(t.schema_id), t.name, 'CHECK', NULL, NULL, NULL, k.definition
+        SELECT SCHEMA_NAME(t.schema_id), t.name, 'CHECK', NULL, NULL, NULL, NULL, k.definition
         FROM sys.check_constraints k JOIN sys.tables t ON t.object_id = k.parent_object_id""",
     "duckdb": """
         SELECT schema_name, table_name, constraint_type AS kind, array_to_string(constraint_column_names, chr(31)) AS columns,
-               referenced_table AS ref_table, array_to_string(referenced_column_names, chr(31)) AS ref_columns, constraint_text AS definition
+               CASE constraint_type WHEN 'FOREIGN KEY' THEN schema_name END AS ref_schema, referenced_table AS ref_table,
+               array_to_string(referenced_column_names, chr(31)) AS ref_columns, constraint_text AS definition
         FROM duckdb_constraints() WHERE constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY', 'CHECK')""",
     "sqlite": """
-        SELECT 'main' AS schema_name, table_name, 'PRIMARY KEY' AS kind, group_concat(name, char(31)) AS columns, NULL AS ref_table,
+        SELECT 'main' AS schema_name, table_name, 'PRIMARY KEY' AS kind, group_concat(name, char(31)) AS columns, NULL AS ref_schema, NULL AS ref_table,
                NULL AS ref_columns, NULL AS definition
         FROM (SELECT m.name AS table_name, p.name FROM sqlite_master m JOIN pragma_table_info(m.name) p
               WHERE m.type = 'table' AND p.pk > 0 ORDER BY m.name, p.pk) GROUP BY table_name
         UNION ALL
-        SELECT 'main', table_name, 'FOREIGN KEY', group_concat(own, char(31)), ref_table, group_concat(other, char(31)), NULL
+        SELECT 'main', table_name, 'FOREIGN KEY', group_concat(own, char(31)), 'main', ref_table, group_concat(other, char(31)), NULL
         FROM (SELECT m.name AS table_name, f.id, f."from" AS own, f."table" AS ref_table, f."to" AS other
               FROM sqlite_master m JOIN pragma_foreign_key_list(m.name) f WHERE m.type = 'table' ORDER BY m.name, f.id, f.seq)
         GROUP BY table_name, id, ref_table
         UNION ALL
-        SELECT 'main', name, 'CHECK', NULL, NULL, NULL, sql FROM sqlite_master WHERE type = 'table'""",
+        SELECT 'main', name, 'CHECK', NULL, NULL, NULL, NULL, sql FROM sqlite_master WHERE type = 'table'""",
 }
 
 ENUM_QUERIES = {
@@ -125,10 +126,12 @@ def quoted(flavour: str, name: str) -> str:
 
 
 def read_columns(read: Read, flavour: str) -> DataFrame:
-    return read(COLUMN_QUERIES[flavour]).select(
+    rows = read(COLUMN_QUERIES[flavour])
+    base = F.col("base_type") if "base_type" in rows.columns else F.lit(None)
+    return rows.select(
         F.lit(flavour).alias("flavour"), "schema_name", "table_name", F.col("ordinal").cast("int").alias("ordinal"),
         "column_name", "data_type", F.col("is_nullable").cast("boolean").alias("is_nullable"),
-        F.col("comment").cast("string").alias("comment"),
+        F.col("comment").cast("string").alias("comment"), base.cast("string").alias("base_type"),
     )
 
 
@@ -138,7 +141,7 @@ def read_constraints(read: Read, flavour: str) -> DataFrame:
 
     return read(CONSTRAINT_QUERIES[flavour]).select(
         F.lit(flavour).alias("flavour"), "schema_name", "table_name", "kind", names("columns"),
-        F.col("ref_table").cast("string").alias("ref_table"), names("ref_columns"),
+        F.col("ref_schema").cast("string").alias("ref_schema"), F.col("ref_table").cast("string").alias("ref_table"), names("ref_columns"),
         F.col("definition").cast("string").alias("definition"),
     )
 

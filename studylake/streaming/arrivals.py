@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.types import EAV_SCHEMA
+from studylake.sources.readers import scan_eav_csv
 
 
-def arriving_exports(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of `record, field_name, value` rows from CSV files as they land."""
-    return (
-        spark.readStream.schema(EAV_SCHEMA)
-        .options(header=True, multiLine=True, escape='"', maxFilesPerTrigger=files_per_batch).csv(folder)
-    )
+def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of the paths and first lines of CSV files as they land."""
+    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    header = F.substring_index(F.substring_index(F.col("content").cast("string"), "\n", 1), "\r", 1)
+    return files.schema(schema).load(folder).select("path", header.alias("header"))
 
 
-def collect_exports(spark: SparkSession, folder: str, target: str, checkpoint: str):
-    """Append what has arrived to the table at `target`, then stop.
+def collect_exports(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 1000):
+    """Append the `record, field_name, value` rows that have arrived to the table at `target`, then stop.
 
-    Each batch replaces its own partition, so a batch that is retried after a failure is not counted twice.
+    Columns are found by each file's header, so their order and further columns do not matter; a file without one of the three
+    stops the stream. Each batch replaces its own partition, so a batch that is retried after a failure is not counted twice.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        by_header: dict[str, list[str]] = {}
+        for row in batch.collect():  # at most `files_per_batch` names and headers
+            by_header.setdefault(row.header, []).append(row.path)
+        rows = [scan_eav_csv(batch.sparkSession, paths) for _, paths in sorted(by_header.items())]
+        if rows:
+            reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
-        arriving_exports(spark, folder).writeStream.foreachBatch(store)
+        arriving_files(spark, folder, files_per_batch).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -110,8 +110,14 @@ def test_lineage_of_a_diamond_and_a_cycle(frame):
     inputs = frame([(1, 2), (1, 3), (2, 1), (3, 4)], edge)
     found = cat.lineage(frame([(4,)], "version_id bigint"), inputs, outputs)
     assert as_set(found.select("seed_id", "version_id", "depth")) == [(4, 1, 2), (4, 2, 1), (4, 3, 1)]
-    with pytest.raises(RuntimeError, match="deeper"):
-        cat.lineage(frame([(4,)], "version_id bigint"), inputs, outputs, max_depth=1)
+
+
+def test_lineage_of_a_chain_longer_than_a_compaction(frame):
+    edge = "transformation_id bigint, version_id bigint"
+    n = cat.COMPACT + 4
+    outputs, inputs = frame([(i, i + 1) for i in range(n)], edge), frame([(i, i) for i in range(n)], edge)
+    found = cat.lineage(frame([(n,)], "version_id bigint"), inputs, outputs)
+    assert sorted((r.version_id, r.depth) for r in found.collect()) == [(n - d, d) for d in range(n, 0, -1)]
 
 
 def test_row_differences(frame):

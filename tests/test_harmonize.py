@@ -40,3 +40,27 @@ def test_known_instances_keep_their_ids(frame):
     assert {(r.external_id, r.transformation_id) for r in first.collect()} == {("a", 5), ("b", 5)}
     later = har.extract_entity_instances(rows, 1, "study", "person", 6, existing=first)
     assert [(r.instance_id, r.study_id, r.external_id) for r in later.collect()] == [(3, 8, "a")]
+
+
+def test_instances_belong_to_one_study(frame):
+    rows = frame([(1, "p1", "h1", "2024-01-02"), (1, "p1", "h1", "2024-01-05"), (2, "p1", "h2", "2024-02-01")], "study_id bigint, person string, home string, day string")
+    known = "study_id bigint, external_id string, instance_id bigint"
+    people = frame([(1, "p1", 11), (2, "p1", 21)], known)
+    homes = frame([(1, "h1", 12), (2, "h1", 22), (2, "h2", 23)], known)
+    found = har.extract_relation_instances(rows, "person", "home", "day", people, homes, 4, 9).collect()
+    assert sorted((r.entity_instance_id_1, r.entity_instance_id_2, str(r.valid_from), str(r.valid_to)) for r in found) == [
+        (11, 12, "2024-01-02", "2024-01-05"), (21, 23, "2024-02-01", "2024-02-01"),
+    ]
+    used = frame([(100, 1, "p1"), (100, 1, "p1"), (200, 2, "p1"), (300, 3, "p1")], "asset bigint, study bigint, person string")
+    links = har.asset_entities(used, "asset", "person", people, study_id="study").collect()
+    assert sorted(map(tuple, links)) == [(100, 11), (200, 21)]
+
+
+def test_recoding_refuses_several_targets(frame):
+    items = frame([(1, 10), (2, 20), (3, 30)], "vocabulary_item_id bigint, value int")
+    data = frame([(1, 10), (2, 20), (3, 99), (4, None)], "id bigint, code int")
+    mapping = frame([(1, 2), (1, 2), (2, 3)], "from_item bigint, to_item bigint")
+    assert {r.id: r.new for r in har.recode_vocabulary(data, "code", mapping, items, items, "new").collect()} == {1: 20, 2: 30, 3: None, 4: None}
+    two = frame([(1, 2), (1, 3)], "from_item bigint, to_item bigint")
+    with pytest.raises(Exception, match="several counterparts of 10"):
+        har.recode_vocabulary(data, "code", two, items, items, "new").collect()

@@ -90,7 +90,9 @@ def test_export_to_dataset(described, tmp_path):
     (folder / "visits_eav.csv").write_text(EXPORT)
     jobs.ingest_files(described, "My study", str(folder))
     with pytest.warns(UserWarning, match="extra"):
-        jobs.eav_to_dataset(described, "My study", "visits_eav")
+        jobs.eav_to_dataset(described, "My study", "visits_eav", multi_line=True)
+    location = described.table("asset_versions").where("location LIKE '%visits%' AND location NOT LIKE '%csv'").first().location
+    assert [r.field_name for r in described.fields_left_out(location).collect()] == ["extra"]
     stored = described.read_dataset("My study", "visits")
     assert stored.columns == ["record", "age", "seen", "sex", "sex_raw", "signs"]
     assert sorted(tuple(str(v) for v in r) for r in stored.collect()) == [
@@ -111,7 +113,7 @@ def test_project_in_another_character_set(lake, tmp_path):
     (folder / "round_1_eav.csv").write_bytes(text.encode("iso8859-2"))
     manifest = jobs.ingest_project(lake, "My study", 1, str(tmp_path / "dictionary.json"), str(folder), forms=["base", "exam"])
     assert [(r.asset_name, r.major, r.patch) for r in manifest.collect()] == [("round_1_eav", 1, 0)]
-    stored = jobs.eav_to_dataset(lake, "My study", "round_1_eav", charset="iso8859-2").orderBy("record")
+    stored = jobs.eav_to_dataset(lake, "My study", "round_1_eav", charset="iso8859-2", multi_line=True).orderBy("record")
     assert [(r.record, r.sex, r.sex_raw) for r in stored.collect()] == [(1, 2, "2"), (2, None, "neznámé")]
     assert "REDCap.sex" in {r.name for r in lake.table("vocabularies").collect()}
 
@@ -191,13 +193,44 @@ def test_file_versions(lake, tmp_path):
     assert newest.digest == hashlib.sha256(b"a,b\n3,4\n").hexdigest()
 
 
+def test_files_of_one_name_get_versions_in_order(lake, tmp_path):
+    folder = tmp_path / "several"
+    for name in ("a/x.csv", "b/x.csv", "b/x-y.csv", "b/x_y.csv"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(f"{name}\n")
+    jobs.ingest_files(lake, "My study", str(folder), description="first")
+    found = lake.table("asset_versions").join(lake.table("assets"), "asset_id").orderBy("name", "patch").collect()
+    assert [(r.name, r.patch, r.is_latest, r.location.split("/", 3)[-1].rsplit("/", 2)[-2]) for r in found] == [
+        ("x", 0, False, "a"), ("x", 1, True, "b"), ("x_y", 0, False, "b"), ("x_y", 1, True, "b"),
+    ]
+    with pytest.raises(ValueError, match="allow a new version"):
+        jobs.ingest_files(lake, "My study", str(folder), new_version=False)
+    jobs.ingest_files(lake, "My study", str(folder / "a"), bump="minor", edam_format="http://edamontology.org/format_1915")
+    newest = lake.table("asset_versions").where("minor = 1").join(lake.table("datafiles"), "version_id").first()
+    assert (newest.major, newest.minor, newest.patch, newest.edam_format) == (1, 1, 0, "http://edamontology.org/format_1915")
+
+
+def test_code_list_that_became_empty(lake, frame):
+    schema = readers.DICTIONARY_SCHEMA
+    names = [part.strip().split()[0] for part in schema.split(",")] + ["ord"]
+
+    def described_as(kind, choices):
+        row = dict.fromkeys(names) | {"field_name": "sex", "form_name": "base", "field_type": kind, "field_label": "Sex", "ord": 1}
+        row[next(n for n in names if n.startswith("select_choices"))] = choices
+        return frame([tuple(row[n] for n in names)], schema + ", ord bigint")
+
+    jobs.register_dictionary(lake, described_as("radio", "1, Male | 2, Female"), 1, "src")
+    assert lake.table("vocabulary_items").count() == 2
+    jobs.register_dictionary(lake, described_as("yesno", None), 1, "src")
+    assert lake.table("vocabulary_items").count() == 0
+
+
 def test_large_files_are_hashed_as_streams(spark, tmp_path):
     (tmp_path / "a b.bin").write_bytes(bytes(range(256)) * 100)
     (tmp_path / "c.bin").write_bytes(b"")
     whole = {r.file_name: (r.length, r.digest) for r in files.scan_files(spark, str(tmp_path)).collect()}
     streamed = {r.file_name: (r.length, r.digest) for r in files.scan_files(spark, str(tmp_path), cell_bytes=100).collect()}
-    # Spark's file listing passes over empty files.
-    assert set(whole) == {"a b.bin"}
+    assert whole["c.bin"] == (0, hashlib.sha256(b"").hexdigest()) and set(whole) == {"a b.bin", "c.bin"}
     assert whole == streamed
     stored = files.scan_files(spark, str(tmp_path)).withColumn("digest", F.upper("digest"))
     assert files.verify_digests(stored, files.scan_files(spark, str(tmp_path))).count() == 0
@@ -266,7 +299,12 @@ def test_arriving_exports(spark, tmp_path):
     collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
     (folder / "2.csv").write_text('record,field_name,value\n2,a,"y\nz"\n')
     collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
-    assert sorted(tuple(r) for r in collected_exports(spark, target).collect()) == [("1", "a", "x"), ("2", "a", "y\nz")]
+    (folder / "3.csv").write_text("record,redcap_event_name,field_name,value\n3,base,age,30\n")
+    (folder / "4.csv").write_text("value,record,field_name\n31,4,age\n")
+    collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
+    assert sorted(tuple(r) for r in collected_exports(spark, target).collect()) == [
+        ("1", "a", "x"), ("2", "a", "y\nz"), ("3", "age", "30"), ("4", "age", "31"),
+    ]
 
 
 def test_query_reader_conforms_to_variables(spark, frame):

@@ -151,3 +151,34 @@ def test_measured_code_tables(spark, frame):
     assert found == {("facts", "code", "codes"), ("facts", "other", "codes"), ("repeated", "id", "codes")}
     rows = [(r.value, r.code, r.description) for r in prof.code_table_items(tables, code).orderBy("value").collect()]
     assert rows == [(1, "a", "A"), (2, "b", "B")]
+
+
+def test_reference_into_one_of_two_schemas(frame):
+    columns = frame(
+        [("postgresql", s, "sexes", 1, "id", "integer", False, None) for s in "ab"]
+        + [("postgresql", s, "sexes", 2, "name", "text", False, None) for s in "ab"]
+        + [("postgresql", "b", "people", 1, "sex", "integer", True, None)], COLUMNS,
+    )
+    keys = [("postgresql", s, "sexes", "PRIMARY KEY", ["id"], None, None, None, None) for s in "ab"]
+    link = [("postgresql", "b", "people", "FOREIGN KEY", ["sex"], "b", "sexes", ["id"], None)]
+    constraints = frame(keys + link, CONSTRAINTS.replace("ref_table", "ref_schema string, ref_table"))
+    counts = frame([("postgresql", s, "sexes", 1) for s in "ab"], "flavour string, schema_name string, table_name string, n bigint")
+    code_items = frame(
+        [("postgresql", s, "sexes", 1, f"of {s}", None) for s in "ab"],
+        "flavour string, schema_name string, table_name string, value bigint, code string, description string",
+    )
+    enums = frame([], "flavour string, type_name string, ord double, label string")
+    found = prof.profile_catalog(columns, constraints, enums, counts, code_items).where("column_name = 'sex'").first()
+    assert found.value_type_id == VT.CATEGORY and [i.code for i in found["items"]] == ["of b"]
+    old = prof.profile_catalog(columns, constraints.drop("ref_schema"), enums, counts, code_items).where("column_name = 'sex'").first()
+    assert [i.code for i in old["items"]] == ["of a"]
+
+
+def test_code_columns_go_by_the_base_type(frame):
+    columns = frame(
+        [("mysql", "m", "t", 1, "id", "int(11)", False, None, "int"), ("mysql", "m", "t", 2, "flag", "tinyint(1)", True, None, "tinyint"),
+         ("mysql", "m", "t", 3, "size", "int unsigned", True, None, "int"), ("mysql", "m", "t", 4, "label", "varchar(20)", True, None, "varchar")],
+        COLUMNS + ", base_type string",
+    )
+    keys = frame([("mysql", "m", "t", "id", 1)], "flavour string, schema_name string, table_name string, column_name string, key_width int")
+    assert prof.code_table_columns(columns, keys).first().code_column == "label"

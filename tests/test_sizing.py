@@ -1,4 +1,4 @@
-"""Size checks and the shared scratch folder."""
+"""Many fields and rules, and the shared scratch folder."""
 
 import os
 
@@ -6,46 +6,37 @@ import pytest
 from pyspark.sql import functions as F
 
 from studylake import session
-from studylake.operators import eav
-from studylake.operators.sizing import bounded_rows, broadcast_if_small, computed_once
+from studylake.operators import eav, harmonize
 
 
-def plan(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_bounds(spark):
-    three = spark.range(3)
-    assert [r.id for r in bounded_rows(three)] == [0, 1, 2]
-    assert bounded_rows(three, max_rows=2) is None
-    long = spark.range(5).select(F.repeat(F.lit("x"), 2_000_000).alias("t"))
-    assert bounded_rows(long) is None
-    assert "ResolvedHint" not in plan(broadcast_if_small(three, max_rows=2))
-    assert broadcast_if_small(three, max_rows=2).count() == 3
-
-
-def test_small_results_are_held_and_large_ones_written(spark):
-    df = spark.range(10).select("id", F.lit(None).cast("string").alias("n"))
-    for held in (computed_once(df, "held"), computed_once(df, "written", max_rows=5)):
-        assert held.schema.simpleString() == df.schema.simpleString()
-        assert sorted(r.id for r in held.collect()) == list(range(10))
-    assert "LocalRelation" in plan(computed_once(df, "held"))
-    assert "parquet" in plan(computed_once(df, "written", max_rows=5))
-
-
-def test_many_multi_valued_fields_are_joined_by_shuffle(spark):
-    """More names than may be broadcast: the same rows come out."""
+def test_many_multi_valued_fields(spark):
     n = 10_050
     rows = spark.range(2 * n).select(
         F.lit("r").alias("record"), F.concat(F.lit("f"), (F.col("id") % n).cast("string")).alias("field_name"), F.lit("v").alias("value")
     ).unionByName(spark.range(5).select(F.lit("r").alias("record"), F.concat(F.lit("s"), "id").alias("field_name"), F.lit("w").alias("value")))
     assert sorted(r.field_name for r in eav.single_rows(rows).collect()) == ["s0", "s1", "s2", "s3", "s4"]
     assert eav.multi_agg(rows).where("value = 'v, v'").count() == n
-    with pytest.raises(ValueError, match="distinct field names"):
-        eav.wide_raw(rows)
+    wide = eav.wide_raw(rows)
+    assert len(wide.columns) == n + 6
+    first = wide.select("f7", f"f{n - 1}", "s1").first()
+    assert tuple(first) == ("v, v", "v, v", "w")
     assert tuple(eav.wide_raw(rows, ["f7", "s1", "none"]).first()) == ("r", "v, v", "w", None)
 
 
+def test_many_mapping_rules(spark):
+    n = 10_001
+    mapping = spark.range(n).selectExpr(
+        "cast(id as int) mapping_id", "1L from_variable_id", "id + 2 to_variable_id", "'ge' operator",
+        "cast(id as string) operants", "cast(null as bigint) prerequisite_id",
+    )
+    variables = spark.range(n).selectExpr("id + 2 variable_id", "concat('v', id) name").union(spark.sql("SELECT 1L, 'a.ge'"))
+    rules = harmonize.mapping_rules(mapping, variables)
+    assert len(rules) == n and rules[-1].destination == f"v{n - 1}"
+    data = spark.sql("SELECT 7 AS id, 5000 AS `a.ge`")
+    found = harmonize.apply_variable_mapping(data, rules[4990:5010], ["id"]).first()
+    assert len(found) == 21 and (found["v4990"], found["v5000"], found["v5001"]) == ("1", "1", "0")
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     path = session.scratch_path(spark, "x")
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from studylake.functions import values
 from studylake.operators import eav
-from studylake.operators.sizing import computed_once
 from studylake.types import CATEGORY, DATE, FLOAT, INTEGER, STRING, VALUE_FORMATS, Variable
 from workload.registry import query
 
@@ -99,7 +98,7 @@ def _(x):
     "JOIN (SELECT DISTINCT field_name FROM eav) f ON f.field_name = v.name",
 )
 def _(x):
-    return eav.variable_match(computed_once(eav.field_names(x.eav), "fields"), x.eav_variables).select(
+    return eav.variable_match(x.eav, x.eav_variables).select(
         "field_name", "variable_id", "domain_id", "value_type_id", "value_format"
     )
 
@@ -109,7 +108,7 @@ def _(x):
     "SELECT DISTINCT field_name FROM eav WHERE field_name NOT IN (SELECT name FROM eav_variables)",
 )
 def _(x):
-    return eav.unmatched_fields(computed_once(eav.field_names(x.eav), "fields"), x.eav_variables)
+    return eav.unmatched_fields(x.eav, x.eav_variables)
 
 
 def eav_wide_typed(x):
@@ -208,11 +207,9 @@ def _(x):
     return x.eav.select("record", values.cast_category(F.col("value")).alias("value"), F.col("value").alias("value_raw"))
 
 
-@query("pass_text", "SELECT record, value FROM eav WHERE field_name = 'mktsegment'")
+@query("pass_text", "SELECT record, field_name, value FROM eav")
 def _(x):
-    return x.sql("SELECT record, value AS mktsegment FROM eav WHERE field_name = 'mktsegment'").select(
-        "record", values.typed_columns([Variable("mktsegment", STRING)])[0].alias("value")
-    )
+    return x.eav.select("record", "field_name", values.typed_columns([Variable("value", STRING)])[0].alias("value"))
 
 
 

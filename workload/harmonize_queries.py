@@ -67,12 +67,13 @@ def _(x):
 
 @query(
     "extract_relation_instances",
-    """SELECT CAST(2 AS BIGINT) AS entity_relation_id, user_id + 1000 AS entity_instance_id_1, k.instance_id AS entity_instance_id_2,
+    """SELECT CAST(2 AS BIGINT) AS entity_relation_id, user_id + 1000 + 1000000 * (user_id % 3) AS entity_instance_id_1,
+    LENGTH(event_type) * 100 + ASCII(event_type) + 1000000 * (user_id % 3) AS entity_instance_id_2,
     CAST(MIN(ts) AS DATE) AS valid_from, CAST(MAX(ts) AS DATE) AS valid_to, CAST(9 AS BIGINT) AS transformation_id
-    FROM events JOIN kinds k ON k.external_id = event_type GROUP BY user_id, k.instance_id""",
+    FROM events GROUP BY user_id, event_type""",
 )
 def _(x):
-    return har.extract_relation_instances(x.events, "user_id", "event_type", "ts", x.users, x.kinds, 2, 9)
+    return har.extract_relation_instances(x.study_events, "user_id", "event_type", "ts", x.users, x.kinds, 2, 9)
 
 
 @query(
@@ -91,10 +92,15 @@ def _(x):
     return har.relations_valid_at(x.relations, "2024-01-01", "2024-01-03")
 
 
-@query("asset_entities", "SELECT DISTINCT l_suppkey AS asset_id, l_partkey + 1 AS entity_instance_id FROM lineitem")
+@query("asset_entities", "SELECT DISTINCT l_suppkey AS asset_id, 2 * l_partkey + l_suppkey % 2 AS entity_instance_id FROM lineitem")
 def _(x):
-    instances = x.sql("SELECT CAST(p_partkey AS STRING) AS external_id, p_partkey + 1 AS instance_id FROM part")
-    return har.asset_entities(x.lineitem, "l_suppkey", "l_partkey", instances)
+    # Every part is an instance of each of two studies, under the same external id.
+    instances = x.sql(
+        "SELECT study_id, CAST(p_partkey AS STRING) AS external_id, 2 * p_partkey + study_id AS instance_id "
+        "FROM part LATERAL VIEW explode(array(0, 1)) s AS study_id"
+    )
+    rows = x.sql("SELECT l_suppkey, l_partkey, l_suppkey % 2 AS study_id FROM lineitem")
+    return har.asset_entities(rows, "l_suppkey", "l_partkey", instances)
 
 
 @query(

@@ -222,8 +222,14 @@ UNION SELECT CONCAT('XML', source, '.', lang) FROM documents UNION SELECT text F
 VIEWS["relations"] = """
 SELECT user_id AS entity_instance_id_1, event_type AS kind, CAST(MIN(ts) AS DATE) AS valid_from, CAST(MAX(ts) AS DATE) AS valid_to
 FROM events GROUP BY user_id, event_type"""
-VIEWS["users"] = "SELECT DISTINCT CAST(user_id AS STRING) AS external_id, user_id + 1000 AS instance_id FROM events"
-VIEWS["kinds"] = "SELECT DISTINCT event_type AS external_id, LENGTH(event_type) * 100 + ASCII(event_type) AS instance_id FROM events"
+# Three studies whose external ids are the same: an instance belongs to one study.
+VIEWS["study_events"] = "SELECT *, CAST(user_id % 3 AS BIGINT) AS study_id FROM events"
+_USERS = "SELECT DISTINCT CAST(user_id AS STRING) AS external_id, user_id + 1000 AS instance_id FROM events"
+_KINDS = "SELECT DISTINCT event_type AS external_id, LENGTH(event_type) * 100 + ASCII(event_type) AS instance_id FROM events"
+for _name, _text in (("users", _USERS), ("kinds", _KINDS)):
+    VIEWS[_name] = " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS study_id, external_id, instance_id + {1_000_000 * i} AS instance_id FROM ({_text}) t{i}" for i in range(3)
+    )
 VIEWS["priority_items"] = """
 SELECT DISTINCT CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) AS vocabulary_item_id, CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) AS value FROM orders"""
 VIEWS["rank_items"] = "SELECT vocabulary_item_id + 100 AS vocabulary_item_id, value * 10 AS value FROM priority_items"
