@@ -342,8 +342,9 @@ def study_domains(links: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def study_assets_latest(assets: DataFrame, versions: DataFrame) -> DataFrame:
-    """Assets with their flagged version, by study and name."""
-    latest = versions.where("is_latest").select("asset_id", "version_id", *VERSION, version_label().alias("version_label"))
+    """Assets with their flagged version, its note and time as far as `versions` has them, by study and name."""
+    more = [name for name in ("version_note", "doi", "created_at") if name in versions.columns]
+    latest = versions.where("is_latest").select("asset_id", "version_id", *VERSION, version_label().alias("version_label"), *more)
     return assets.join(latest, "asset_id").orderBy("study_id", "name")
 
 
@@ -379,20 +380,33 @@ def vocabulary_items_nested(vocabularies: DataFrame, items: DataFrame, key: str
     )
 
 
+def with_vocabulary(variables: DataFrame, vocabularies: DataFrame, key: str = "vocabulary_id") -> DataFrame:
+    """Variables with the `items` of their vocabulary (a `vocabulary_items_nested` result); an empty list without one."""
+    empty = F.array().cast(VT.ITEMS_TYPE)
+    return variables.join(vocabularies.select(key, "items"), key, "left").select(
+        *variables.columns, F.coalesce("items", empty).alias("items")
+    )
+
+
 def study_variables(
-    variables: DataFrame, links: DataFrame, study_id: int | None = None, domain_id: int | None = None
-) -> DataFrame:
-    """Variables in the domains of a study (or of any study), optionally of one domain."""
+    variables: DataFrame, links: DataFrame, study_id: int | None = None, domain_id: int | None = None,
+    vocabularies: DataFrame | None = None, key: str = "vocabulary_id",
+) -> DataFrame:
+    """Variables in the domains of a study (or of any study), optionally of one domain, and with their vocabularies' items."""
     if study_id is not None:
         links = links.where(F.col("study_id") == study_id)
     if domain_id is not None:
         links = links.where(F.col("domain_id") == domain_id)
-    return variables.join(links.select("domain_id").distinct(), "domain_id", "left_semi").select(*variables.columns)
+    found = variables.join(links.select("domain_id").distinct(), "domain_id", "left_semi").select(*variables.columns)
+    return found if vocabularies is None else with_vocabulary(found, vocabularies, key)
 
 
-def dataset_variables(links: DataFrame, variables: DataFrame) -> DataFrame:
-    """Variables of each dataset version."""
-    return links.select("version_id", "variable_id").join(variables, "variable_id")
+def dataset_variables(
+    links: DataFrame, variables: DataFrame, vocabularies: DataFrame | None = None, key: str = "vocabulary_id"
+) -> DataFrame:
+    """Variables of each dataset version, optionally with their vocabularies' items."""
+    described = variables if vocabularies is None else with_vocabulary(variables, vocabularies, key)
+    return links.select("version_id", "variable_id").join(described, "variable_id")
 
 
 # --- provenance -----------------------------------------------------------------------------------------------
@@ -474,7 +488,9 @@ def value_types(spark) -> DataFrame:
 
 
 def study_types(spark) -> DataFrame:
-    return local_rows(spark, VT.STUDY_TYPES, "study_type_id INT, name STRING")
+    return local_rows(
+        spark, VT.STUDY_TYPES, "study_type_id INT, name STRING, description STRING, namespace STRING, ontology_class STRING"
+    )
 
 
 def value_type_usage(variables: DataFrame) -> DataFrame:

@@ -20,15 +20,36 @@ VALUE_TYPES = [
     (MULTIRESPONSE, "multiresponse", "Multi-response enumeration with multiple values, stored as an array of integers"),
 ]
 
-# Study type ids (9 is unused) and names.
+# Study type ids (9 is unused), names, descriptions, and the ontology class each stands for.
 STUDY_TYPES = [
-    (1, "HDSS"), (2, "COHORT"), (3, "SURVEY"), (4, "PANEL"), (5, "CASE_CONTROL"), (6, "RCT"),
-    (7, "QUASI_EXPERIMENTAL"), (8, "NATURAL_EXPERIMENT"), (10, "LAB_EXPERIMENT"),
-    (11, "QUALITATIVE_INTERVIEW"), (12, "FOCUS_GROUP"), (13, "ETHNOGRAPHY"), (14, "PARTICIPATORY"),
-    (15, "CASE_STUDY"), (16, "MIXED_METHODS"), (17, "SECONDARY_ANALYSIS"), (18, "DESK_REVIEW"),
-    (19, "TIME_MOTION"), (20, "DIARY"), (21, "LONGITUDINAL_OBSERVATION"), (22, "SIMULATION"),
-    (23, "AGENT_BASED_MODEL"), (24, "STATISTICAL_MODEL"), (25, "SYSTEM_DYNAMICS"), (26, "GENOMICS"),
-    (27, "MULTIOMICS"), (28, "BIOBANK"), (29, "PHARMACOGENOMICS"),
+    (1, "HDSS", "Health and Demographic Surveillance System", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "population_surveillance"),
+    (2, "COHORT", "Cohort Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "cohort_study"),
+    (3, "SURVEY", "Cross-sectional Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "cross_sectional_study"),
+    (4, "PANEL", "Longitudinal/Panel Survey", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "panel_study"),
+    (5, "CASE_CONTROL", "Case-Control Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "case_control_design"),
+    (6, "RCT", "Randomized Controlled Trial", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "randomized_controlled_trial"),
+    (7, "QUASI_EXPERIMENTAL", "Quasi-experimental Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "quasi_experimental_design"),
+    (8, "NATURAL_EXPERIMENT", "Natural Experiment", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "natural_experiment"),
+    (10, "LAB_EXPERIMENT", "Laboratory Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "laboratory_study"),
+    (11, "QUALITATIVE_INTERVIEW", "In-depth or Key Informant Interviews", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "interview_study"),
+    (12, "FOCUS_GROUP", "Focus Group Discussion", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "focus_group"),
+    (13, "ETHNOGRAPHY", "Ethnographic Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "ethnographic_study"),
+    (14, "PARTICIPATORY", "Participatory Action Research", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "community_based_participatory_study"),
+    (15, "CASE_STUDY", "Case Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "case_study"),
+    (16, "MIXED_METHODS", "Mixed Methods Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "mixed_method_evaluation"),
+    (17, "SECONDARY_ANALYSIS", "Secondary Data Analysis", "http://purl.bioontology.org/ontology/MESH", "D000094422"),
+    (18, "DESK_REVIEW", "Desk or Literature Review", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "literature_review"),
+    (19, "TIME_MOTION", "Time and Motion Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "time_and_motion_study"),
+    (20, "DIARY", "Diary Study", "http://purl.bioontology.org/ontology/CSP", "4009-0001"),
+    (21, "LONGITUDINAL_OBSERVATION", "Longitudinal Observational Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "longitudinal_study"),
+    (22, "SIMULATION", "Simulation Study", "http://edamontology.org", "data_3869"),
+    (23, "AGENT_BASED_MODEL", "Agent-based Modelling", "https://i2insights.org/index/integration-and-implementation-sciences-vocabulary", "agent-based-modelling"),
+    (24, "STATISTICAL_MODEL", "Statistical Modelling", "http://edamontology.org", "operation_3664"),
+    (25, "SYSTEM_DYNAMICS", "Biological system modelling", "http://edamontology.org", "topic_3075"),
+    (26, "GENOMICS", "Genomics Study", "http://ontologies.dbmi.pitt.edu/edda/StudyDesigns.owl", "genetic_study"),
+    (27, "MULTIOMICS", "Multi-omics Study (e.g., proteomics, metabolomics)", "http://purl.bioontology.org/ontology/MESH", "D000095028"),
+    (28, "BIOBANK", "Biobank-based Study", "http://purl.obolibrary.org/obo", "OBIB_0000616"),
+    (29, "PHARMACOGENOMICS", "Pharmacogenomics Study", "http://edamontology.org", "topic_0208"),
 ]
 
 # Text validation keys and their date/time formats.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from studylake import types as VT
 from studylake.operators import catalog as cat
 from workload.dictionary_queries import items_text, legal_sql
 from workload.registry import query
@@ -212,7 +213,7 @@ def _(x):
 
 @query(
     "study_assets_latest",
-    """SELECT a.asset_id, study_id, name, asset_type, version_id, major, minor, patch, 'v' || major || '.' || minor || '.' || patch AS version_label
+    """SELECT a.asset_id, study_id, name, asset_type, version_id, major, minor, patch, 'v' || major || '.' || minor || '.' || patch AS version_label, created_at
     FROM cat_assets a JOIN cat_versions v ON v.asset_id = a.asset_id WHERE is_latest""",
 )
 def _(x):
@@ -260,29 +261,44 @@ def _(x):
     return nested.select("vocabulary", F.size("items").cast("bigint").alias("n_items"), items_text().alias("items"))
 
 
-@query(
-    "study_variables",
-    "SELECT * FROM cat_variables WHERE domain_id IN (SELECT domain_id FROM cat_study_domains WHERE study_id = 7)",
-)
+ITEM_LISTS = "SELECT vocabulary, string_agg(value || ':' || code, '; ' ORDER BY value) AS items FROM cat_vocabulary_items GROUP BY vocabulary"
+
+
+def _listed(found):
+    """The nested items as one text."""
+    texts = F.transform("items", lambda i: F.concat_ws(":", i["value"].cast("string"), i["code"]))
+    return found.withColumn("items", F.array_join(texts, "; "))
+
+
+def _nested(x):
+    items = x.cat_vocabulary_items.withColumn("description", F.lit(None).cast("string"))
+    return cat.vocabulary_items_nested(items.select("vocabulary").distinct(), items, key="vocabulary")
+
+
+def _variables_sql(where: str) -> str:
+    return f"""SELECT v.*, COALESCE(items, '') AS items FROM cat_variables v LEFT JOIN ({ITEM_LISTS}) i ON i.vocabulary = v.vocabulary
+    WHERE domain_id IN (SELECT domain_id FROM cat_study_domains WHERE {where})"""
+
+
+@query("study_variables", _variables_sql("study_id = 7"))
 def _(x):
-    return cat.study_variables(x.cat_variables, x.cat_study_domains, study_id=7)
+    found = cat.study_variables(x.cat_variables, x.cat_study_domains, study_id=7, vocabularies=_nested(x), key="vocabulary")
+    return _listed(found)
 
 
-@query(
-    "study_variables_in_domain",
-    "SELECT * FROM cat_variables WHERE domain_id IN (SELECT domain_id FROM cat_study_domains WHERE domain_id = 3)",
-)
+@query("study_variables_in_domain", _variables_sql("domain_id = 3"))
 def _(x):
-    return cat.study_variables(x.cat_variables, x.cat_study_domains, domain_id=3)
+    found = cat.study_variables(x.cat_variables, x.cat_study_domains, domain_id=3, vocabularies=_nested(x), key="vocabulary")
+    return _listed(found)
 
 
 @query(
     "dataset_variables",
-    """SELECT version_id, v.variable_id, domain_id, name, value_type_id, vocabulary FROM cat_dataset_variables l
-    JOIN cat_variables v ON v.variable_id = l.variable_id""",
+    f"""SELECT version_id, v.variable_id, domain_id, name, value_type_id, v.vocabulary, COALESCE(items, '') AS items FROM cat_dataset_variables l
+    JOIN cat_variables v ON v.variable_id = l.variable_id LEFT JOIN ({ITEM_LISTS}) i ON i.vocabulary = v.vocabulary""",
 )
 def _(x):
-    return cat.dataset_variables(x.cat_dataset_variables, x.cat_variables)
+    return _listed(cat.dataset_variables(x.cat_dataset_variables, x.cat_variables, _nested(x), "vocabulary"))
 
 
 # --- provenance -----------------------------------------------------------------------------------------------
@@ -351,18 +367,18 @@ def _(x):
     return cat.value_type_usage(x.cat_variables)
 
 
-# The seeded study types.
-STUDY_TYPE_ROWS = """(1,'HDSS'),(2,'COHORT'),(3,'SURVEY'),(4,'PANEL'),(5,'CASE_CONTROL'),(6,'RCT'),(7,'QUASI_EXPERIMENTAL'),(8,'NATURAL_EXPERIMENT'),
-(10,'LAB_EXPERIMENT'),(11,'QUALITATIVE_INTERVIEW'),(12,'FOCUS_GROUP'),(13,'ETHNOGRAPHY'),(14,'PARTICIPATORY'),(15,'CASE_STUDY'),(16,'MIXED_METHODS'),
-(17,'SECONDARY_ANALYSIS'),(18,'DESK_REVIEW'),(19,'TIME_MOTION'),(20,'DIARY'),(21,'LONGITUDINAL_OBSERVATION'),(22,'SIMULATION'),(23,'AGENT_BASED_MODEL'),
-(24,'STATISTICAL_MODEL'),(25,'SYSTEM_DYNAMICS'),(26,'GENOMICS'),(27,'MULTIOMICS'),(28,'BIOBANK'),(29,'PHARMACOGENOMICS')"""
+STUDY_TYPE_ROWS = ",\n".join(f"({i}, '{name}', '{text}', '{space}', '{kind}')" for i, name, text, space, kind in VT.STUDY_TYPES)
+
+
 SUPPLIER_STUDIES = "SELECT s_suppkey AS study_id, s_name AS name, s_nationkey + 1 AS study_type_id FROM supplier"
 
 
 @query(
     "seed_study_types",
-    f"""SELECT t.study_type_id, t.name, COUNT(s.study_id) AS n_studies FROM (VALUES {STUDY_TYPE_ROWS}) AS t(study_type_id, name)
-    LEFT JOIN ({SUPPLIER_STUDIES}) s ON s.study_type_id = t.study_type_id GROUP BY t.study_type_id, t.name""",
+    f"""SELECT t.study_type_id, t.name, t.description, t.namespace, t.ontology_class, COUNT(s.study_id) AS n_studies
+    FROM (VALUES {STUDY_TYPE_ROWS}) AS t(study_type_id, name, description, namespace, ontology_class)
+    LEFT JOIN ({SUPPLIER_STUDIES}) s ON s.study_type_id = t.study_type_id
+    GROUP BY t.study_type_id, t.name, t.description, t.namespace, t.ontology_class""",
 )
 def _(x):
     return cat.study_type_usage(x.sql(SUPPLIER_STUDIES))

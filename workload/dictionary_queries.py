@@ -193,9 +193,13 @@ def _(x):
     return x.names.where(~legal.is_legal_name(name, strict=True)).select("name", legal.is_legal_name(name).alias("legal"))
 
 
+# Spellings that become one legal name.
+SPELLINGS = "SELECT name FROM names UNION ALL SELECT REPLACE(name, ' ', '-') FROM names UNION ALL SELECT CONCAT(name, '!') FROM names"
+
+
 @query(
     "name_collisions",
-    f"SELECT {legal_sql(True)} AS legal, COUNT(DISTINCT name) AS n_names FROM names GROUP BY 1 HAVING COUNT(DISTINCT name) > 1",
+    f"SELECT {legal_sql(True)} AS legal, COUNT(DISTINCT name) AS n_names FROM ({SPELLINGS}) n GROUP BY 1 HAVING COUNT(DISTINCT name) > 1",
 )
 def _(x):
-    return legal.name_collisions(x.names, "name")
+    return legal.name_collisions(x.sql(SPELLINGS), "name")
