@@ -25,12 +25,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder; rounds grow with the logarithm of the longest path in practice, not with the path.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    loops = materialize(pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "loops")
+    loops = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     current = materialize(
         pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     mark = None
-    while True:
+    while not current.isEmpty():
         both = current.union(current.select("v", "u"))
         large = materialize(_stars(both).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # Every edge now points from a node to a smaller one, as the small step needs.

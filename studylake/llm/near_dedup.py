@@ -167,6 +167,21 @@ def _compare(percent: int):
     return links
 
 
+def _roots_of_hubs(links: DataFrame, hubs: DataFrame) -> DataFrame:
+    """hubs with the class their links (a = hub, b = node) put each node in. Hubs rise in weight, so links form trees: every
+    node takes its parent's parent until that is a root."""
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    state = hubs.select("node").join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"))
+    state = materialize(state, "parents")
+    while True:
+        above = state.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        state = materialize(state.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "parents")
+        if state.where("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    return hubs.join(state.select("node", F.col("up").alias("class")), "node")
+
+
 def _classes(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """`nodes` with their class: the smallest node their links reach, or themselves."""
     roots = materialize(components(links), "roots")
@@ -220,8 +235,8 @@ def _linked(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     first = materialize(stars.groupBy("hub", "block").applyInArrow(compare, "a long, b long"), "links")
 
     # Then what stands outside its bucket's main class with the families of the bucket's other classes.
-    classed = materialize(_classes(first, hubs), "classed")
-    places = materialize(placed.join(classed, "node"), "places")
+    classed = materialize(_roots_of_hubs(first, hubs), "classed")
+    places = placed.join(classed, "node")
     mixed = (
         places.groupBy("bucket")
         .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("weight", "class")).alias("main"))
@@ -229,8 +244,9 @@ def _linked(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         .select("bucket", F.col("main.class").alias("main"))
     )
     places = materialize(places.join(materialize(mixed, "mixed"), "bucket"), "mixed-places")
-    others = materialize(places.select("bucket", "hub", F.col("class").alias("other")).distinct(), "others")
-    meets = places.where("class <> main").select("bucket", "node", "class").join(others, "bucket").where("class <> other")
+    # One row for each family in a bucket; it holds another class than a node's unless all its classes are the node's.
+    others = materialize(places.groupBy("bucket", "hub").agg(F.min("class").alias("low"), F.max("class").alias("high")), "others")
+    meets = places.where("class <> main").select("bucket", "node", "class").join(others, "bucket").where("class <> low OR class <> high")
     meets = materialize(meets.select("node", "class", "hub").distinct(), "meets")
     guests = materialize(meets.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("guest_blocks")), "guests")
     sized = families.join(guests, "hub")
