@@ -235,6 +235,10 @@ UNIQUE_KEYS = {
     "transformation_inputs": ["transformation_id", "version_id"],
     "transformation_outputs": ["transformation_id", "version_id"],
     "entities": ["domain_id", "name"], "entity_relations": ["domain_id", "name"],
+    "entity_instances": ["entity_id", "study_id", "external_id"],
+    "relation_instances": ["entity_relation_id", "entity_instance_id_1", "entity_instance_id_2"],
+    "data_asset_entities": ["asset_id", "entity_instance_id"],
+    "variable_mapping": ["from_variable_id", "to_variable_id", "operator", "operants"],
 }
 REFERENCES = [
     ("study_domains", "study_id", "studies", "study_id"), ("study_domains", "domain_id", "domains", "domain_id"),
@@ -253,6 +257,17 @@ REFERENCES = [
     ("entities", "domain_id", "domains", "domain_id"),
     ("entity_relations", "subject_entity_id", "entities", "entity_id"),
     ("entity_relations", "object_entity_id", "entities", "entity_id"),
+    ("entity_instances", "entity_id", "entities", "entity_id"), ("entity_instances", "study_id", "studies", "study_id"),
+    ("entity_instances", "transformation_id", "transformations", "transformation_id"),
+    ("relation_instances", "entity_relation_id", "entity_relations", "entity_relation_id"),
+    ("relation_instances", "entity_instance_id_1", "entity_instances", "instance_id"),
+    ("relation_instances", "entity_instance_id_2", "entity_instances", "instance_id"),
+    ("relation_instances", "transformation_id", "transformations", "transformation_id"),
+    ("data_asset_entities", "asset_id", "assets", "asset_id"),
+    ("data_asset_entities", "entity_instance_id", "entity_instances", "instance_id"),
+    ("variable_mapping", "from_variable_id", "variables", "variable_id"),
+    ("variable_mapping", "to_variable_id", "variables", "variable_id"),
+    ("variable_mapping", "prerequisite_id", "variables", "variable_id"),
 ]
 
 

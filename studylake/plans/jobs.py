@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylake.functions.names import is_legal_name, legal_name
-from studylake.operators import catalog, dictionary, eav
+from studylake.operators import catalog, dictionary, eav, harmonize
 from studylake.operators.ids import assign_ids
 from studylake.operators.profile import declared_variables
 from studylake.operators.reconcile import void_to_string
@@ -398,3 +398,59 @@ def category_values(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
 
 
 
+
+
+# --- harmonisation tables -------------------------------------------------------------------------------------
+
+def record_instances(
+    lake: StudyLake, rows: DataFrame, entity_id: int, study_id: str, external_id: str, transformation_id: int
+) -> DataFrame:
+    """Store the external ids of `rows` that the lake does not know yet as instances of an entity; returns all instances."""
+    known = lake.table("entity_instances")
+    fresh = harmonize.extract_entity_instances(rows, entity_id, study_id, external_id, transformation_id, known)
+    lake.commit({"entity_instances": known.unionByName(fresh.select(*known.columns))})
+    return lake.table("entity_instances")
+
+
+def record_relations(
+    lake: StudyLake, rows: DataFrame, relation_id: int, subject: str, object_: str, at: str, transformation_id: int,
+    study_id: str = "study_id",
+) -> DataFrame:
+    """Store the relations of `rows` between stored instances of the relation's two entities; returns all relations.
+
+    A pair the lake knows keeps its id, and its period grows to hold the new dates.
+    """
+    state = lake.catalog()
+    relation = state["entity_relations"].where(F.col("entity_relation_id") == relation_id).first()
+    if relation is None:
+        raise ValueError(f"unknown relation {relation_id}")
+    instances, known = state["entity_instances"], state["relation_instances"]
+    subjects = instances.where(F.col("entity_id") == relation.subject_entity_id)
+    objects = instances.where(F.col("entity_id") == relation.object_entity_id)
+    found = harmonize.extract_relation_instances(rows, subject, object_, at, subjects, objects, relation_id, transformation_id, study_id)
+    keys = catalog.UNIQUE_KEYS["relation_instances"]
+    dates = found.select(*keys, F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"))
+    grown = known.join(dates, keys, "left").withColumns(
+        {"valid_from": F.least("valid_from", "_from"), "valid_to": F.greatest("valid_to", "_to")}
+    )
+    fresh = assign_ids(found.join(known.select(*keys), keys, "left_anti"), keys, "relation_instance_id", known)
+    fresh = fresh.withColumn("external_id", F.lit(None).cast("string"))
+    lake.commit({"relation_instances": grown.select(*known.columns).unionByName(fresh.select(*known.columns))})
+    return lake.table("relation_instances")
+
+
+def record_asset_entities(
+    lake: StudyLake, rows: DataFrame, asset_id: str, external_id: str, entity_id: int, study_id: str = "study_id"
+) -> DataFrame:
+    """Store which stored instances of an entity occur in which asset; returns all links."""
+    state = lake.catalog()
+    instances = state["entity_instances"].where(F.col("entity_id") == entity_id)
+    links = harmonize.asset_entities(rows, asset_id, external_id, instances, study_id)
+    known = state["data_asset_entities"]
+    lake.commit({"data_asset_entities": catalog.link_if_absent(known, links, known.columns)})
+    return lake.table("data_asset_entities")
+
+
+def stored_rules(lake: StudyLake) -> list[harmonize.MappingRule]:
+    """The lake's variable mapping, ready for `harmonize.apply_variable_mapping`; `upsert` stores rows of it."""
+    return harmonize.mapping_rules(lake.table("variable_mapping"), lake.table("variables"))

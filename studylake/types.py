@@ -125,6 +125,17 @@ CATALOG_SCHEMAS = {
         "entity_relation_id BIGINT, subject_entity_id BIGINT, object_entity_id BIGINT, domain_id BIGINT, "
         "name STRING, description STRING, ontology_namespace STRING, ontology_class STRING"
     ),
+    "entity_instances": (
+        "instance_id BIGINT, entity_id BIGINT, study_id BIGINT, external_id STRING, transformation_id BIGINT"
+    ),
+    "relation_instances": (
+        "relation_instance_id BIGINT, entity_relation_id BIGINT, entity_instance_id_1 BIGINT, entity_instance_id_2 BIGINT, "
+        "valid_from DATE, valid_to DATE, external_id STRING, transformation_id BIGINT"
+    ),
+    "data_asset_entities": "asset_id BIGINT, entity_instance_id BIGINT",
+    "variable_mapping": (
+        "mapping_id BIGINT, from_variable_id BIGINT, to_variable_id BIGINT, operator STRING, operants STRING, prerequisite_id BIGINT"
+    ),
 }
 
 

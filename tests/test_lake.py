@@ -326,3 +326,33 @@ def test_text_categories_are_stored_as_values(lake, frame):
     stored = jobs.query_to_dataset(lake, "My study", 1, "moods", "SELECT * FROM moods", variables=refined)
     assert stored.columns == ["id", "mood", "mood_raw", "z"]
     assert sorted((r.id, r.mood, r.mood_raw) for r in stored.collect()) == [(1, 1, "low"), (2, None, "odd")]
+
+
+def test_harmonisation_tables(lake, frame):
+    study = lake.study_id("My study")
+    jobs.upsert(lake, "entities", frame([(1, "person"), (1, "home")], "domain_id bigint, name string"))
+    ids = {r.name: r.entity_id for r in lake.table("entities").collect()}
+    lives = frame([(1, "lives in", ids["person"], ids["home"])], "domain_id bigint, name string, subject_entity_id bigint, object_entity_id bigint")
+    jobs.upsert(lake, "entity_relations", lives)
+    done = lake.table("transformations")
+    lake.commit({"transformations": done.unionByName(frame([(1, "entity")], "transformation_id bigint, transformation_type string"), allowMissingColumns=True)})
+    rows = frame([(study, "p1", "h1", "2024-01-02"), (study, "p2", "h1", "2024-01-05")], "study_id bigint, person string, home string, day string")
+    jobs.record_instances(lake, rows, ids["person"], "study_id", "person", 1)
+    jobs.record_instances(lake, rows, ids["home"], "study_id", "home", 1)
+    assert jobs.record_instances(lake, rows, ids["person"], "study_id", "person", 1).count() == 3
+    relation = lake.table("entity_relations").first().entity_relation_id
+    first = jobs.record_relations(lake, rows, relation, "person", "home", "day", 1).collect()
+    later = rows.withColumn("day", F.lit("2024-03-01"))
+    again = jobs.record_relations(lake, later, relation, "person", "home", "day", 1).collect()
+    assert sorted(r.relation_instance_id for r in first) == sorted(r.relation_instance_id for r in again) == [1, 2]
+    assert {str(r.valid_to) for r in again} == {"2024-03-01"} and {str(r.valid_from) for r in again} == {"2024-01-02", "2024-01-05"}
+    lake.commit({"assets": frame([(5, study, "visits", None, "dataset")], "asset_id bigint, study_id bigint, name string, description string, asset_type string")})
+    used = rows.withColumn("asset", F.lit(5).cast("bigint"))
+    assert jobs.record_asset_entities(lake, used, "asset", "person", ids["person"]).count() == 2
+    jobs.upsert(lake, "variables", frame([(1, "age", 1), (1, "adult", 7)], "domain_id bigint, name string, value_type_id int"))
+    names = {r.name: r.variable_id for r in lake.table("variables").collect()}
+    rule = (names["age"], names["adult"], "ge", "18")
+    jobs.upsert(lake, "variable_mapping", frame([rule], "from_variable_id bigint, to_variable_id bigint, operator string, operants string"))
+    assert [(r.destination, r.source, r.operands) for r in jobs.stored_rules(lake)] == [("adult", "age", "18")]
+    with pytest.raises(ValueError, match="orphan variable_mapping"):
+        jobs.upsert(lake, "variable_mapping", frame([(99, names["adult"], "ge", "1")], "from_variable_id bigint, to_variable_id bigint, operator string, operants string"))
