@@ -39,9 +39,21 @@ def boilerplate(rows: DataFrame, ratio: float, least: int) -> DataFrame:
     return materialize(often.groupBy("site").agg(F.collect_list("key").alias("keys")), "boilerplate")
 
 
-def without_boilerplate(rows: DataFrame, ratio: float, least: int) -> DataFrame:
+def boilerplate_of_texts(rows: DataFrame, ratio: float, least: int) -> DataFrame:
+    """As `boilerplate`, of lines that also pass `ratio` and `least` where a site's rows of the same lines count once."""
+    keys = F.sort_array(F.array_distinct(F.transform("lines", _key)))
+    texts = materialize(rows.groupBy("site", keys.alias("keys")).agg(F.count("*").alias("n")), "line-sets")
+    totals = texts.groupBy("site").agg(F.count("*").alias("texts"), F.sum("n").alias("pages"))
+    lines = texts.select("site", F.explode("keys").alias("key"), "n")
+    counts = lines.groupBy("site", "key").agg(F.count("*").alias("among"), F.sum("n").alias("holding")).where(F.col("among") >= least)
+    counts, totals = materialize(counts, "line-counts"), materialize(totals, "site-totals")
+    often = counts.join(totals, "site").where((F.col("holding") > F.col("pages") * ratio) & (F.col("among") > F.col("texts") * ratio))
+    return materialize(often.groupBy("site").agg(F.collect_list("key").alias("keys")), "boilerplate")
+
+
+def without_boilerplate(rows: DataFrame, ratio: float, least: int, find=boilerplate) -> DataFrame:
     """rows (site, lines, …) with `kept`, the lines left in order."""
-    found = boilerplate(rows.select("site", F.filter("lines", lambda x: F.trim(x) != "").alias("lines")), ratio, least)
+    found = find(rows.select("site", F.filter("lines", lambda x: F.trim(x) != "").alias("lines")), ratio, least)
     size = found.agg(F.sum(F.size("keys"))).first()[0] or 0
     joined = rows.join(F.broadcast(found) if size <= BROADCAST_LINES else found, "site", "left")
     keys = F.col("keys")
@@ -77,9 +89,11 @@ def drop_lines(
 ) -> DataFrame:
     """`docs` with the lines taken out of their texts that recur in their source; columns as before, of whatever names.
 
-    Blank lines stay and are never boilerplate. `size_column`, where there is one, becomes the length of the new text. A text
-    that loses lines and has only blank ones left goes, with its row; NULL and empty texts stay as they are. Rows without a
-    source are one source.
+    A line must be in more than `ratio` of the source's rows and in more than `ratio`, and at least `least`, of its different
+    texts. Texts of the same lines, in any order and number, are one, so copies alone make no line boilerplate. Blank lines
+    stay and are never boilerplate. `size_column`, where there is one, becomes the length of the new text. A text that loses
+    lines and has only blank ones left goes, with its row; NULL and empty texts stay as they are. Rows without a source are
+    one source.
     """
     plain, places = by_place(docs)
     text = plain[places[text_column]]
@@ -87,7 +101,7 @@ def drop_lines(
         F.struct("*").alias("box"), F.coalesce(plain[places[site_column]], F.lit("\0")).alias("site"),
         F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"),
     )
-    out = without_boilerplate(rows, ratio, least)
+    out = without_boilerplate(rows, ratio, least, boilerplate_of_texts)
     changed = F.size("kept") < F.size("lines")
     out = out.where(~changed | F.exists("kept", lambda x: F.trim(x) != ""))
     old = F.col(f"box.{places[text_column]}")

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 from studylake.llm.line_dedup import drop_lines, page_lines
+from studylake.llm.near_dedup import keep_one
 from studylake.llm.queries import ORACLES, QUERIES
 from workload.check import compare, connect
 
@@ -59,6 +60,19 @@ def test_hot_site_and_line(frame):
     assert all("common" not in t for t in left["hot"]) and "rare" in left["hot"] and left["s0"] == {"common\nrare"}
 
 
+def test_copies_are_no_boilerplate(frame):
+    words = [f"word{i}" for i in range(40)]
+    text = "\n".join(" ".join(words[i : i + 8]) for i in range(0, 40, 8))
+    rows = [(i, text, "s", len(text), "", "") for i in range(3)]
+    rows += [(10 + i, f"head\nthis is {i} " + " ".join(f"own{i}x{j}" for j in range(20)), "s", 0, "", "") for i in range(6)]
+    moved = "\n\n".join(reversed(text.split("\n")))
+    rows += [(30 + i, [text, moved][i % 2], "t", 0, "", "") for i in range(9)]
+    out = keep_one(drop_lines(frame(rows, DOCS)), shingle=5, percent=80).collect()
+    assert [r.text for r in out if r.doc_id < 10] == [text]
+    assert sorted(r.text.split("\n")[0][:7] for r in out if 10 <= r.doc_id < 30) == ["this is"] * 6
+    assert {r.text for r in out if r.doc_id >= 30} <= {text, moved} and any(r.doc_id >= 30 for r in out)
+
+
 def test_query_equals_sql(spark):
     sf_dir = "/root/testdata/sf0.001"
     assert compare(QUERIES["op2_line_dedup"](spark, sf_dir), connect(sf_dir), ORACLES["op2_line_dedup"]) == ""
