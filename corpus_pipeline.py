@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than three in ten documents of a source share go out of the texts."""
+    """Lines that more than three in ten documents of a source share go out of the texts, and sentences that one in a hundred share."""
     return drop_lines(docs)
 
 

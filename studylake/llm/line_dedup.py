@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.llm.common import by_place, materialize
+from studylake.llm.mixing import word_count
 
 #: Boilerplate lines of all sites up to which the lists are broadcast (some 50 bytes each); beyond that they are joined by shuffle.
 BROADCAST_LINES = 100_000
+#: Words of a line that no two texts have by chance; the share of a source's texts, and how many, from which it is boilerplate; the
+#: share of a text's words up to which its recurring lines are not the text itself.
+SENTENCE, SENTENCE_RATIO, SENTENCE_LEAST, SENTENCE_SHARE = 5, 0.01, 20, 0.5
 #: Text between tags is a line; scripts, styles and comments are breaks as a whole.
 HTML_BREAK = r"(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|\n"
 
@@ -40,15 +44,30 @@ def boilerplate(rows: DataFrame, ratio: float, least: int) -> DataFrame:
 
 
 def boilerplate_of_texts(rows: DataFrame, ratio: float, least: int) -> DataFrame:
-    """As `boilerplate`, of lines that also pass `ratio` and `least` where a site's rows of the same lines count once."""
-    keys = F.sort_array(F.array_distinct(F.transform("lines", _key)))
+    """As `boilerplate`, of lines that also pass `ratio` and `least` where a site's rows of the same lines count once; and sentences.
+
+    A line of `SENTENCE` words or more is boilerplate already if more than `SENTENCE_RATIO` of the site's different texts hold it,
+    and at least `SENTENCE_LEAST` do, whose words are not mostly those of such lines: near copies share nearly all their lines.
+    """
+    keys = F.sort_array(F.array_distinct(F.transform("lines", lambda x: F.struct(_key(x).alias("key"), word_count(x).alias("words")))))
     texts = materialize(rows.groupBy("site", keys.alias("keys")).agg(F.count("*").alias("n")), "line-sets")
     totals = texts.groupBy("site").agg(F.count("*").alias("texts"), F.sum("n").alias("pages"))
-    lines = texts.select("site", F.explode("keys").alias("key"), "n")
-    counts = lines.groupBy("site", "key").agg(F.count("*").alias("among"), F.sum("n").alias("holding")).where(F.col("among") >= least)
+    lines = texts.select("site", F.explode("keys").alias("line"), "n").select("site", "line.*", "n")
+    counts = lines.groupBy("site", "key", "words").agg(F.count("*").alias("among"), F.sum("n").alias("holding")).where(F.col("among") >= least)
     counts, totals = materialize(counts, "line-counts"), materialize(totals, "site-totals")
-    often = counts.join(totals, "site").where((F.col("holding") > F.col("pages") * ratio) & (F.col("among") > F.col("texts") * ratio))
-    return materialize(often.groupBy("site").agg(F.collect_list("key").alias("keys")), "boilerplate")
+    often = (F.col("holding") > F.col("pages") * ratio) & (F.col("among") > F.col("texts") * ratio)
+    many = (F.col("among") >= SENTENCE_LEAST) & (F.col("among") > F.col("texts") * SENTENCE_RATIO)
+    recurring = counts.join(totals, "site").select("site", "key", often.alias("often"), ((F.col("words") >= SENTENCE) & many).alias("many"), "texts")
+    recurring = materialize(recurring.where("often OR many"), "recurring-lines")
+    # The sentences again, counted where they are not most of the text.
+    lists = recurring.groupBy("site").agg(F.collect_list("key").alias("recurring"))
+    lists = F.broadcast(lists) if recurring.count() <= BROADCAST_LINES else lists
+    words = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    held = texts.join(lists, "site").select("site", "keys", F.filter("keys", lambda x: F.array_contains("recurring", x["key"])).alias("held"))
+    held = held.where(words(F.col("held")) <= words(F.col("keys")) * SENTENCE_SHARE)
+    held = held.select("site", F.explode("held.key").alias("key")).groupBy("site", "key").agg(F.count("*").alias("among"))
+    found = recurring.join(held, ["site", "key"], "left").where(F.col("often") | (F.col("many") & many))
+    return materialize(found.groupBy("site").agg(F.collect_list("key").alias("keys")), "boilerplate")
 
 
 def without_boilerplate(rows: DataFrame, ratio: float, least: int, find=boilerplate) -> DataFrame:

@@ -73,6 +73,20 @@ def test_copies_are_no_boilerplate(frame):
     assert {r.text for r in out if r.doc_id >= 30} <= {text, moved} and any(r.doc_id >= 30 for r in out)
 
 
+def test_sentences_of_a_large_source(frame):
+    notice, short, rare = "Read more about this on our site", "See also", "This line stands in few of them"
+    rows = []
+    for i in range(400):
+        lines = [f"text {i} has line {j} of its own" for j in range(3)]
+        lines += [notice] * (i % 10 == 0) + [short] * (i % 10 == 1) + [rare] * (i % 40 == 2)
+        rows.append((i, "\n".join(lines), "s", 0, "", ""))
+    near = [f"line {j} of a text that has near copies" for j in range(9)]
+    rows += [(1000 + i, "\n".join([*near, f"and here is number {i}"]), "s", 0, "", "") for i in range(40)]
+    rows += [(2000, notice, "t", 0, "", "")]
+    out = {r.doc_id: r.text for r in drop_lines(frame(rows, DOCS)).collect()}
+    assert out == {r[0]: r[1].replace(f"\n{notice}", "") for r in rows}
+
+
 def test_query_equals_sql(spark):
     sf_dir = "/root/testdata/sf0.001"
     assert compare(QUERIES["op2_line_dedup"](spark, sf_dir), connect(sf_dir), ORACLES["op2_line_dedup"]) == ""
