@@ -226,6 +226,16 @@ def _features(probability: np.ndarray, key: np.ndarray, doc: np.ndarray, n_words
     return np.stack((np.ones(n), np.log1p(np.minimum(likely, 5)), np.log1p(np.minimum(expected, 5)), share), axis=1)
 
 
+def _spaced(used: np.ndarray, limit: int) -> np.ndarray:
+    """At most `limit` of the used, at even distances from the first to the last."""
+    at = np.flatnonzero(used)
+    if len(at) <= limit:
+        return used
+    out = np.zeros(len(used), bool)
+    out[at[np.linspace(0, len(at) - 1, limit).astype(np.int64)]] = True
+    return out
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1) -> np.ndarray:
     """Newton's method for penalised logistic regression."""
     w = np.zeros(x.shape[1])
@@ -266,8 +276,7 @@ class Toxicity:
         lengths = np.diff(np.append(sequence, n))
         # Sequences without any marked word tell the same again and again: one in ten of them.
         marked = np.add.reduceat((bins > 0) | (states > 0), sequence) > 0 if len(sequence) else np.zeros(0, bool)
-        used = marked | (np.arange(len(sequence)) % 10 == 0)
-        used &= np.cumsum(used) <= SEQUENCES
+        used = _spaced(marked | (np.arange(len(sequence)) % 10 == 0), SEQUENCES)
         chosen = np.repeat(used, lengths)
         starts = np.cumsum(lengths[used]) - lengths[used]
         field = Field.fit(bins[chosen], states[chosen], starts)

@@ -10,7 +10,7 @@ from studylake.llm.languages import Languages, drop_unknown, identify
 from studylake.llm.quality import VOCABULARY, WIDTH, index_vectors, quality, tokens, word_vectors
 from studylake.llm.queries import QUERIES
 from studylake.llm.samples import held_out, labelled_texts, training_texts
-from studylake.llm.toxicity import EDGES, Field, toxicity
+from studylake.llm.toxicity import EDGES, Field, Toxicity, _spaced, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, score double, held_out string"
@@ -126,6 +126,28 @@ def test_toxic_spans_and_odd_texts(frame):
     assert all(r.score < 0.01 for r in none) and toxicity(frame([], DOCS), frame(labels, LABELS)).collect() == []
 
 
+def test_field_learns_from_late_texts(monkeypatch):
+    rows = [(f"{c}{i} " + " ".join(f"{c}{i}w{j}" for j in range(80)) + " vile" * (i % 2), i % 2) for c in "az" for i in range(60)]
+    rows.sort()
+    seen, fit = [], Field.fit.__func__
+
+    def watch(cls, bins, states, starts):
+        seen.append((len(starts), bins, states))
+        return fit(cls, bins, states, starts)
+
+    monkeypatch.setattr("studylake.llm.toxicity.SEQUENCES", 10**6)
+    monkeypatch.setattr(Field, "fit", classmethod(watch))
+    Toxicity.learn(rows)
+    limit = seen[0][0] // 4
+    monkeypatch.setattr("studylake.llm.toxicity.SEQUENCES", limit)
+    numbered = []
+    monkeypatch.setattr("studylake.llm.toxicity._spaced", lambda used, n, own=_spaced: numbered.append((used, own(used, n))) or own(used, n))
+    Toxicity.learn(rows)
+    (used, chosen), = numbered
+    at, last = np.flatnonzero(chosen), np.flatnonzero(used)[-1]
+    assert seen[1][0] == limit == len(at) and used[at].all() and at[-1] == last and (at > last / 2).sum() >= limit // 3
+
+
 def test_quality_of_odd_texts(frame):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(f"w{x}" + ("###" if i % 4 == 0 else "") for x in rng.integers(0, 90, 40)), "", 0.0, "") for i in range(240)]
