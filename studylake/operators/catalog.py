@@ -11,17 +11,15 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studylake import types as VT
 from studylake.functions.names import dataset_name
-from studylake.operators.ids import assign_ids, same_key
+from studylake.operators.ids import assign_ids, key_text, same_key
 from studylake.session import local_rows, materialize
 
 VERSION = ["major", "minor", "patch"]
-# Steps of lineage after which what was seen becomes one table.
-COMPACT = 16
 
 
 # --- changing state -------------------------------------------------------------------------------------------
@@ -98,6 +96,27 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parent: str) -> D
     )
 
 
+def with_keys(rows: DataFrame, named: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose natural key is among those of `named`."""
+    wanted = named.select(*keys).distinct()
+    return rows.alias("r").join(wanted.alias("k"), same_key("r", "k", keys), "left_semi")
+
+
+def number_items(items: DataFrame, existing: DataFrame) -> DataFrame:
+    """Vocabulary items with their ids in `existing`, and new ids for those it does not hold (or holds without an id).
+
+    An item is known by vocabulary, value and code; several alike are told apart by their order.
+    """
+    keys = ["vocabulary_id", "value", "code"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("description")).alias("_nth")
+    known = existing.where("vocabulary_item_id IS NOT NULL").select(*keys, nth, "vocabulary_item_id")
+    wanted = items.select(*keys, "description", nth)
+    joined = wanted.alias("i").join(known.alias("e"), same_key("i", "e", [*keys, "_nth"]), "left").select("i.*", "e.vocabulary_item_id")
+    fresh = joined.where("vocabulary_item_id IS NULL").drop("vocabulary_item_id")
+    numbered = assign_ids(fresh, [*keys, "_nth"], "vocabulary_item_id", existing)
+    return joined.where("vocabulary_item_id IS NOT NULL").unionByName(numbered).select("vocabulary_item_id", *keys, "description")
+
+
 def link_if_absent(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add link rows, ignoring those already there or given twice."""
     fresh = incoming.dropDuplicates(list(keys)).alias("i")
@@ -230,7 +249,8 @@ def dataset_names(studies: DataFrame, assets: DataFrame, versions: DataFrame) ->
 UNIQUE_KEYS = {
     "studies": ["name"], "domains": ["name", "uri"], "study_domains": ["study_id", "domain_id"],
     "study_access": ["study_id", "user_id"], "variables": ["domain_id", "name"],
-    "vocabularies": ["domain_id", "name"], "assets": ["study_id", "name"],
+    "vocabularies": ["domain_id", "name"], "vocabulary_items": ["vocabulary_item_id"],
+    "vocabulary_mapping": ["from_vocabulary_item", "to_vocabulary_item"], "assets": ["study_id", "name"],
     "asset_versions": ["asset_id", *VERSION], "dataset_variables": ["version_id", "variable_id"],
     "transformation_inputs": ["transformation_id", "version_id"],
     "transformation_outputs": ["transformation_id", "version_id"],
@@ -246,6 +266,8 @@ REFERENCES = [
     ("variables", "domain_id", "domains", "domain_id"), ("variables", "vocabulary_id", "vocabularies", "vocabulary_id"),
     ("vocabularies", "domain_id", "domains", "domain_id"),
     ("vocabulary_items", "vocabulary_id", "vocabularies", "vocabulary_id"),
+    ("vocabulary_mapping", "from_vocabulary_item", "vocabulary_items", "vocabulary_item_id"),
+    ("vocabulary_mapping", "to_vocabulary_item", "vocabulary_items", "vocabulary_item_id"),
     ("assets", "study_id", "studies", "study_id"), ("asset_versions", "asset_id", "assets", "asset_id"),
     ("datafiles", "version_id", "asset_versions", "version_id"),
     ("dataset_variables", "version_id", "asset_versions", "version_id"),
@@ -269,6 +291,12 @@ REFERENCES = [
     ("variable_mapping", "to_variable_id", "variables", "variable_id"),
     ("variable_mapping", "prerequisite_id", "variables", "variable_id"),
 ]
+# What a column may hold: listed values, or the ids of seeded rows. NULL is left to the column.
+ALLOWED = [
+    ("variables", "keyrole", VT.KEY_ROLES), ("dataset_variables", "keyrole", VT.KEY_ROLES), ("assets", "asset_type", VT.ASSET_TYPES),
+    ("transformations", "transformation_type", VT.TRANSFORMATION_TYPES), ("variable_mapping", "operator", VT.MAPPING_OPERATORS),
+    ("variables", "value_type_id", tuple(row[0] for row in VT.VALUE_TYPES)), ("studies", "study_type_id", tuple(row[0] for row in VT.STUDY_TYPES)),
+]
 
 
 class _Check(NamedTuple):
@@ -281,13 +309,14 @@ class _Check(NamedTuple):
 
     def row(self) -> Column:
         said = F.struct(
-            F.lit(self.violation).alias("violation"), _key_label(self.keys).alias("key"),
+            F.lit(self.violation).alias("violation"), key_text(self.keys).alias("key"), _key_label(self.keys).alias("label"),
             F.lit(int(not self.known)).alias("_used"), F.lit(int(self.known)).alias("_known"),
         )
         return said if self.where is None else F.when(self.where, said)
 
 
 def _key_label(keys: Sequence[str]) -> Column:
+    """A key as it is reported; keys are told apart by `ids.key_text`."""
     return F.concat_ws("|", *[F.coalesce(F.col(key).cast("string"), F.lit("NULL")) for key in keys])
 
 
@@ -300,19 +329,8 @@ def renumbered(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def constraint_violations(
-    tables: Mapping[str, DataFrame], before_versions: DataFrame | None = None, changed: Sequence[str] | None = None
-) -> DataFrame:
-    """Everything a database would have refused, as rows `violation, key, n`; empty when the state is sound.
-
-    Keys compare NULL as a value, so a domain name may stand once without a URI. All checks share one grouping
-    by (check, key): a key used twice is a duplicate, a key used but known nowhere an orphan. Each table is read
-    once for all its checks, and uses fold on the map side, so neither the number of checks nor a hot key adds
-    scans or shuffles.
-
-    With `changed`, `tables` is a whole state: absent tables are empty, and only the checks a changed table takes
-    part in are made.
-    """
+def _checks(tables: Mapping[str, DataFrame], changed: Sequence[str] | None) -> dict[str, list[_Check]]:
+    """The checks that rows of each table take part in; with `changed` only those that a changed table takes part in."""
     def due(*names: str) -> bool:
         return changed is None or any(name in changed for name in names)
 
@@ -326,27 +344,74 @@ def constraint_violations(
             checks[name].append(_Check(orphan, [key], where=F.col(key).isNotNull()))
             if parent in tables:
                 checks[parent].append(_Check(orphan, [parent_key], known=True))
+    for name, column, values in ALLOWED:
+        if name in tables and due(name) and column in tables[name].columns:
+            checks[name].append(_Check(f"unknown {name}.{column}", [column], where=~F.col(column).isin(list(values))))
     if "asset_versions" in tables and due("asset_versions"):
         checks["asset_versions"].append(_Check("several latest versions", ["asset_id"], where=F.col("is_latest")))
+    return checks
+
+
+def _said(tables: Mapping[str, DataFrame], checks: Mapping[str, list[_Check]]) -> DataFrame:
+    """Rows (violation, key, label, _used, _known) of what each row says to its checks."""
     said = [
         tables[name].select(F.inline(F.array(*[check.row() for check in of_table])))
-        for name, of_table in checks.items() if of_table
+        for name, of_table in checks.items() if of_table and name in tables
     ]
     if not said:
         nothing = _Check("", next(iter(tables.values())).columns[:1])
         said = [next(iter(tables.values())).limit(0).select(F.inline(F.array(nothing.row())))]
+    return reduce(DataFrame.union, said).where("violation IS NOT NULL")
+
+
+def constraint_violations(
+    tables: Mapping[str, DataFrame],
+    before_versions: DataFrame | None = None,
+    changed: Sequence[str] | None = None,
+    touched: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """Everything a database would have refused, as rows `violation, key, n`; empty when the state is sound.
+
+    Keys compare NULL as a value, so a domain name may stand once without a URI. All checks share one grouping
+    by (check, key): a key used twice is a duplicate, a key used but known nowhere an orphan, a value that is not among those a
+    column may hold unknown. Each table is read once for all its checks, and uses fold on the map side, so neither the number of
+    checks nor a hot key adds scans or shuffles.
+
+    With `changed`, `tables` is a whole state: absent tables are empty, and only the checks a changed table takes
+    part in are made.
+
+    With `touched`, the rows of changed tables that were added, removed or altered (as they were and as they are), only keys that one
+    of them uses or makes known are grouped; all others were sound before and have not moved. The checks of a changed table that is
+    not in `touched` are made in full.
+    """
+    checks = _checks(tables, changed)
+    if touched is None:
+        said = _said(tables, checks)
+    else:
+        # What only the rows as they are now tell does not show what is gone, so checks of other changed tables are made in full.
+        unknown = {name for name in (tables if changed is None else changed) if name not in touched}
+        whole = {check.violation for name in unknown for check in checks.get(name, [])}
+        in_full = {name: [c for c in of_table if c.violation in whole] for name, of_table in checks.items()}
+        in_part = {name: [c for c in of_table if c.violation not in whole] for name, of_table in checks.items()}
+        keys = _said(touched, {name: in_part.get(name, []) for name in touched}).select("violation", "key").distinct() if touched else None
+        said = _said(tables, in_full)
+        if keys is not None and any(in_part.values()):
+            moved = _said(tables, in_part).join(keys, ["violation", "key"], "left_semi")
+            said = moved.select(*said.columns).union(said) if any(in_full.values()) else moved.select(*said.columns)
     refused = (
-        reduce(DataFrame.union, said).where("violation IS NOT NULL").groupBy("violation", "key")
-        .agg(F.sum("_used").alias("n"), F.sum("_known").alias("known"))
+        said.groupBy("violation", "key")
+        .agg(F.any_value("label").alias("label"), F.sum("_used").alias("n"), F.sum("_known").alias("known"))
         .where(
             F.when(F.startswith("violation", F.lit("orphan")), (F.col("n") > 0) & (F.col("known") == 0))
+            .when(F.startswith("violation", F.lit("unknown")), F.col("n") > 0)
             .otherwise(F.col("n") > 1)
         )
-        .select("violation", "key", "n")
+        .select("violation", F.col("label").alias("key"), "n")
     )
-    if before_versions is None or "asset_versions" not in tables or not due("asset_versions"):
+    if before_versions is None or "asset_versions" not in tables or (changed is not None and "asset_versions" not in changed):
         return refused
-    return refused.unionByName(renumbered(before_versions, tables["asset_versions"]))
+    versions = tables["asset_versions"] if touched is None or "asset_versions" not in touched else touched["asset_versions"]
+    return refused.unionByName(renumbered(before_versions, versions))
 
 
 # --- studies, assets, variables -------------------------------------------------------------------------------
@@ -471,29 +536,41 @@ def record_provenance(
 def lineage(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Versions each seed was made from, with the fewest transformations in between.
 
-    `seeds(version_id)` -> `seed_id, version_id, depth`. Each step goes from versions to the transformations that
-    wrote them and on to what those read, removing repeats at both ends, so the input-by-output pairs of a busy
-    transformation are never formed. A step is written to the shared scratch folder, which cuts the lineage of
-    the plan; the loop ends when a step finds nothing new, so cycles end it too. What was seen is written anew as one
-    table after every `COMPACT` steps.
+    `seeds(version_id)` -> `seed_id, version_id, depth`. See `lineage_rounds`.
+    """
+    return lineage_rounds(seeds, inputs, outputs)[0]
+
+
+def lineage_rounds(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, int]:
+    """`lineage` and the rounds it took: about the logarithm of the greatest depth.
+
+    Paths are doubled. After k rounds, what is less than 2^k transformations away from a seed is known, and there is a table of jumps
+    of exactly 2^k transformations; each round lengthens what is known by the jumps and the jumps by themselves. Jumps lead from
+    transformation to transformation, so the input-by-output pairs of a busy transformation are never formed. A round is written to
+    the shared scratch folder. The loop ends when a round finds nothing new: on a shortest path nothing lies beyond a gap, so cycles
+    end it too.
     """
-    # Every step reads the edges again, so they are brought into their shortest form once.
-    wrote = materialize(outputs.select("version_id", "transformation_id").distinct(), "lineage-outputs")
+    wrote = outputs.select("version_id", "transformation_id").distinct()
     read = materialize(inputs.select("transformation_id", "version_id").distinct(), "lineage-inputs")
-    frontier = seeds.select(F.col("version_id").alias("seed_id"), "version_id").distinct()
-    frontier = materialize(frontier.withColumn("depth", F.lit(0)), "lineage")
-    seen, depth = frontier, 0
+    start = seeds.select("version_id").distinct().join(wrote, "version_id")
+    known = start.select(F.col("version_id").alias("seed_id"), "transformation_id", F.lit(0).cast("bigint").alias("steps"))
+    known = materialize(known, "lineage")
+    made_by = wrote.select("version_id", F.col("transformation_id").alias("to"))
+    jumps = materialize(read.join(made_by, "version_id").select("transformation_id", "to").distinct(), "lineage-jumps")
+    rounds = 0
     while True:
-        depth += 1
-        steps = frontier.select("seed_id", "version_id").join(wrote, "version_id").select("seed_id", "transformation_id")
-        reached = steps.distinct().join(read, "transformation_id").select("seed_id", "version_id").distinct()
-        fresh = reached.join(seen.select("seed_id", "version_id"), ["seed_id", "version_id"], "left_anti")
-        frontier = materialize(fresh.withColumn("depth", F.lit(depth)), "lineage")
-        if frontier.isEmpty():
-            return seen.where("depth > 0")
-        seen = seen.unionByName(frontier)
-        if depth % COMPACT == 0:
-            seen = materialize(seen, "lineage-seen")
+        length = 2**rounds
+        rounds += 1
+        ahead = known.join(jumps, "transformation_id").select("seed_id", F.col("to").alias("transformation_id"), "steps")
+        ahead = ahead.groupBy("seed_id", "transformation_id").agg((F.min("steps") + length).alias("steps"))
+        fresh = materialize(ahead.join(known, ["seed_id", "transformation_id"], "left_anti"), "lineage")
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+        beyond = jumps.select(F.col("transformation_id").alias("to"), F.col("to").alias("beyond"))
+        jumps = materialize(jumps.join(beyond, "to").select("transformation_id", F.col("beyond").alias("to")).distinct(), "lineage-jumps")
+    found = known.join(read, "transformation_id").groupBy("seed_id", "version_id").agg((F.min("steps") + 1).cast("int").alias("depth"))
+    return found.where("seed_id <> version_id"), rounds
 
 
 # --- seeds ----------------------------------------------------------------------------------------------------

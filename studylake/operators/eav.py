@@ -45,7 +45,15 @@ def multi_fields(eav: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
 def single_rows(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Rows of the fields that are never multi-valued."""
     multi = multi_fields(eav) if multi is None else multi
-    return eav.join(multi, "field_name", "left_anti").select(*eav.columns)
+    return _without(eav, multi).select(*eav.columns)
+
+
+def _without(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose field is not among `names`, each of which stands there once.
+
+    Not an anti join: Spark moves those below a union, where a branch of one field has no key left to join on.
+    """
+    return rows.join(names.select("field_name", F.lit(True).alias("_named")), "field_name", "left").where("_named IS NULL").drop("_named")
 
 
 def joined_values(eav: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
@@ -73,7 +81,8 @@ def _written_out(value: Column, n: Column) -> Column:
 def multi_agg(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Joined values of the multi-valued fields."""
     multi = multi_fields(eav) if multi is None else multi
-    return joined_values(eav.join(multi, "field_name", "left_semi"))
+    # Names stand once, so an inner join takes no row twice; a semi join would be moved below a union (see `_without`).
+    return joined_values(eav.join(multi.select("field_name"), "field_name"))
 
 
 def prepped(eav: DataFrame) -> DataFrame:
@@ -189,8 +198,8 @@ def duplicate_matches(fields: DataFrame, variables: DataFrame) -> DataFrame:
 
 def unmatched_fields(fields: DataFrame, variables: DataFrame) -> DataFrame:
     """Fields no variable describes; they are left out of the typed table."""
-    names = variables.select(F.col("name").alias("field_name"))
-    return fields.select("field_name").distinct().join(names, "field_name", "left_anti")
+    names = variables.select(F.col("name").alias("field_name")).distinct()
+    return _without(fields.select("field_name").distinct(), names)
 
 
 def variable_list(matched: DataFrame) -> list[Variable]:
@@ -209,12 +218,25 @@ def wide_typed(
     multiresponse_as_array: bool = False,
     as_time: bool = False,
     ordered: bool = False,
+    keys: Sequence[str] = RECORD,
 ) -> DataFrame:
-    """Whole pipeline, typed by variable: one column per variable, `<name>_raw` beside each category."""
-    raw = wide_raw(eav, [variable.name for variable in variables])
-    record = cast_integer(F.col("record")).alias("record") if integer_record else F.col("record")
-    wide = raw.select(record, *typed_columns(list(variables), multiresponse_as_array, as_time))
-    return wide.orderBy("record") if ordered else wide
+    """Whole pipeline, typed by variable: one column per variable, `<name>_raw` beside each category.
+
+    With more `keys` than the record, as longitudinal exports have them, there is a row for each of their values; they stay text.
+    """
+    raw = wide_raw(eav, [variable.name for variable in variables], keys)
+    key_columns = [
+        cast_integer(F.col(key)).alias(key) if integer_record and key == "record" else _quoted(key) for key in keys
+    ]
+    wide = raw.select(*key_columns, *typed_columns(list(variables), multiresponse_as_array, as_time))
+    return wide.orderBy(*keys) if ordered else wide
+
+
+def record_digests(eav: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
+    """`<keys>, n, total, mixed` of each record: a digest of its rows that doesn't depend on their order."""
+    hashed = [F.xxhash64(F.lit(seed), F.col("field_name"), F.col("value").isNull(), F.col("value")) for seed in (1, 2)]
+    rows = eav.select(*map(_quoted, keys), hashed[0].cast("decimal(38,0)").alias("_one"), hashed[1].alias("_two"))
+    return rows.groupBy(*map(_quoted, keys)).agg(F.count(F.lit(1)).alias("n"), F.sum("_one").alias("total"), F.bit_xor("_two").alias("mixed"))
 
 
 def flat_named_multi(eav: DataFrame, multi: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:

@@ -5,13 +5,17 @@ The data model declares these tables without saying how they are applied; the se
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from studylake.operators.classes import equivalence_classes
 from studylake.operators.ids import assign_ids
+from studylake.operators.intervals import containing_join, overlap_join
 
 COMPARISONS = {
     "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v,
@@ -52,23 +56,55 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def _rule_value(df: DataFrame, rule: MappingRule) -> Column:
+def _split(text: str, separator: str, times: int = -1) -> list[str]:
+    """`text` at its separators; one behind a backslash is part of the text, as is a backslash behind another."""
+    parts, at = [""], 0
+    while at < len(text):
+        if text[at] == "\\" and at + 1 < len(text):
+            parts[-1] += text[at : at + 2]
+            at += 1
+        elif text[at] == separator and len(parts) != times + 1:
+            parts.append("")
+        else:
+            parts[-1] += text[at]
+        at += 1
+    return parts
+
+
+def _operand(text: str) -> str:
+    """An operand as it is meant: without blanks around it and the backslashes before escaped characters."""
+    return re.sub(r"\\(.)", r"\1", text.strip(), flags=re.DOTALL)
+
+
+def _compared(source: Column, kind: T.DataType, derived: bool, operator: str, operand: str) -> Column:
+    value = F.lit(operand)
+    if not derived:
+        return COMPARISONS[operator](source, value.cast(kind))
+    # Derived variables are text: they are ordered as numbers where the operand is one.
+    if operator in ("eq", "ne") or not re.fullmatch(r"[+-]?\d+(\.\d+)?", operand):
+        return COMPARISONS[operator](source, value)
+    return COMPARISONS[operator](source.try_cast("double"), value.cast("double"))
+
+
+def _rule_value(df: DataFrame, rule: MappingRule, derived: bool) -> Column:
     source = _quoted(rule.source)
     kind = df.schema[rule.source].dataType
     if rule.operator == "map":
-        pairs = [pair.split("=", 1) for pair in rule.operands.split("|")]
         value = F
-        for key, mapped in pairs:
-            value = value.when(source.cast("string") == key.strip(), F.lit(mapped.strip()))
+        for pair in _split(rule.operands, "|"):
+            key, mapped = map(_operand, _split(pair, "=", 1))
+            value = value.when(source.cast("string") == key, F.lit(mapped))
         value = value.otherwise(None)
     else:
         if rule.operator == "contains":
-            holds = F.contains(source.cast("string"), F.lit(rule.operands))
+            holds = F.contains(source.cast("string"), F.lit(_operand(rule.operands) if "\\" in rule.operands else rule.operands))
         elif rule.operator == "between":
-            low, high = (F.lit(bound.strip()).cast(kind) for bound in rule.operands.split(","))
-            holds = source.between(low, high)
+            low, high = map(_operand, _split(rule.operands, ","))
+            holds = _compared(source, kind, derived, "ge", low) & _compared(source, kind, derived, "le", high)
+        elif rule.operator in COMPARISONS:
+            holds = _compared(source, kind, derived, rule.operator, _operand(rule.operands) if "\\" in rule.operands else rule.operands)
         else:
-            holds = COMPARISONS[rule.operator](source, F.lit(rule.operands).cast(kind))
+            raise ValueError(f"unknown operator {rule.operator!r}")
         value = F.when(holds, "1").when(~holds, "0")
     if rule.prerequisite is None:
         return value
@@ -76,23 +112,65 @@ def _rule_value(df: DataFrame, rule: MappingRule) -> Column:
     return F.when(~F.coalesce(_quoted(rule.prerequisite).cast("string"), F.lit("0")).isin("", "0", "0.0", "false"), value)
 
 
+def rule_layers(rules: Sequence[MappingRule], columns: Sequence[str]) -> list[list[str]]:
+    """Destinations in layers: each needs only `columns` and destinations of earlier layers.
+
+    A name that is a column is that column. Rules that need each other are refused, and a cycle of them is named.
+    """
+    given = set(columns)
+    destinations = list(dict.fromkeys(rule.destination for rule in rules))
+    needs: dict[str, set[str]] = {name: set() for name in destinations}
+    for rule in rules:
+        for name in (rule.source, rule.prerequisite):
+            if name is not None and name not in given:
+                if name not in needs:
+                    raise ValueError(f"{rule.destination!r} needs {name!r}, which is neither a column nor derived")
+                needs[rule.destination].add(name)
+    layers: list[list[str]] = []
+    done: set[str] = set()
+    while len(done) < len(destinations):
+        layer = [name for name in destinations if name not in done and needs[name] <= done]
+        if not layer:
+            at = next(name for name in destinations if name not in done)
+            path = []
+            while at not in path:
+                path.append(at)
+                at = min(needs[at] - done)
+            raise ValueError(f"rules need each other: {' <- '.join([*path[path.index(at):], at])}")
+        layers.append(layer)
+        done |= set(layer)
+    return layers
+
+
 def apply_variable_mapping(df: DataFrame, rules: Sequence[MappingRule], keep: Sequence[str]) -> DataFrame:
-    """Destination variables beside the kept columns, in one projection.
+    """Destination variables beside the kept columns, one projection for each layer of rules.
 
     Comparisons give '1' or '0', NULL when the source is NULL. Where several rules feed one destination, any '1'
-    wins over '0'; `map` rules are tried in order and come before comparisons.
+    wins over '0'; `map` rules are tried in order and come before comparisons. A rule may read a variable that other rules derive, as
+    its source or prerequisite, unless `df` has a column of that name. In operands a backslash makes `,`, `|`, `=` and itself part of
+    a value.
     """
     destinations: dict[str, list[MappingRule]] = {}
     for rule in rules:
         destinations.setdefault(rule.destination, []).append(rule)
-    derived = []
-    for name, group in destinations.items():
-        mapped = [_rule_value(df, rule) for rule in group if rule.operator == "map"]
-        compared = [_rule_value(df, rule) for rule in group if rule.operator != "map"]
-        if len(compared) > 1:
-            compared = [F.greatest(*compared)]
-        derived.append(F.coalesce(*mapped, *compared).alias(name))
-    return df.select(*map(_quoted, keep), *derived)
+    own = set(df.columns)
+    # Derived columns get names of their own until the end, so that none hides a column.
+    place = {name: f"_derived{i}" for i, name in enumerate(destinations)}
+
+    def placed(name: str | None) -> str | None:
+        return place[name] if name is not None and name not in own else name
+
+    for layer in rule_layers(rules, df.columns):
+        derived = {}
+        for name in layer:
+            group = [rule._replace(source=placed(rule.source), prerequisite=placed(rule.prerequisite)) for rule in destinations[name]]
+            values = [(rule.operator == "map", _rule_value(df, rule, rule.source not in own)) for rule in group]
+            mapped, compared = [v for is_map, v in values if is_map], [v for is_map, v in values if not is_map]
+            if len(compared) > 1:
+                compared = [F.greatest(*compared)]
+            derived[place[name]] = F.coalesce(*mapped, *compared).cast("string")
+        df = df.withColumns(derived)
+    return df.select(*map(_quoted, keep), *[F.col(place[name]).alias(name) for name in destinations])
 
 
 def recode_table(mapping: DataFrame, from_items: DataFrame, to_items: DataFrame) -> DataFrame:
@@ -109,9 +187,11 @@ def recode_vocabulary(
 
     A value with several counterparts fails the query and is named: rows never multiply.
     """
-    table = recode_table(mapping, from_items, to_items).groupBy("from_value").agg(
-        F.min("to_value").alias("_least"), F.max("to_value").alias("_most")
-    )
+    return _translated(df, column, recode_table(mapping, from_items, to_items), out)
+
+
+def _translated(df: DataFrame, column: str, counterparts: DataFrame, out: str) -> DataFrame:
+    table = counterparts.groupBy("from_value").agg(F.min("to_value").alias("_least"), F.max("to_value").alias("_most"))
     several = F.concat(F.lit("several counterparts of "), F.col("from_value").cast("string"))
     single = F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(F.raise_error(several).cast("int"))
     table = table.select("from_value", single.cast(table.schema["_least"].dataType).alias("_to"))
@@ -120,6 +200,46 @@ def recode_vocabulary(
     )
 
 
+def item_classes(items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`vocabulary_item_id, vocabulary_id, value, class_id` of all items: those that mappings lead to from each other are one class.
+
+    `mapping(from_vocabulary_item, to_vocabulary_item)` says that two items mean the same, whatever the direction and over as many
+    vocabularies as it takes. A class is named by its smallest item; an item no mapping names is a class of its own.
+    """
+    classes = equivalence_classes(mapping, "from_vocabulary_item", "to_vocabulary_item").withColumnRenamed("item", "vocabulary_item_id")
+    own = items.select("vocabulary_item_id", "vocabulary_id", "value").join(classes, "vocabulary_item_id", "left")
+    return own.withColumn("class_id", F.coalesce("class_id", F.col("vocabulary_item_id").cast(classes.schema["class_id"].dataType)))
+
+
+def representatives(classes: DataFrame, preferred: Sequence[int] = ()) -> DataFrame:
+    """`class_id, vocabulary_item_id, vocabulary_id, value`: one item for each class of `item_classes`.
+
+    It is of the first preferred vocabulary that has an item in the class, and otherwise the smallest; among several the smallest.
+    """
+    rank = F.coalesce(*[F.when(F.col("vocabulary_id") == v, i) for i, v in enumerate(preferred)], F.lit(len(preferred)))
+    chosen = F.min_by(F.struct("vocabulary_item_id", "vocabulary_id", "value"), F.struct(rank, "vocabulary_item_id"))
+    return classes.groupBy("class_id").agg(chosen.alias("item")).select("class_id", "item.*")
+
+
+def class_conflicts(classes: DataFrame) -> DataFrame:
+    """`class_id, vocabulary_id, n_items, first_item, last_item` of classes that make different items of one vocabulary the same."""
+    counted = classes.groupBy("class_id", "vocabulary_id").agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("vocabulary_item_id").alias("first_item"), F.max("vocabulary_item_id").alias("last_item")
+    )
+    return counted.where("n_items > 1")
+
+
+def recode_between(df: DataFrame, column: str, classes: DataFrame, from_vocabulary: int, to_vocabulary: int, out: str) -> DataFrame:
+    """Translate a category column of one vocabulary into any other that `item_classes` connects with it, directly or not.
+
+    Values without a counterpart become NULL; one with several fails the query and is named.
+    """
+    def of(vocabulary: int, name: str) -> DataFrame:
+        return classes.where(F.col("vocabulary_id") == vocabulary).select("class_id", F.col("value").alias(name))
+
+    return _translated(df, column, of(from_vocabulary, "from_value").join(of(to_vocabulary, "to_value"), "class_id"), out)
+
+
 def decode_categories(df: DataFrame, column: str, items: DataFrame, key: str = "value") -> DataFrame:
     """Code and description beside a category column."""
     lookup = items.select(
@@ -174,6 +294,19 @@ def relations_valid_at(relations: DataFrame, start: str, end: str | None = None)
     return relations.where((F.col("valid_from") <= last) & (F.col("valid_to") >= first))
 
 
+def relations_valid_in_periods(relations: DataFrame, periods: DataFrame, first: str, last: str) -> DataFrame:
+    """Each relation beside each period it overlaps; both ends count, and relations or periods without an end match nothing.
+
+    Columns of relations and periods must differ in name.
+    """
+    return overlap_join(relations, periods, ("valid_from", "valid_to"), (first, last))
+
+
+def relations_valid_on_days(relations: DataFrame, days: DataFrame, day: str) -> DataFrame:
+    """Each relation beside each row of `days` whose date lies in it."""
+    return containing_join(relations, days, ("valid_from", "valid_to"), day)
+
+
 def asset_entities(
     rows: DataFrame, asset_id: str, external_id: str, instances: DataFrame, study_id: str = "study_id"
 ) -> DataFrame:

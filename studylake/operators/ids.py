@@ -13,9 +13,11 @@ BUCKET_DIGITS = 3
 
 
 def key_text(keys: Sequence[str]) -> Column:
-    """Natural key as one text; NULL parts are told apart from empty ones."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")) for key in keys]
-    return F.concat_ws("|", *parts)
+    """Natural key as one text, a different one for each key: NULL parts are marked, and `|` and `\\` in a part are escaped."""
+    written = [F.col(key).cast("string") for key in keys]
+    if len(written) > 1:
+        written = [F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for part in written]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), part), F.lit("-")) for part in written])
 
 
 def same_key(left: str, right: str, keys: Sequence[str]) -> Column:

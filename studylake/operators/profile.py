@@ -15,7 +15,6 @@ Snapshots (one row per thing, any number of source databases side by side):
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,8 @@ from pyspark.sql import types as T
 
 from studylake import types as VT
 from studylake.functions.sqltypes import ENUM_BY_NAME, map_type_by_flavour
-from studylake.session import local_rows
+from studylake.operators.discovery import columns_of, inclusion_dependencies, stacked, within_range
+from studylake.session import local_rows, materialize
 from studylake.types import value_type_of
 
 TABLE = ["flavour", "schema_name", "table_name"]
@@ -155,26 +155,23 @@ def code_tables(keys: DataFrame, row_counts: DataFrame) -> DataFrame:
 def small_keyed_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The same decision from data: `table_name, column_name, n` of tables without declared keys.
 
-    A column counts as key when it is an integer and every row has its own value. All tables are counted first,
-    which reads no column; only those below the limit have their values compared.
+    A column counts as key when it is an integer and every row has its own value. A table shows as many rows as make it too large to
+    be a code table; those rows of all tables are counted in one grouping.
     """
-    spark = next(iter(tables.values())).sparkSession
-    sizes = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n")) for name, df in tables.items()]
-    small = reduce(DataFrame.unionByName, sizes).where(F.col("n") < CODE_TABLE_ROWS).collect()
-    checks = []
-    for row in small:
-        df = tables[row.table_name]
-        for field in df.schema.fields:
-            if isinstance(field.dataType, T.IntegralType):
-                checks.append(
-                    df.agg(
-                        F.lit(row.table_name).alias("table_name"), F.lit(field.name).alias("column_name"),
-                        F.count(F.lit(1)).alias("n"), F.count_distinct(F.col(field.name)).alias("values"),
-                    ).where("n = values AND n > 0").select("table_name", "column_name", "n")
-                )
-    if not checks:
+    parts = []
+    for name, df in tables.items():
+        whole = [f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
+        if whole:
+            cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("bigint").alias("value")) for c in whole]
+            shown = df.select(*(f"`{c}`" for c in whole)).limit(CODE_TABLE_ROWS)
+            parts.append(shown.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells))))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
         return local_rows(spark, [], "table_name string, column_name string, n bigint")
-    return reduce(DataFrame.unionByName, checks)
+    counted = stacked(parts, "small-tables").groupBy("table_name", "column_name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("values")
+    )
+    return counted.where((F.col("n") < CODE_TABLE_ROWS) & (F.col("n") == F.col("values"))).select("table_name", "column_name", "n")
 
 
 def code_table_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
@@ -243,49 +240,26 @@ def _same_table(schema: str, table: str, other_schema: str, other_table: str) ->
 
 
 def inclusion_keys(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFrame:
-    """Integer columns whose every value is a key of a code table, for tables without declared keys.
+    """Integer columns whose every value is a key of a code table of another name, for tables without declared keys.
 
-    `code` is the result of `small_keyed_tables`: fewer than 250 keys each, so the keys become literals and each
-    table is checked against all code tables in one pass without a join.
+    `code` is the result of `small_keyed_tables`. Columns with a value outside the range of all keys are left out first, by their
+    bounds; the others are compared with all code tables at once (`discovery.inclusion_dependencies`).
     """
-    spark = code.sparkSession
-    keys = {
-        (row.table_name, row.column_name): [r[0] for r in tables[row.table_name].select(row.column_name).collect()]
-        for row in code.collect()
-    }
-    reports = []
-    for name, df in tables.items():
-        candidates = [
-            (f.name, ref, column, values)
-            for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)
-            for (ref, column), values in keys.items() if ref != name
-        ]
-        if not candidates:
-            continue
-        measured = df.agg(
-            *[
-                ((F.count(F.col(own)) > 0) & (F.count_if(_outside(own, values)) == 0)).alias(f"r{i}")
-                for i, (own, _, _, values) in enumerate(candidates)
-            ]
-        )
-        found = F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("table_name"), F.lit(own).alias("column_name"),
-                    F.lit(ref).alias("ref_table"), F.lit(column).alias("ref_column"), F.col(f"r{i}").alias("holds"),
-                )
-                for i, (own, ref, column, _) in enumerate(candidates)
-            ]
-        )
-        reports.append(measured.select(F.inline(found)).where("holds").drop("holds"))
-    if not reports:
-        return local_rows(spark, [], "table_name string, column_name string, ref_table string, ref_column string")
-    return reduce(DataFrame.unionByName, reports)
-
-
-def _outside(column: str, values: Sequence[int]) -> Column:
-    """Test for integers that are not among `values`, as one parsed list rather than a call per value."""
-    return F.expr(f"`{column}` NOT IN ({', '.join(str(int(value)) for value in values)})")
+    code = materialize(code.select("table_name", "column_name"), "code-tables")
+    named = {tuple(row) for row in code.collect()}
+    columns = columns_of(tables, ["integer"])
+    keys = [c for c in columns if (c.table_name, c.column_name) in named]
+    if not keys:
+        return local_rows(code.sparkSession, [], "table_name string, column_name string, ref_table string, ref_column string")
+    bounds = stacked(
+        [tables[c.table_name].agg(F.min(f"`{c.column_name}`").cast("bigint").alias("low"), F.max(f"`{c.column_name}`").cast("bigint").alias("high")) for c in keys],
+        "key-bounds",
+    ).agg(F.min("low"), F.max("high")).first()
+    found = inclusion_dependencies(tables, within_range(tables, columns, *bounds))
+    refs = code.select(F.col("table_name").alias("ref_table"), F.col("column_name").alias("ref_column"))
+    return found.join(refs, ["ref_table", "ref_column"], "left_semi").where("table_name <> ref_table").select(
+        "table_name", "column_name", "ref_table", "ref_column"
+    )
 
 
 def describe_code_table(df: DataFrame, key: str) -> tuple[str, str | None] | None:
@@ -318,7 +292,7 @@ def code_table_items(tables: Mapping[str, DataFrame], code: DataFrame) -> DataFr
         return local_rows(
             spark, [], "table_name string, column_name string, value bigint, code string, description string"
         )
-    return reduce(DataFrame.unionByName, parts)
+    return stacked(parts, "code-items")
 
 
 # --- enums and checks -----------------------------------------------------------------------------------------

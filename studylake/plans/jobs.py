@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylake.functions.names import is_legal_name, legal_name
+from studylake.functions.values import cast_integer
 from studylake.operators import catalog, dictionary, eav, harmonize
 from studylake.operators.ids import assign_ids
 from studylake.operators.profile import declared_variables
@@ -28,6 +31,11 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
+def _user(spark: SparkSession) -> str:
+    """Who runs the session."""
+    return spark.range(1).select(F.current_user().alias("user")).first().user
+
+
 def _one(df: DataFrame, like: DataFrame, **values: Any) -> DataFrame:
     """A one-row frame shaped like a catalog table."""
     row = tuple(values.get(name) for name in like.columns)
@@ -54,7 +62,7 @@ def upsert(lake: StudyLake, table: str, incoming: DataFrame, order: str | None =
             if key not in incoming.columns:
                 ordered = ordered.withColumn(key, F.lit(None).cast(existing.schema[key].dataType))
         after = catalog.upsert_by_key(existing, ordered, keys, id_column, attributes, "_order")
-    lake.commit({table: after})
+    lake.commit({table: after}, {table: incoming.select(*[F.col(key) if key in incoming.columns else F.lit(None).alias(key) for key in keys])})
     return lake.table(table)
 
 
@@ -90,7 +98,9 @@ def register_dictionary(lake: StudyLake, rows: DataFrame, domain_id: int, prefix
     """Register a field dictionary; returns the report of its variables."""
     state = lake.catalog()
     new = dictionary.register(rows, domain_id, state["variables"], state["vocabularies"], prefix)
-    items = catalog.replace_children(state["vocabulary_items"], new["vocabulary_items"], "vocabulary_id")
+    known = state["vocabulary_items"]
+    items = catalog.replace_children(known.drop("vocabulary_item_id"), new["vocabulary_items"], "vocabulary_id")
+    items = catalog.number_items(items, known)
     lake.commit({"variables": new["variables"], "vocabularies": new["vocabularies"], "vocabulary_items": items})
     stored = lake.table("variables").where(F.col("domain_id") == domain_id)
     return stored.join(rows.select(F.col("field_name").alias("name")).distinct(), "name", "left_semi")
@@ -112,7 +122,10 @@ def _add_version(
     if asset is None:
         asset_id = (assets.agg(F.max("asset_id")).first()[0] or 0) + 1
         state["assets"] = assets.unionByName(
-            _one(assets, assets, asset_id=asset_id, study_id=study_id, name=name, asset_type=asset_type)
+            _one(
+                assets, assets, asset_id=asset_id, study_id=study_id, name=name, asset_type=asset_type, date_created=_now(),
+                created_by=_user(lake.spark),
+            )
         )
     elif asset.asset_type != asset_type:
         raise ValueError(f"asset {name!r} is a {asset.asset_type}")
@@ -124,7 +137,7 @@ def _add_version(
     version_id = (versions.agg(F.max("version_id")).first()[0] or 0) + 1
     state["_version"] = _one(
         versions, versions, version_id=version_id, asset_id=asset_id, major=number[0], minor=number[1], patch=number[2],
-        version_note=note, is_latest=True, created_at=_now(),
+        version_note=note, is_latest=True, created_at=_now(), created_by=_user(lake.spark),
     )
     return state, asset_id, version_id, number
 
@@ -181,20 +194,22 @@ def ingest_files(
     if known is not None:
         raise ValueError(f"file {known.asset_name!r} exists in study {study!r}: allow a new version")
     new = manifest.where("asset_id IS NULL").select(F.lit(study_id).alias("study_id"), F.col("asset_name").alias("name"))
-    new = new.withColumns({"ord": F.lit(0), "description": F.lit(description).cast("string"), "asset_type": F.lit("file")})
+    made = {"date_created": F.lit(_now()), "created_by": F.current_user()}
+    new = new.withColumns({"ord": F.lit(0), "description": F.lit(description).cast("string"), "asset_type": F.lit("file"), **made})
     assets = catalog.insert_if_absent(
-        state["assets"], new, ["study_id", "name"], "asset_id", ["description", "asset_type"], "ord"
+        state["assets"], new, ["study_id", "name"], "asset_id", ["description", "asset_type", *made], "ord"
     )
     ids = assets.where(F.col("study_id") == study_id).select(F.col("name").alias("asset_name"), F.col("asset_id").alias("id"))
     rows = manifest.join(ids, "asset_name").select(
         F.col("id").alias("asset_id"), "major", "minor", "patch", F.lit("Ingested file").alias("version_note"),
-        F.lit(True).alias("is_latest"), F.lit(_now()).alias("created_at"), F.col("storage_uri").alias("location"),
+        F.lit(True).alias("is_latest"), F.lit(_now()).alias("created_at"), F.current_user().alias("created_by"),
+        F.col("storage_uri").alias("location"),
         "storage_uri", "edam_format", "digest",
     )
     numbered = assign_ids(rows, ["asset_id", "storage_uri"], "version_id", state["asset_versions"])
     versions = catalog.set_latest(
         state["asset_versions"].unionByName(
-            numbered.select("version_id", "asset_id", *catalog.VERSION, "version_note", "is_latest", "created_at", "location"),
+            numbered.select("version_id", "asset_id", *catalog.VERSION, "version_note", "is_latest", "created_at", "created_by", "location"),
             allowMissingColumns=True,
         )
     )
@@ -231,6 +246,34 @@ def ingest_project(
     return ingest_files(lake, study, export_path, provenance=provenance)
 
 
+def _widened(
+    rows: DataFrame, variables: Sequence[Variable], convert: bool, integer_record: bool, keys: Sequence[str], fields: Sequence[str] | None = None
+) -> DataFrame:
+    if convert and variables:
+        return eav.wide_typed(rows, variables, integer_record, keys=keys)
+    return eav.wide_raw(rows, fields, keys)
+
+
+def _renewed(
+    lake: StudyLake, rows: DataFrame, digests: DataFrame, keys: Sequence[str], made_by: str, asset_id: int, versions: DataFrame,
+    widen: Callable[[DataFrame], DataFrame],
+) -> DataFrame | None:
+    """The wide table of `rows` from the asset's latest version: its rows for records that haven't changed, new ones for the others.
+
+    None if there is no earlier version that was made in the same way, so that nothing can be taken from it.
+    """
+    latest = catalog.latest_versions(versions.where(F.col("asset_id") == asset_id)).first()
+    before = None if latest is None else lake.record_digests(latest.location, made_by, digests.schema)
+    if before is None:
+        return None
+    # Digests are of records as the table has them, NULL parts of a key never count as known.
+    same = materialize(digests.join(before, digests.columns).select(*keys), "same-records")
+    known = lake.spark.read.parquet(latest.location)
+    changed = rows.join(same, list(keys), "left_anti")
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in known.columns]
+    return known.join(same, list(keys), "left_semi").select(*columns).union(widen(changed).select(*columns))
+
+
 def eav_to_dataset(
     lake: StudyLake,
     study: str,
@@ -242,13 +285,20 @@ def eav_to_dataset(
     charset: str | None = None,
     provenance: Mapping[str, str] | None = None,
     multi_line: bool = False,
+    keys: Sequence[str] = eav.RECORD,
+    incremental: bool = False,
 ) -> DataFrame:
     """Turn an EAV file into a typed, versioned dataset named after the file without `_eav`.
 
     The rows come from `rows`, from `path`, or from the latest version of the file asset; `charset` names the
     file's single-byte character set if it is not UTF-8. Files are split between tasks; set `multi_line` for exports
     whose values hold line breaks, which makes a file one task. Fields without a variable are left out; all of them
-    are named in a warning and stored beside the dataset (`StudyLake.fields_left_out`).
+    are named in a warning and stored beside the dataset (`StudyLake.fields_left_out`). Longitudinal exports name the columns that
+    make a row with the record in `keys`; otherwise such columns are ignored.
+
+    A digest of each record is stored beside the dataset. With `incremental`, records whose digests are those of the latest version
+    are copied from it and only the others are widened; the result is that of a full rebuild. The latest version must have been made
+    with the same variables, keys and options; otherwise everything is widened.
     """
     study_id, state = lake.study_id(study), lake.catalog()
     source = state["assets"].where((F.col("study_id") == study_id) & (F.col("name") == file_asset)).first()
@@ -261,9 +311,9 @@ def eav_to_dataset(
             raise ValueError(f"no file {file_asset!r} in study {study!r}")
         # Text is parsed once; later steps read columns.
         if charset:
-            export = scan_eav_transcode(lake.spark, path, charset, multi_line)
+            export = scan_eav_transcode(lake.spark, path, charset, multi_line, keys)
         else:
-            export = scan_eav_csv(lake.spark, path, multi_line)
+            export = scan_eav_csv(lake.spark, path, multi_line, keys=keys)
         rows = materialize(export, "eav")
     stem = file_asset.removesuffix("_eav")
     name = lake.spark.range(1).select(legal_name(F.lit(stem), strict=True).alias("n")).first().n
@@ -276,13 +326,30 @@ def eav_to_dataset(
         warnings.warn(f"fields without a variable: {left_out}", stacklevel=2)
     matched = eav.variable_match(fields, known)
     variables = eav.variable_list(matched)
-    wide = (
-        eav.wide_typed(rows, variables, integer_record) if convert and variables else eav.wide_raw(rows)
-    )
+    typed = convert and bool(variables)
+    columns = None if typed else eav.column_names(fields)
+
+    def widen(some: DataFrame) -> DataFrame:
+        return _widened(some, variables, convert, integer_record, keys, columns)
+
+    # A version can be built on if it was made of the same columns in the same way.
+    recipe = [typed, integer_record, list(keys), [tuple(v) for v in variables] if typed else columns]
+    made_by = hashlib.sha256(json.dumps(recipe).encode()).hexdigest()
+    as_stored = {"record": cast_integer(F.col("record"))} if typed and integer_record and "record" in keys else {}
+    rows = rows.withColumn("_record", F.col("record")).withColumns(as_stored)
+    digests = materialize(eav.record_digests(rows, keys), "digests")
+    asset = state["assets"].where((F.col("study_id") == study_id) & (F.col("name") == name)).first()
+    wide = None
+    if incremental and asset is not None:
+        again = lambda some: widen(some.withColumn("record", F.col("_record")).drop("_record"))
+        wide = _renewed(lake, rows, digests, keys, made_by, asset.asset_id, state["asset_versions"], again)
+    if wide is None:
+        wide = widen(rows.withColumn("record", F.col("_record")).drop("_record"))
     state, _, version_id, number = _add_version(lake, study_id, name, "dataset", f"Dataset from eav file {file_asset}")
     location = lake.new_data_path(study, name, number)
     wide.write.parquet(location)
     unmatched.write.parquet(lake.left_out_path(location))
+    digests.write.parquet(lake.digests_path(location, made_by))
     links = matched.select(
         F.lit(version_id).cast("bigint").alias("version_id"), "variable_id", F.lit(None).cast("int").alias("ordinal"), "keyrole"
     )
@@ -353,7 +420,7 @@ def query_to_dataset(
         loaded = fresh.join(vocabularies.select("vocabulary_id", "domain_id", "name"), ["domain_id", "name"]).select(
             "vocabulary_id", F.inline("items")
         )
-        items = items.unionByName(loaded)
+        items = catalog.number_items(items.drop("vocabulary_item_id").unionByName(loaded), items)
         declared = declared.join(
             vocabularies.where(F.col("domain_id") == domain_id)
             .select("vocabulary_id", F.col("name").alias("vocabulary_name")), "vocabulary_name", "left",
@@ -386,7 +453,6 @@ def load_query(lake: StudyLake, sql: str, variables: Sequence[Variable], locatio
     conform(result, table_schema(variables)).write.parquet(location)
     return lake.spark.read.parquet(location)
 
-
 def category_values(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
     """Text category -> its integer value, with the text kept as `<column>_raw` beside it."""
     lookup = items.groupBy(F.col("code").alias("_code")).agg(F.min("value").cast("int").alias("_value"))
@@ -397,9 +463,6 @@ def category_values(df: DataFrame, column: str, items: DataFrame) -> DataFrame:
     return coded.select(*columns)
 
 
-
-
-
 # --- harmonisation tables -------------------------------------------------------------------------------------
 
 def record_instances(
@@ -451,6 +514,30 @@ def record_asset_entities(
     return lake.table("data_asset_entities")
 
 
+def record_vocabulary_mapping(lake: StudyLake, pairs: DataFrame) -> DataFrame:
+    """Store that items mean the same, `pairs(from_vocabulary_item, to_vocabulary_item)`; returns the whole mapping."""
+    return upsert(lake, "vocabulary_mapping", pairs.select("from_vocabulary_item", "to_vocabulary_item").distinct())
+
+
+def stored_classes(lake: StudyLake) -> DataFrame:
+    """The classes of the lake's vocabulary items, ready for `harmonize.recode_between` and `harmonize.class_conflicts`."""
+    return harmonize.item_classes(lake.table("vocabulary_items"), lake.table("vocabulary_mapping"))
+
+
+def recode(lake: StudyLake, df: DataFrame, column: str, from_vocabulary: str, to_vocabulary: str, out: str, domain_id: int | None = None) -> DataFrame:
+    """Translate a category column between two vocabularies of the lake, named (in one domain, if names recur)."""
+    known = lake.table("vocabularies")
+    if domain_id is not None:
+        known = known.where(F.col("domain_id") == domain_id)
+    ids = []
+    for name in (from_vocabulary, to_vocabulary):
+        rows = known.where(F.col("name") == name).select("vocabulary_id").limit(2).collect()
+        if len(rows) != 1:
+            raise ValueError(f"{'no' if not rows else 'several'} vocabularies {name!r}")
+        ids.append(rows[0].vocabulary_id)
+    return harmonize.recode_between(df, column, stored_classes(lake), *ids, out)
+
+
 def stored_rules(lake: StudyLake) -> list[harmonize.MappingRule]:
     """The lake's variable mapping, ready for `harmonize.apply_variable_mapping`; `upsert` stores rows of it."""
     return harmonize.mapping_rules(lake.table("variable_mapping"), lake.table("variables"))

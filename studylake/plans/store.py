@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +55,15 @@ class StudyLake:
         locations = self.locations()
         return {name: self.table(name, locations) for name in CATALOG_SCHEMAS}
 
-    def commit(self, changes: Mapping[str, DataFrame]) -> None:
-        """Write changed catalog tables, check the resulting state, then publish it in one append."""
+    def commit(self, changes: Mapping[str, DataFrame], keys: Mapping[str, DataFrame] | None = None) -> None:
+        """Write changed catalog tables, check the resulting state, then publish it in one append.
+
+        `keys` are the natural keys of the rows that a change adds, alters or removes, where the caller knows them; of a table that is
+        not named there all rows are checked.
+        """
         locations = self.locations()
         state = {name: self.table(name, locations) for name in locations}
+        old = dict(state)
         before = state.get("asset_versions")
         attempt = uuid.uuid4().hex
         written = {}
@@ -67,7 +73,14 @@ class StudyLake:
             df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(location)
             written[name] = location
             state[name] = self.spark.read.schema(schema).parquet(location)
-        refused = catalog.constraint_violations(state, before, list(changes)).first()
+        touched = None
+        if keys:
+            of = lambda name: catalog.UNIQUE_KEYS[name]
+            touched = {
+                name: reduce(DataFrame.unionByName, [catalog.with_keys(side[name], named, of(name)) for side in (old, state) if name in side])
+                for name, named in keys.items()
+            }
+        refused = catalog.constraint_violations(state, before, list(changes), touched).first()
         if refused is not None:
             raise ValueError(f"refused commit: {refused.violation} ({refused.key}, {refused.n} rows)")
         number = (self.commits().agg(F.max("commit_no")).first()[0] or 0) + 1
@@ -93,6 +106,20 @@ class StudyLake:
         """Where the fields a dataset version left out are listed."""
         return f"{location}-left-out"
 
+    @staticmethod
+    def digests_path(location: str, made_by: str) -> str:
+        """Where the digests of a dataset version's records are, by the way it was made."""
+        return f"{location}-digests/{made_by}"
+
+    def record_digests(self, location: str, made_by: str, schema: T.StructType) -> DataFrame | None:
+        """Digests of the records of the version at `location`, None if it was made in another way."""
+        try:
+            return self.spark.read.schema(schema).parquet(self.digests_path(location, made_by))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def fields_left_out(self, location: str) -> DataFrame:
         """`field_name` of every field the dataset version at `location` has no variable for."""
         return self.spark.read.schema("field_name STRING").parquet(self.left_out_path(location))

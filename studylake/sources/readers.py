@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from studylake.types import DICTIONARY_SCHEMA, EAV_SCHEMA
+from studylake.types import DICTIONARY_SCHEMA
 
 
-def scan_eav_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def scan_eav_csv(
+    spark: SparkSession, path: str | list[str], multi_line: bool = True, encoding: str = "UTF-8", keys: Sequence[str] = ()
+) -> DataFrame:
     """EAV export with a header row -> `record, field_name, value`, all text; other columns are ignored.
 
+    `keys` are columns that tell the visits of a record apart, as longitudinal exports have them; they come after `record`.
+
     Values may hold line breaks, which makes a file one task. Set `multi_line=False` for exports known to have
     none, and large files are split.
     """
@@ -23,14 +27,16 @@ def scan_eav_csv(spark: SparkSession, path: str | list[str], multi_line: bool =
     options = {"header": True, "multiLine": multi_line, "encoding": encoding, "escape": '"', "enforceSchema": False}
     header = spark.read.options(**{**options, "multiLine": False}).csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    wanted = [f.name for f in T.StructType.fromDDL(EAV_SCHEMA).fields]
+    wanted = ["record", *[key for key in keys if key != "record"], "field_name", "value"]
     missing = sorted(set(wanted) - set(header))
     if missing:
         raise ValueError(f"no column {missing} in {path}")
     return spark.read.schema(schema).options(**options).csv(path).select(*wanted)
 
 
-def scan_eav_transcode(spark: SparkSession, path: str, charset: str = "iso8859-2", multi_line: bool = True) -> DataFrame:
+def scan_eav_transcode(
+    spark: SparkSession, path: str, charset: str = "iso8859-2", multi_line: bool = True, keys: Sequence[str] = ()
+) -> DataFrame:
     """The same for an export in another single-byte character set.
 
     Spark reads every byte as the Latin-1 character of the same number; each is then translated to the character
@@ -42,7 +48,7 @@ def scan_eav_transcode(spark: SparkSession, path: str, charset: str = "iso8859-2
     def decode(name: str) -> Column:
         return F.translate(F.col(name), read_as, meant).alias(name)
 
-    raw = scan_eav_csv(spark, path, multi_line, encoding="ISO-8859-1")
+    raw = scan_eav_csv(spark, path, multi_line, "ISO-8859-1", keys)
     return raw.select(*[decode(name) for name in raw.columns])
 
 

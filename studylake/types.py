@@ -68,9 +68,11 @@ VALUE_FORMATS = {
     "time_hh_mm_ss": "%H:%M:%S",
 }
 
-# What a transformation may be, and what an asset may be.
+# What a transformation may be, what an asset may be, the part of a variable in a key, how a rule compares.
 TRANSFORMATION_TYPES = ("ingest", "transform", "entity", "export", "repository")
 ASSET_TYPES = ("dataset", "file")
+KEY_ROLES = ("none", "record", "external")
+MAPPING_OPERATORS = ("eq", "gt", "ge", "lt", "le", "ne", "contains", "between", "map")
 
 
 class Variable(NamedTuple):
@@ -98,16 +100,19 @@ CATALOG_SCHEMAS = {
     "study_domains": "study_id BIGINT, domain_id BIGINT",
     "study_access": "study_id BIGINT, user_id STRING, access_level STRING",
     "vocabularies": "vocabulary_id BIGINT, domain_id BIGINT, name STRING, description STRING",
-    "vocabulary_items": "vocabulary_id BIGINT, value BIGINT, code STRING, description STRING",
+    "vocabulary_items": "vocabulary_item_id BIGINT, vocabulary_id BIGINT, value BIGINT, code STRING, description STRING",
+    "vocabulary_mapping": "vocabulary_mapping_id BIGINT, from_vocabulary_item BIGINT, to_vocabulary_item BIGINT",
     "variables": (
         "variable_id BIGINT, domain_id BIGINT, name STRING, value_type_id INT, value_format STRING, "
         "vocabulary_id BIGINT, keyrole STRING, description STRING, note STRING, "
         "ontology_namespace STRING, ontology_class STRING"
     ),
-    "assets": "asset_id BIGINT, study_id BIGINT, name STRING, description STRING, asset_type STRING",
+    "assets": (
+        "asset_id BIGINT, study_id BIGINT, name STRING, description STRING, asset_type STRING, date_created TIMESTAMP, created_by STRING"
+    ),
     "asset_versions": (
         "version_id BIGINT, asset_id BIGINT, major INT, minor INT, patch INT, version_note STRING, "
-        "doi STRING, is_latest BOOLEAN, created_at TIMESTAMP, location STRING"
+        "doi STRING, is_latest BOOLEAN, created_at TIMESTAMP, created_by STRING, location STRING"
     ),
     "datafiles": "version_id BIGINT, storage_uri STRING, edam_format STRING, digest STRING, compressed BOOLEAN",
     "dataset_variables": "version_id BIGINT, variable_id BIGINT, ordinal INT, keyrole STRING",

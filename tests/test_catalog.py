@@ -1,5 +1,7 @@
 """Catalog operators on small states."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,12 +114,93 @@ def test_lineage_of_a_diamond_and_a_cycle(frame):
     assert as_set(found.select("seed_id", "version_id", "depth")) == [(4, 1, 2), (4, 2, 1), (4, 3, 1)]
 
 
-def test_lineage_of_a_chain_longer_than_a_compaction(frame):
+def test_lineage_rounds_grow_with_the_logarithm_of_the_depth(frame):
     edge = "transformation_id bigint, version_id bigint"
-    n = cat.COMPACT + 4
+    n = 1000
     outputs, inputs = frame([(i, i + 1) for i in range(n)], edge), frame([(i, i) for i in range(n)], edge)
-    found = cat.lineage(frame([(n,)], "version_id bigint"), inputs, outputs)
-    assert sorted((r.version_id, r.depth) for r in found.collect()) == [(n - d, d) for d in range(n, 0, -1)]
+    found, rounds = cat.lineage_rounds(frame([(n,), (400,)], "version_id bigint"), inputs, outputs)
+    assert rounds == 11  # 2^10 steps, and one round that finds nothing
+    assert sorted((r.seed_id, r.version_id, r.depth) for r in found.collect()) == [(400, v, 400 - v) for v in range(400)] + [(n, v, n - v) for v in range(n)]
+
+
+def test_lineage_equals_a_walk(frame):
+    """Random graphs with cycles, versions made twice, and transformations of many versions."""
+    edge = "transformation_id bigint, version_id bigint"
+    rng = random.Random(6)
+    for versions, transformations in ((12, 6), (40, 30), (60, 90)):
+        outputs = [(rng.randrange(transformations), rng.randrange(versions)) for _ in range(transformations)]
+        inputs = [(rng.randrange(transformations), rng.randrange(versions)) for _ in range(transformations + 5)]
+        seeds = rng.sample(range(versions), 5)
+        expected = set()
+        for seed in seeds:
+            seen, frontier, depth = {seed}, {seed}, 0
+            while frontier:
+                depth += 1
+                made = {t for t, v in outputs if v in frontier}
+                frontier = {v for t, v in inputs if t in made} - seen
+                seen |= frontier
+                expected |= {(seed, v, depth) for v in frontier}
+        found = cat.lineage(frame([(s,) for s in seeds * 2], "version_id bigint"), frame(inputs * 2, edge), frame(outputs, edge))
+        assert {tuple(r) for r in found.collect()} == expected
+        assert found.count() == len(expected)
+    assert cat.lineage(frame([(1,)], "version_id bigint"), frame([], edge), frame([], edge)).collect() == []
+
+
+def test_keys_that_look_alike(frame):
+    rows = [(1, "a|b", "c"), (2, "a", "b|c"), (3, "x", None), (4, "x", "NULL"), (5, "y\\", "|"), (6, "y", "\\||"), (7, "z", ""), (8, "z", None), (9, "q", "=")]
+    domains = frame(rows, "domain_id bigint, name string, uri string")
+    assert cat.constraint_violations({"domains": domains}).collect() == []
+    twice = frame(rows + [(10, "a|b", "c"), (11, "x", None)], "domain_id bigint, name string, uri string")
+    assert as_set(cat.constraint_violations({"domains": twice})) == [("duplicate domains", "a|b|c", 2), ("duplicate domains", "x|NULL", 2)]
+
+
+def test_values_that_columns_may_not_hold(frame):
+    state = {
+        "assets": frame([(1, 1, "a", "dataset"), (2, 1, "b", "table"), (3, 1, "c", None)], "asset_id bigint, study_id bigint, name string, asset_type string"),
+        "studies": frame([(1, "s", 9), (2, "t", 2)], "study_id bigint, name string, study_type_id int"),
+        "variable_mapping": frame([(1, 1, 1, "like", "x", None)], "mapping_id int, from_variable_id bigint, to_variable_id bigint, operator string, operants string, prerequisite_id bigint"),
+    }
+    assert as_set(cat.constraint_violations(state)) == [
+        ("unknown assets.asset_type", "table", 1), ("unknown studies.study_type_id", "9", 1), ("unknown variable_mapping.operator", "like", 1),
+    ]
+
+
+def test_checks_of_touched_rows_refuse_the_same(frame):
+    """Random changes to a sound state: both checks tell the same, whatever was added, altered or removed."""
+    rng = random.Random(8)
+    schema = {
+        "domains": "domain_id bigint, name string, uri string", "vocabularies": "vocabulary_id bigint, domain_id bigint, name string, description string",
+        "vocabulary_items": "vocabulary_item_id bigint, vocabulary_id bigint, value bigint",
+    }
+    before = {
+        "domains": [(i, f"d{i}", None) for i in range(12)], "vocabularies": [(i, i % 12, f"v{i}", "") for i in range(30)],
+        "vocabulary_items": [(i, i % 25, i) for i in range(60)],
+    }
+    for _ in range(6):
+        after = {name: list(rows) for name, rows in before.items()}
+        for _ in range(rng.randint(0, 2)):
+            after["domains"].remove(rng.choice(after["domains"]))
+            after["domains"].append((rng.randint(0, 14), f"d{rng.randint(0, 14)}", rng.choice([None, "u"])))
+            after["vocabularies"][rng.randrange(20)] = (rng.randint(0, 31), rng.randint(0, 13), f"v{rng.randint(0, 31)}", "new")
+            after["vocabulary_items"].append((rng.randint(50, 70), rng.randint(20, 32), 1))
+        changed = [name for name in after if after[name] != before[name]]
+        state = {name: frame(rows, schema[name]) for name, rows in after.items()}
+        moved = {name: frame(sorted(set(before[name]) ^ set(after[name]), key=repr) + [r for r in after[name] if after[name].count(r) > 1], schema[name]) for name in changed}
+        full = as_set(cat.constraint_violations(state, changed=changed))
+        assert as_set(cat.constraint_violations(state, changed=changed, touched=moved)) == full
+        partly = {name: rows for name, rows in moved.items() if name != "domains"}
+        assert as_set(cat.constraint_violations(state, changed=changed, touched=partly)) == full
+
+
+def test_untouched_keys_are_not_grouped(frame):
+    versions = frame([(i, i // 3, i % 3, 0, 0, i % 3 == 2) for i in range(3000)], "version_id bigint, asset_id bigint, major int, minor int, patch int, is_latest boolean")
+    touched = {"asset_versions": versions.where("asset_id = 5")}
+    found = cat.constraint_violations({"asset_versions": versions}, changed=["asset_versions"], touched=touched)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
+    # One asset in the state is wrong; the check of other assets does not see it.
+    wrong = versions.union(versions.where("version_id = 2990"))
+    assert cat.constraint_violations({"asset_versions": wrong}, changed=["asset_versions"], touched=touched).where("violation LIKE 'dup%'").collect() == []
 
 
 def test_row_differences(frame):

@@ -160,6 +160,9 @@ LOOSE_ACCESS = "SELECT s_nationkey + 3 AS study_id, CONCAT('user', CAST(s_suppke
 LOOSE_VERSIONS = """SELECT version_id, asset_id + 20 AS asset_id, major, minor, CASE WHEN major > 6 THEN 0 ELSE patch END AS patch, created_at,
 is_latest OR minor = 12 AS is_latest FROM cat_versions"""
 
+LOOSE_VARIABLES = """SELECT variable_id, domain_id, name, value_type_id + 1 AS value_type_id, CAST(NULL AS BIGINT) AS vocabulary_id,
+CASE variable_id % 50 WHEN 7 THEN 'recrod' WHEN 8 THEN 'record' WHEN 9 THEN CAST(NULL AS STRING) ELSE 'none' END AS keyrole FROM cat_variables"""
+
 
 def _duplicates(check: str, table: str, label: str, keys: str) -> str:
     return f"SELECT '{check}' AS violation, {label} AS key, COUNT(*) AS n FROM ({table}) t GROUP BY {keys} HAVING COUNT(*) > 1"
@@ -178,6 +181,8 @@ VIOLATIONS = " UNION ALL ".join([
     _duplicates("duplicate asset_versions", LOOSE_VERSIONS, "asset_id || '|' || major || '|' || minor || '|' || patch", "asset_id, major, minor, patch"),
     _orphans("orphan study_access.study_id", LOOSE_ACCESS, "study_id", "SELECT * FROM cat_studies", "study_id"),
     _orphans("orphan asset_versions.asset_id", LOOSE_VERSIONS, "asset_id", "SELECT * FROM cat_assets", "asset_id"),
+    f"SELECT 'unknown variables.value_type_id', '9', COUNT(*) FROM ({LOOSE_VARIABLES}) v WHERE value_type_id = 9 HAVING COUNT(*) > 0",
+    f"SELECT 'unknown variables.keyrole', 'recrod', COUNT(*) FROM ({LOOSE_VARIABLES}) v WHERE keyrole = 'recrod' HAVING COUNT(*) > 0",
     f"SELECT 'several latest versions', CAST(asset_id AS VARCHAR), COUNT(*) FROM ({LOOSE_VERSIONS}) v WHERE is_latest GROUP BY asset_id HAVING COUNT(*) > 1",
     f"""SELECT 'version number changed', CAST(b.version_id AS VARCHAR), COUNT(*) FROM ({LOOSE_VERSIONS}) a JOIN cat_versions b ON a.version_id = b.version_id
     WHERE a.patch <> b.patch GROUP BY b.version_id""",
@@ -189,13 +194,32 @@ def _(x):
     tables = {
         "domains": x.sql(LOOSE_DOMAINS), "studies": x.cat_studies, "study_domains": x.cat_study_domains,
         "study_access": x.sql(LOOSE_ACCESS), "assets": x.cat_assets, "asset_versions": x.sql(LOOSE_VERSIONS),
-        "variables": x.cat_variables.withColumn("vocabulary_id", F.lit(None).cast("bigint")),
+        "variables": x.sql(LOOSE_VARIABLES),
         "transformations": x.cat_transformations, "transformation_inputs": x.cat_inputs,
         "transformation_outputs": x.cat_outputs,
     }
     return cat.constraint_violations(tables, x.cat_versions)
 
 
+TOUCHED_VERSIONS = f"SELECT * FROM ({LOOSE_VERSIONS}) v WHERE asset_id % 10 = 3"
+
+
+@query(
+    "constraint_violations_of_changes",
+    " UNION ALL ".join([
+        f"""SELECT 'duplicate asset_versions' AS violation, asset_id || '|' || major || '|' || minor || '|' || patch AS key, COUNT(*) AS n
+        FROM ({LOOSE_VERSIONS}) v GROUP BY asset_id, major, minor, patch HAVING COUNT(*) > 1 AND asset_id % 10 = 3""",
+        f"""SELECT 'orphan asset_versions.asset_id', CAST(asset_id AS VARCHAR), COUNT(*) FROM ({LOOSE_VERSIONS}) v
+        WHERE asset_id % 10 = 3 AND asset_id NOT IN (SELECT asset_id FROM cat_assets) GROUP BY asset_id""",
+        f"""SELECT 'several latest versions', CAST(asset_id AS VARCHAR), COUNT(*) FROM ({LOOSE_VERSIONS}) v
+        WHERE is_latest AND asset_id % 10 = 3 GROUP BY asset_id HAVING COUNT(*) > 1""",
+    ]),
+)
+def _(x):
+    tables = {"assets": x.cat_assets, "asset_versions": x.sql(LOOSE_VERSIONS)}
+    return cat.constraint_violations(tables, changed=["asset_versions"], touched={"asset_versions": x.sql(TOUCHED_VERSIONS)})
+
+
 # --- studies, assets, variables -------------------------------------------------------------------------------
 
 @query("list_ordered", "SELECT variable_id, domain_id, name FROM cat_variables WHERE domain_id = 2")

@@ -187,6 +187,19 @@ def _(x):
     return lake.read_dataset("Customer study", "customers")
 
 
+@query("eav_to_dataset_incremental", TYPED)
+def _(x):
+    # The first version lacks some records, holds others that go, and has old values of a third kind.
+    lake = _lake(x)
+    before = x.sql(
+        "SELECT record, field_name, CASE WHEN CAST(record AS INT) % 7 = 3 AND field_name = 'mktsegment' THEN 'old' ELSE value END AS value "
+        "FROM eav WHERE CAST(record AS INT) % 5 <> 2 UNION ALL SELECT CONCAT('9000000', record), field_name, value FROM eav WHERE record = '1'"
+    )
+    eav_to_dataset(lake, "Customer study", "customers_eav", rows=before)
+    eav_to_dataset(lake, "Customer study", "customers_eav", rows=x.eav, incremental=True)
+    return lake.read_dataset("Customer study", "customers")
+
+
 @query("eav_to_dataset_raw", WIDE)
 def _(x):
     lake = _lake(x)

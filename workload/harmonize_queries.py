@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studylake.operators import harmonize as har
-from studylake.operators.reconcile import row_differences, void_to_string
+from studylake.operators.reconcile import row_differences, row_differences_by_bucket, void_to_string
 from workload.registry import query
 
 RULES = [
@@ -43,6 +43,73 @@ def _(x):
     return har.recode_vocabulary(x.sql(PRIORITIES), "priority", x.item_mapping, x.priority_items, x.rank_items, "rank")
 
 
+# Items 20 apart are the same from a multiple of 220 up to the next.
+CLASSES = """SELECT vocabulary_item_id, vocabulary_id, value, vocabulary_item_id - 20 * ((vocabulary_item_id % 220) // 20) AS class_id
+FROM part_items"""
+
+
+@query("item_classes", CLASSES)
+def _(x):
+    return har.item_classes(x.part_items, x.part_mapping)
+
+
+@query(
+    "class_conflicts",
+    f"""SELECT class_id, vocabulary_id, COUNT(*) AS n_items, MIN(vocabulary_item_id) AS first_item, MAX(vocabulary_item_id) AS last_item
+    FROM ({CLASSES}) c GROUP BY class_id, vocabulary_id HAVING COUNT(*) > 1""",
+)
+def _(x):
+    return har.class_conflicts(har.item_classes(x.part_items, x.part_mapping))
+
+
+@query(
+    "class_representatives",
+    f"""SELECT class_id, vocabulary_item_id, vocabulary_id, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY class_id
+    ORDER BY CASE vocabulary_id WHEN 7 THEN 0 WHEN 41 THEN 1 ELSE 2 END, vocabulary_item_id) AS place FROM ({CLASSES}) c) t WHERE place = 1""",
+)
+def _(x):
+    return har.representatives(har.item_classes(x.part_items, x.part_mapping), [7, 41])
+
+
+@query(
+    "recode_between",
+    f"""WITH c AS ({CLASSES})
+    SELECT l_orderkey, l_linenumber, 3 * l_partkey AS code, other.value AS recoded FROM lineitem
+    LEFT JOIN c own ON own.vocabulary_id = 4 AND own.value = 3 * l_partkey AND own.vocabulary_item_id < 100
+    LEFT JOIN c other ON other.vocabulary_id = 44 AND other.class_id = own.class_id AND other.vocabulary_item_id < 100""",
+)
+def _(x):
+    # Below 100 a class has one item of each vocabulary at most.
+    classes = har.item_classes(x.part_items.where("vocabulary_item_id < 100"), x.part_mapping.where("to_vocabulary_item < 100"))
+    codes = x.sql("SELECT l_orderkey, l_linenumber, 3 * l_partkey AS code FROM lineitem")
+    return har.recode_between(codes, "code", classes, 4, 44, "recoded")
+
+
+CHAINED = [
+    har.MappingRule("grade", "segment", "map", "1=low|2=middle\\=fair|3=high"),
+    har.MappingRule("segment", "c_mktsegment", "map", "BUILDING=1|MACHINERY = 2|HOUSEHOLD=3"),
+    har.MappingRule("upper", "segment", "ge", "2", prerequisite="solvent"),
+    har.MappingRule("solvent", "c_acctbal", "gt", "0"),
+    har.MappingRule("fair", "grade", "eq", "middle=fair", prerequisite="upper"),
+    har.MappingRule("in_range", "segment", "between", "2,3", prerequisite="fair"),
+    har.MappingRule("in_range", "c_nationkey", "eq", "3"),
+]
+
+
+@query(
+    "apply_chained_mapping",
+    """WITH one AS (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN '1' WHEN 'MACHINERY' THEN '2' WHEN 'HOUSEHOLD' THEN '3' END AS segment,
+      CASE WHEN c_acctbal > 0 THEN '1' ELSE '0' END AS solvent FROM customer),
+    two AS (SELECT *, CASE segment WHEN '1' THEN 'low' WHEN '2' THEN 'middle=fair' WHEN '3' THEN 'high' END AS grade,
+      CASE WHEN solvent = '1' AND segment IS NOT NULL THEN CASE WHEN CAST(segment AS INT) >= 2 THEN '1' ELSE '0' END END AS upper FROM one),
+    three AS (SELECT *, CASE WHEN upper = '1' AND grade IS NOT NULL THEN CASE WHEN grade = 'middle=fair' THEN '1' ELSE '0' END END AS fair FROM two)
+    SELECT c_custkey, segment, grade, solvent, upper, fair, CASE WHEN c_nationkey = 3 THEN '1'
+      WHEN fair = '1' AND CAST(segment AS INT) BETWEEN 2 AND 3 THEN '1' ELSE '0' END AS in_range FROM three""",
+)
+def _(x):
+    return har.apply_variable_mapping(x.customer, CHAINED, ["c_custkey"])
+
+
 @query(
     "decode_categories",
     """SELECT c_custkey, c_nationkey, n_name AS c_nationkey_code, r_name AS c_nationkey_description FROM customer
@@ -92,6 +159,19 @@ def _(x):
     return har.relations_valid_at(x.relations, "2024-01-01", "2024-01-03")
 
 
+@query(
+    "relations_valid_in_periods",
+    "SELECT * FROM order_relations JOIN ship_periods ON valid_from <= last_day AND valid_to >= first_day",
+)
+def _(x):
+    return har.relations_valid_in_periods(x.order_relations, x.ship_periods, "first_day", "last_day")
+
+
+@query("relations_valid_on_days", "SELECT * FROM order_relations JOIN ship_days ON day BETWEEN valid_from AND valid_to")
+def _(x):
+    return har.relations_valid_on_days(x.order_relations, x.ship_days, "day")
+
+
 @query("asset_entities", "SELECT DISTINCT l_suppkey AS asset_id, 2 * l_partkey + l_suppkey % 2 AS entity_instance_id FROM lineitem")
 def _(x):
     # Every part is an instance of each of two studies, under the same external id.
@@ -126,6 +206,18 @@ def _(x):
     return row_differences(x.orders.select("o_custkey", "o_orderstatus", "o_orderpriority"), x.sql(STORED), ["o_custkey"])
 
 
+@query(
+    "row_differences_by_bucket",
+    f"""WITH l AS (SELECT o_orderkey, o_orderpriority, CAST(o_custkey AS BIGINT) AS o_custkey FROM orders),
+    r AS (SELECT o_orderkey + CASE WHEN o_orderkey % 997 = 0 THEN 1 ELSE 0 END AS o_orderkey, o_orderpriority, o_custkey FROM orders)
+    SELECT o_orderkey, o_orderpriority, o_custkey, CAST(SUM(a) AS BIGINT) AS left_rows, CAST(SUM(b) AS BIGINT) AS right_rows FROM (
+      SELECT *, 1 AS a, 0 AS b FROM l UNION ALL SELECT *, 0, 1 FROM r) u GROUP BY 1, 2, 3 HAVING SUM(a) <> SUM(b)""",
+)
+def _(x):
+    other = x.sql("SELECT o_orderkey + CASE WHEN o_orderkey % 997 = 0 THEN 1 ELSE 0 END AS o_orderkey, o_orderpriority, o_custkey FROM orders")
+    return row_differences_by_bucket(x.orders.select("o_orderkey", "o_orderpriority", "o_custkey"), other, ["o_custkey"])
+
+
 @query("all_null_to_string", "SELECT s_suppkey, s_name, CAST(NULL AS VARCHAR) AS remark FROM supplier")
 def _(x):
     return void_to_string(x.supplier.select("s_suppkey", "s_name", F.lit(None).alias("remark")))

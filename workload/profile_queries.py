@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from studylake.functions.sqltypes import map_type
+from studylake.operators import discovery as disc
 from studylake.operators import profile as prof
 from workload.dictionary_queries import items_text
 from workload.registry import query
@@ -174,6 +175,48 @@ def _(x):
     return prof.inclusion_keys(tables, prof.small_keyed_tables(tables))
 
 
+VALUES = " UNION ALL ".join(
+    f"SELECT DISTINCT '{kind}' AS kind, '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL"
+    for kind, columns in (("integer", INTEGER_COLUMNS), ("text", TEXT_COLUMNS)) for t in TABLES for c in columns[t]
+)
+
+
+@query(
+    "inclusion_dependencies",
+    f"""WITH v AS ({VALUES}), sizes AS (SELECT table_name, column_name, COUNT(*) AS n FROM v GROUP BY table_name, column_name)
+    SELECT a.table_name, a.column_name, b.table_name AS ref_table, b.column_name AS ref_column FROM v a JOIN v b ON a.kind = b.kind AND a.value = b.value
+    JOIN sizes s ON s.table_name = a.table_name AND s.column_name = a.column_name
+    WHERE a.table_name <> b.table_name OR a.column_name <> b.column_name GROUP BY 1, 2, 3, 4, s.n HAVING COUNT(*) = s.n""",
+)
+def _(x):
+    return disc.inclusion_dependencies(x.tables())
+
+
+STAMP_COLUMNS = {"orders": ["o_orderdate"], "lineitem": ["l_shipdate"], "events": ["ts"]}
+
+
+def _differ(table: str, *columns: str) -> str:
+    whole = " AND ".join(f"COUNT(*) = COUNT({c})" for c in columns)
+    return f"(SELECT COUNT(*) > 0 AND {whole} AND COUNT(*) = COUNT(DISTINCT ({', '.join(columns)})) FROM {table})"
+
+
+def _keys_of(table: str) -> list[str]:
+    columns = INTEGER_COLUMNS[table] + TEXT_COLUMNS[table] + STAMP_COLUMNS.get(table, [])
+    size = f"(SELECT COUNT(*) FROM {table}) AS n"
+    single = [f"SELECT '{table}' AS table_name, '{c}' AS key_columns, {size} WHERE {_differ(table, c)}" for c in columns]
+    pairs = [
+        f"SELECT '{table}', array_to_string(list_sort(['{a}', '{b}']), ','), {size} WHERE NOT {_differ(table, a)} AND NOT {_differ(table, b)} AND {_differ(table, a, b)}"
+        for i, a in enumerate(columns) for b in columns[i + 1 :]
+    ]
+    return single + pairs
+
+
+@query("unique_combinations", " UNION ALL ".join(text for table in TABLES for text in _keys_of(table)))
+def _(x):
+    found = disc.unique_combinations(x.tables())
+    return found.select("table_name", F.array_join(F.sort_array("key_columns"), ",").alias("key_columns"), "n")
+
+
 def _described(table: str) -> str:
     texts = TEXT_COLUMNS[table]
     named = [c for c in texts if c in ("description", "desc", "label", "name", "text")]

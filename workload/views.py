@@ -222,6 +222,15 @@ UNION SELECT CONCAT('XML', source, '.', lang) FROM documents UNION SELECT text F
 VIEWS["relations"] = """
 SELECT user_id AS entity_instance_id_1, event_type AS kind, CAST(MIN(ts) AS DATE) AS valid_from, CAST(MAX(ts) AS DATE) AS valid_to
 FROM events GROUP BY user_id, event_type"""
+# What a customer ordered in a year, and when a supplier shipped: spans of a day to a year.
+VIEWS["order_relations"] = """
+SELECT o_custkey AS entity_instance_id_1, YEAR(o_orderdate) AS entity_instance_id_2, CAST(MIN(o_orderdate) AS DATE) AS valid_from,
+  CAST(MAX(o_orderdate) AS DATE) AS valid_to FROM orders GROUP BY o_custkey, YEAR(o_orderdate)"""
+VIEWS["ship_periods"] = """
+SELECT l_suppkey AS supplier, l_linenumber AS line, CAST(MIN(l_shipdate) AS DATE) AS first_day, CAST(MAX(l_shipdate) AS DATE) AS last_day
+FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.05 GROUP BY l_suppkey, l_linenumber, YEAR(l_shipdate)"""
+VIEWS["ship_days"] = """
+SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.05"""
 # Three studies whose external ids are the same: an instance belongs to one study.
 VIEWS["study_events"] = "SELECT *, CAST(user_id % 3 AS BIGINT) AS study_id FROM events"
 _USERS = "SELECT DISTINCT CAST(user_id AS STRING) AS external_id, user_id + 1000 AS instance_id FROM events"
@@ -234,6 +243,12 @@ VIEWS["priority_items"] = """
 SELECT DISTINCT CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) AS vocabulary_item_id, CAST(SUBSTR(o_orderpriority, 1, 1) AS INT) AS value FROM orders"""
 VIEWS["rank_items"] = "SELECT vocabulary_item_id + 100 AS vocabulary_item_id, value * 10 AS value FROM priority_items"
 VIEWS["item_mapping"] = "SELECT vocabulary_item_id AS from_item, vocabulary_item_id + 100 AS to_item FROM priority_items WHERE value < 5"
+# Items of fifty vocabularies, and pairs of items that mean the same: chains of up to eleven items, some within one vocabulary.
+VIEWS["part_items"] = """
+SELECT p_partkey AS vocabulary_item_id, CAST(p_partkey % 50 AS BIGINT) AS vocabulary_id, p_partkey * 3 AS value FROM part"""
+VIEWS["part_mapping"] = """
+SELECT p_partkey AS from_vocabulary_item, p_partkey + 20 AS to_vocabulary_item FROM part
+WHERE p_partkey % 220 < 200 AND p_partkey + 20 <= (SELECT MAX(p_partkey) FROM part)"""
 VIEWS["nation_items"] = """
 SELECT n_nationkey AS value, n_name AS code, r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
