@@ -382,7 +382,13 @@ def profile_catalog(
     is an integer named like the key of a code table; so is a text column with listed CHECK values. Anything else
     keeps the type its declaration maps to. Output: the column, `value_type_id, description, vocabulary_name,
     vocabulary_description, items`.
+
+    Each snapshot is read once: columns with their types, constraints and the sizes of small tables are written to the shared scratch
+    folder, for every kind of vocabulary looks at them again.
     """
+    constraints = materialize(constraints, "constraints")
+    row_counts = materialize(row_counts.where(F.col("n") < CODE_TABLE_ROWS), "small-tables")
+    columns = materialize(columns, "columns")
     typed = map_types(columns)
     typed = typed.withColumn(
         "description",
@@ -394,10 +400,13 @@ def profile_catalog(
 
     # Code tables by (flavour, table, key); their items are bounded by the size limit.
     small = code_tables(primary_keys(constraints), row_counts)
-    lists = _item_lists(code_items.join(row_counts.where(F.col("n") < CODE_TABLE_ROWS), TABLE, "left_semi"), TABLE)
-    with_items = small.join(lists, TABLE).select(
-        "flavour", F.col("schema_name").alias("ref_schema"), F.col("table_name").alias("ref_table"),
-        F.lower("column_name").alias("_ref"), "items",
+    lists = _item_lists(code_items.join(row_counts, TABLE, "left_semi"), TABLE)
+    with_items = materialize(
+        small.join(lists, TABLE).select(
+            "flavour", F.col("schema_name").alias("ref_schema"), F.col("table_name").alias("ref_table"),
+            F.lower("column_name").alias("_ref"), "items",
+        ),
+        "code-lists",
     )
     by_table = with_items.groupBy("flavour", "ref_table", "_ref").agg(F.min_by("items", "ref_schema").alias("fk_items"))
     first_key = _references(constraints).groupBy(*COLUMN).agg(
