@@ -23,6 +23,8 @@ TABLE_BITS = 16
 PIECE = 64
 ROUNDS = 25
 UNKNOWN = "und"
+#: Share that some language must have of a text for the text to be kept by `drop_unknown`.
+LEAST_SHARE = 0.5
 
 _BYTES = np.arange(256)
 _LETTER = ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)
@@ -211,21 +213,26 @@ def identify(
 
 
 def drop_unknown(
-    docs: DataFrame, model: Languages | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang"
-) -> DataFrame:
-    """`docs` without the rows whose text is `und`; columns as they are, of whatever names."""
+    docs: DataFrame, model: Languages | None = None, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+    least: float = LEAST_SHARE,
+) -> DataFrame:
+    """`docs` without the rows whose text is `und` or has no language of a share of `least` or more in its mixture.
+
+    Texts that say too little for a mixture have all languages alike and so go where there are more than 1 / `least` of them. Where no
+    row has a label, all texts with a letter stay. Columns as they are, of whatever names.
+    """
     model = model or learn_languages(docs, id_column, text_column, lang_column)
     plain, places = by_place(docs)
     at = int(places[text_column][1:])
 
     def run(batches):
         for batch in batches:
-            predicted = _label(model, batch.column(at))[0] if model.names else None
-            if predicted is None:
+            if model.names:
+                predicted, scores, _, _ = _label(model, batch.column(at))
+                keep = [p != UNKNOWN and score >= least for p, score in zip(predicted, scores)]
+            else:
                 buf, offsets = arrow_bytes(batch.column(at))
                 keep = has_letter(buf, offsets)
-            else:
-                keep = [p != UNKNOWN for p in predicted]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -3,7 +3,7 @@
 Among all ways to weigh documents so that each source gives its target of words, entropy balancing takes the one closest to
 one copy of everything (least relative entropy, words as the unit). Its dual is convex with one multiplier for each source;
 the solution is exponentially tilted: a document is taken exp(multiplier) times. Newton steps run on a table with a row per
-source, which holds all that gradient and curvature need: the words of its documents.
+source, which holds all that gradient and curvature need: the words of its documents. Rates are then rounded into whole copies.
 
 Targets: sources in code-point order, NULL last, weigh 5, 2, 1 and again; together they share all words; none gets more than
 `most` times its own words, and what is cut off goes to the others by weight.
@@ -20,16 +20,21 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Relative error of a source's words at which Newton's steps end.
 PRECISION = 1e-14
+#: Words are rounded half up, whatever the last bits of a rate.
+HALF = 0.5 + 1e-6
+#: Buckets that a source's documents are drawn into.
+BUCKETS = 4096
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _fraction(column: Column) -> Column:
-    """A number from [0, 1) that depends on the id only."""
-    digits = F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+def _draw(doc_id: Column, text: Column) -> Column:
+    """A number of 32 bits that depends on the id and the text only."""
+    empty = F.lit("")
+    own = F.concat_ws("|", F.coalesce(doc_id.cast("string"), empty), F.md5(F.coalesce(text, empty).cast("binary")))
+    return F.conv(F.substring(F.md5(own.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -90,14 +95,17 @@ def mix(
 ) -> DataFrame:
     """How many words a mix of the sources takes of each document.
 
-    Returns a row per input row: doc_id, size (words; NULL text 0), source_size, target (its source's), rate, taken and copies
-    (whole copies; the words of `taken` beyond them are the beginning of one more). taken is rate * size rounded up or down by a
-    fraction made from the id, so reruns agree, and is at most `most` * size. Rows that repeat an id share that fraction.
-    Sources without words have target 0. No rows give no rows; other columns are ignored.
+    Returns a row per input row: doc_id, size (words; NULL text 0), source_size, target (its source's), rate, taken and copies.
+    A source's rate becomes whole copies: all documents are taken as often as the whole part of the rate says, and as many of them
+    once more as the rest of the target has room for, in an order drawn from id and text, so reruns agree. The last of those
+    is taken in part, its beginning, so that a source gives its target to a word; no other document is cut. taken is at most
+    `most` * size. Rows that repeat are taken one by one. Sources without words have target 0. No rows give no rows; other columns
+    are ignored.
     """
-    sized = pick(docs, doc_id=id_column, text=text_column, source=source_column).select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = pick(docs, doc_id=id_column, text=text_column, source=source_column)
+    sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), _draw(F.col("doc_id"), F.col("text")).alias("draw"))
     sized = materialize(sized, "sizes")
-    return _taken(sized, _rates(sized, weights, most), most).drop("source")
+    return _taken(sized, sized, _rates(sized, weights, most)).drop("source", "draw")
 
 
 def _rates(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -105,26 +113,58 @@ def _rates(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     return materialize(balance(targets(sources, weights, most)), "rates")
 
 
-def _taken(sized: DataFrame, rates: DataFrame, most: int) -> DataFrame:
-    """sized (doc_id, source, size, …) with its source's columns, `taken` and `copies`."""
-    rates = rates.withColumnRenamed("source", "of")
-    out = sized.join(rates, sized.source.eqNullSafe(rates.of)).drop("of")
-    taken = F.least(F.floor(F.col("rate") * F.col("size") + _fraction(F.col("doc_id"))), F.col("size") * most).cast("long")
+def _copies(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates with `base`, the copies of all documents of a source, and where the documents taken once more end: those of buckets before
+    `split`, and `left` words of those in it."""
+    wanted = F.floor(F.col("rate") * F.col("source_size") + HALF)
+    base = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long")
+    rates = rates.withColumn("base", base).withColumn("rest", (wanted - F.col("base") * F.col("source_size")).cast("long"))
+    words = sized.groupBy("source", _bucket().alias("bucket")).agg(F.sum("size").alias("words"))
+    # At most as many rows a source as there are buckets.
+    up_to = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    words = words.withColumn("up_to", up_to).withColumnRenamed("source", "of")
+    joined = words.join(rates, words["of"].eqNullSafe(rates["source"]))
+    beyond = joined.where(F.col("up_to") > F.col("rest"))
+    split = beyond.groupBy("source").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("up_to") + F.col("words")).alias("left"))).alias("at"))
+    split = split.select(F.col("source").alias("of"), F.col("at.bucket").alias("split"), F.col("at.left").alias("left"))
+    found = rates.join(split, rates["source"].eqNullSafe(split["of"]), "left").drop("of", "rest")
+    return materialize(found.fillna({"split": BUCKETS, "left": 0}), "copies")
+
+
+def _bucket() -> Column:
+    return F.floor(F.col("draw") / F.lit((1 << 32) // BUCKETS)).cast("int")
+
+
+def _taken(rows: DataFrame, sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, draw, …) with their source's columns, `taken` and `copies`; `sized` are their sizes and draws.
+
+    Only the documents of a source's split bucket, one in `BUCKETS`, have to be put in order.
+    """
+    rates = _copies(sized, rates).withColumnRenamed("source", "of")
+    out = rows.join(rates, rows["source"].eqNullSafe(rates["of"])).drop("of")
+    bucket = _bucket()
+    before = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    apart = out.where(bucket != F.col("split")).withColumn("more", F.when(bucket < F.col("split"), F.col("size")).otherwise(0))
+    room = F.col("left") - F.coalesce(F.sum("size").over(before), F.lit(0))
+    within = out.where(bucket == F.col("split")).withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), room)))
+    out = apart.unionByName(within).withColumn("taken", (F.col("base") * F.col("size") + F.col("more")).cast("long"))
     copies = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("taken", taken).withColumn("copies", copies)
+    return out.withColumn("copies", copies).drop("base", "split", "left", "more")
 
 
 def mixed(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_column: str = "doc_id", text_column: str = "text",
     source_column: str = "source",
 ) -> DataFrame:
-    """`docs` that the mix takes words of, with mix_size, mix_target, mix_taken and mix_copies beside their columns."""
+    """`docs` that the mix takes words of, with mix_size, mix_target, mix_taken and mix_copies beside their columns; see `mix`."""
     plain, places = by_place(docs)
+    text = plain[places[text_column]]
     boxed = plain.select(
         F.struct("*").alias("box"), plain[places[id_column]].alias("doc_id"), plain[places[source_column]].alias("source"),
-        word_count(plain[places[text_column]]).alias("size"),
+        word_count(text).alias("size"), _draw(plain[places[id_column]], text).alias("draw"),
     )
-    out = _taken(boxed, _rates(boxed.select("source", "size"), weights, most), most).where("taken > 0")
+    sized = materialize(boxed.select("source", "size", "draw"), "sizes")
+    out = _taken(boxed, sized, _rates(sized, weights, most)).where("taken > 0")
     return out.select("box.*", "size", "target", "taken", "copies").toDF(
         *docs.columns, "mix_size", "mix_target", "mix_taken", "mix_copies"
     )

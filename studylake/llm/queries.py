@@ -96,7 +96,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 8) AS BIGINT) AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
 w AS (
   SELECT source, n, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
@@ -106,10 +106,13 @@ o AS (
 level AS (SELECT min(CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) AS level FROM o
   WHERE weight * (CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) <= 3 * n
     AND k = (SELECT min(k) FROM o WHERE weight * (CAST(total - cut AS DOUBLE) / CAST(open AS DOUBLE)) <= 3 * n)),
-t AS (SELECT source, n, least(weight * coalesce(level, 0), CAST(3 * n AS DOUBLE)) AS target FROM w, level)
-SELECT doc_id, size, n AS source_size, target,
-  CASE WHEN n = 0 THEN 0 ELSE least(CAST(floor(target / n * size + u) AS BIGINT), 3 * size) END AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+t AS (SELECT source, n, least(weight * coalesce(level, 0), CAST(3 * n AS DOUBLE)) AS target FROM w, level),
+c AS (
+  SELECT source, n, target, CASE WHEN n > 0 THEN CAST(floor(target + 0.500001) AS BIGINT) // n ELSE 0 END AS base,
+    CAST(floor(target + 0.500001) AS BIGINT) AS wanted FROM t)
+SELECT doc_id, size, n AS source_size, target, CAST(base * size + greatest(0, least(size, wanted - base * n - coalesce(sum(size) OVER (
+    PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source"""
 
 
 @query("op6_mixing", _OP6_SQL)
