@@ -17,7 +17,7 @@ from studylake.llm.near_dedup import keep_one
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go."""
+    """Documents in which no language has at least half of the text go, and those without a letter."""
     return drop_unknown(docs)
 
 
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1, …; adds mix_size, mix_target, mix_taken and mix_copies."""
+    """Sources at weights 5, 2, 1, … in whole copies; adds mix_size, mix_target, mix_taken and mix_copies, drops what is not taken."""
     return mixed(docs)
 
 
