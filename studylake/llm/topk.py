@@ -11,7 +11,8 @@ distances: d(q, v)^2 = |q|^2 + M - 2 <q, v>.
    others; each (query cell, part of candidates) is solved by a product of integer matrices in blocks.
 4. The best k of each query are merged from its parts.
 
-Cells are cut into parts of about `PART` candidates, so a cell that holds a third of all vectors is spread.
+Cells of candidates and of queries are cut into parts of about `PART` rows, so a cell that holds a third of all vectors is spread and
+a task meets about `PART` queries with as many candidates. Rows equal in id and vector travel as one, with their number.
 """
 
 from __future__ import annotations
@@ -31,8 +32,13 @@ QUANTILES = 16
 #: Slack of distance bounds against rounding.
 SLACK = 1e-6
 
-_ARROW_BEST = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("cell", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
-BEST = "query_id long, query_key long, cell int, vec_id long, score long"
+#: Squared length from which sums in doubles are no longer exact.
+EXACT = 1 << 53
+
+BEST = "query_id long, query_key long, query_times long, cell int, vec_id long, score long, times long"
+_ARROW_BEST = pa.schema(
+    [(name, pa.int32() if name == "cell" else pa.int64()) for name in ("query_id", "query_key", "query_times", "cell", "vec_id", "score", "times")]
+)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -81,23 +87,28 @@ def _solve(k: int):
         if not queries.num_rows or not data.num_rows:
             return _ARROW_BEST.empty_table()
         q, x = _matrix(queries.column("v")), _matrix(data.column("v"))
-        ids, keys = data.column("id").to_numpy(), data.column("key").to_numpy()
-        q_ids, q_keys = queries.column("id").to_numpy(), queries.column("key").to_numpy()
+        ids, keys, times = (data.column(c).to_numpy() for c in ("id", "key", "times"))
+        q_ids, q_keys, q_times = (queries.column(c).to_numpy() for c in ("id", "key", "times"))
         # Products of integers below 2^53 in doubles are exact.
         by_id = np.argsort(ids, kind="stable")
-        x, ids, keys = x[by_id], ids[by_id], keys[by_id]
+        x, ids, keys, times = x[by_id], ids[by_id], keys[by_id], times[by_id]
         cell = np.full(1, data.column("cell")[0].as_py(), np.int32)
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        least = np.iinfo(np.int64).min
+        out: list[list[np.ndarray]] = [[] for _ in _ARROW_BEST]
         step = max(1, (1 << 22) // len(ids))
         for a in range(0, len(q), step):
             score = (q[a : a + step] @ x.T).astype(np.int64)
-            score[q_keys[a : a + step, None] == keys[None, :]] = np.iinfo(np.int64).min
+            # The query's own row is no candidate, other rows like it are.
+            own = q_keys[a : a + step, None] == keys[None, :]
+            score[own & (times == 1)[None, :]] = least
             # Stable by falling score: of equal scores the smaller id comes first.
-            order = np.argsort(-np.maximum(score, np.iinfo(np.int64).min + 1), axis=1, kind="stable")[:, :k]
+            order = np.argsort(-np.maximum(score, least + 1), axis=1, kind="stable")[:, :k]
             chosen = np.take_along_axis(score, order, 1)
-            real = chosen > np.iinfo(np.int64).min
+            often = np.minimum(times[order] - np.take_along_axis(own, order, 1), k)
+            real = chosen > least
             rows = np.nonzero(real)[0] + a
-            for part, value in zip(out, (q_ids[rows], q_keys[rows], np.repeat(cell, len(rows)), ids[order][real], chosen[real])):
+            values = q_ids[rows], q_keys[rows], q_times[rows], np.repeat(cell, len(rows)), ids[order][real], chosen[real], often[real]
+            for part, value in zip(out, values):
                 part.append(value)
         return pa.Table.from_arrays([pa.array(np.concatenate(part)) for part in out], schema=_ARROW_BEST)
 
@@ -110,22 +121,26 @@ def nearest(
     """The k largest integer inner products of each query with every other row.
 
     `is_query` is a condition on `id`. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Vectors that
-    are NULL or hold NULL or non-finite components take no part, nor do NULL ids; vectors of another length than the most
-    common are an error of the table and take no part either. Fewer than k candidates: all of them. Rows equal in id and
-    vector are one row; rows of one id and different vectors are candidates of each other. No rows give no rows; other
-    columns are ignored.
+    are NULL or hold NULL or non-finite components take no part, nor do NULL ids. A vector that is shorter than the longest has zeros
+    for what it lacks. Fewer than k candidates: all of them. Rows count one by one: a query has every row but itself as a candidate,
+    also rows of its id or equal to it, a repeated candidate takes as many ranks as there are rows of it, and a repeated query has its
+    result as often. Vectors so long that an inner product may pass 2^53 are refused, as their scores would not be exact. No rows give
+    no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = _integer(pick(vectors, id=id_column, x=vector_column).where("id IS NOT NULL").withColumn("id", F.col("id").cast("long")), scale)
-    rows = materialize(rows.dropDuplicates(["key"]).withColumn("size", F.size("v")), "vectors")
-    sizes = rows.groupBy("size").agg(F.count("*").alias("rows"), F.max("n").alias("top")).orderBy(F.desc("rows"), "size").first()
-    if sizes is None:
+    once = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("v").alias("v"), F.first("n").alias("n"), F.count("*").alias("times"))
+    rows = materialize(once, "vectors")
+    sizes = rows.agg(F.max(F.size("v")).alias("size"), F.min(F.size("v")).alias("least"), F.count("*").alias("rows"), F.max("n").alias("top")).first()
+    if not sizes["rows"]:
         return empty
-    size, top, total = sizes["size"], int(sizes["top"]), sizes["rows"]
-    rows = rows.where(F.col("size") == size).drop("size")
-    if size == 0:
-        rows = rows.withColumn("v", F.array(F.lit(0).cast("long")))
+    size, top, total = max(sizes["size"], 1), int(sizes["top"]), sizes["rows"]
+    if top >= EXACT:
+        raise ValueError(f"vectors of squared length {top}: scores would not be exact")
+    if sizes["least"] < size:
+        lacking = F.array_repeat(F.lit(0).cast("long"), F.lit(size) - F.size("v"))
+        rows = rows.withColumn("v", F.concat("v", lacking))
 
     # A bounded sample, the same every time.
     share = min(1.0, 4 * PIVOTS / total)
@@ -140,15 +155,16 @@ def nearest(
         far.append(int(between[:, far].min(1).argmax()))
     q_pivots, q_lift = pivots[far], np.zeros(len(far))
 
-    fields = "id long, v array<long>, key long, n long, cell int, r double"
-    names = ["id", "v", "key", "n"]
+    fields = "id long, v array<long>, key long, times long, cell int, r double"
+    names = ["id", "v", "key", "times"]
     queries = materialize(rows.where(is_query(F.col("id"))).select(*names).mapInArrow(_cells("query", top, q_pivots, q_lift, names), fields), "queries")
     data = materialize(rows.select(*names).mapInArrow(_cells("data", top, pivots, pivot_lift, names), fields), "cells")
 
     # Summaries: at most QUERY_CELLS and PIVOTS rows.
-    reach = {r["cell"]: r["u"] for r in queries.groupBy("cell").agg(F.max("r").alias("u")).collect()}
-    if not reach:
+    asking = queries.groupBy("cell").agg(F.max("r").alias("u"), F.count("*").alias("rows")).collect()
+    if not asking:
         return empty
+    reach = {r["cell"]: r["u"] for r in asking}
     levels = [i / QUANTILES for i in range(QUANTILES + 1)]
     cells = data.groupBy("cell").agg(F.count("*").alias("rows"), F.max("r").alias("most"), F.percentile_approx("r", levels, 1000).alias("at")).collect()
     lifted = _to_pivots(q_pivots, q_lift, pivots, pivot_lift)
@@ -174,8 +190,13 @@ def nearest(
                     break
         bounds[i] = (cell, u, bound)
 
-    pieces = {c["cell"]: -(-c["rows"] // PART) for c in cells}
-    piece = F.element_at(F.create_map(*(F.lit(x) for pair in pieces.items() for x in pair)), F.col("cell"))
+    def pieces(counted, column: str):
+        """Into how many parts a cell is cut."""
+        return F.element_at(F.create_map(*(F.lit(x) for c in counted for x in (c["cell"], -(-c["rows"] // PART)))), F.col(column))
+
+    def part_of(key: str, pieces):
+        return F.pmod(F.xxhash64(key), pieces.cast("long")).cast("int")
+
     wanted = F.array(
         *(
             F.struct(F.lit(cell).alias("q"), F.greatest(F.lit(0.0), _gap(lifted[cell], u)).alias("least"), F.lit(bound).alias("most"))
@@ -183,15 +204,20 @@ def nearest(
         )
     )
     sent = data.withColumn("to", F.explode(F.filter(wanted, lambda w: w["least"] <= w["most"] * (1 + SLACK) + SLACK)))
-    sent = sent.select(F.col("to.q").alias("q"), "cell", F.pmod(F.col("key"), piece.cast("long")).cast("int").alias("part"), "id", "v", "key")
+    sent = sent.select(F.col("to.q").alias("q"), "cell", part_of("key", pieces(cells, "cell")).alias("part"), "id", "v", "key", "times")
     spans = materialize(sent.groupBy("q", "cell", "part").agg(F.count("*").alias("rows")), "spans")
-    asked = spans.join(queries.select(F.col("cell").alias("q"), "id", "v", "key"), "q").select("q", "cell", "part", "id", "v", "key")
-    place = ["q", "cell", "part"]
+    asked = queries.select(F.col("cell").alias("q"), part_of("key", pieces(asking, "cell")).alias("q_part"), "id", "v", "key", "times")
+    place = ["q", "q_part", "cell", "part"]
+    asked = spans.join(asked, "q").select(*place, "id", "v", "key", "times")
+    # Each part of a query cell meets each part of the candidates that come to the cell.
+    sent = sent.withColumn("q_part", F.explode(F.sequence(F.lit(0), pieces(asking, "q").cast("int") - 1)))
     found = asked.groupBy(*place).cogroup(sent.groupBy(*place)).applyInArrow(_solve(k), BEST)
     # The best of each cell first, so that no query gathers more than k for each of the cells.
-    score = F.struct((-F.col("score")).alias("s"), "vec_id")
-    merged = found.groupBy("query_id", "query_key", "cell").agg(_first(F.collect_list(score), k).alias("best"))
-    merged = merged.groupBy("query_id", "query_key").agg(_first(F.flatten(F.collect_list("best")), k).alias("best"))
+    score = F.array_repeat(F.struct((-F.col("score")).alias("s"), "vec_id"), F.col("times").cast("int"))
+    whose = ["query_id", "query_key", "query_times"]
+    merged = found.groupBy(*whose, "cell").agg(_first(F.flatten(F.collect_list(score)), k).alias("best"))
+    merged = merged.groupBy(*whose).agg(_first(F.flatten(F.collect_list("best")), k).alias("best"))
+    merged = merged.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("query_times"))))
     out = merged.select("query_id", F.posexplode("best").alias("i", "b"))
     return out.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 

@@ -45,8 +45,39 @@ def test_no_rows_no_queries_and_repeats(frame):
     assert nearest(frame([], SCHEMA), lambda i: i % 50 == 0).collect() == []
     rows = [(1, [1.0, 0.0], "", ""), (2, [0.0, 1.0], "", ""), (None, [1.0, 1.0], "", "")]
     assert nearest(frame(rows, SCHEMA), lambda i: i % 50 == 0).collect() == []
-    rows = [(50, [1.0], "", "")] * 3 + [(7, [1.0], "", "")] * 2 + [(9, [1.0], "", ""), (50, [1.0, 2.0], "", "")]
-    assert [tuple(r) for r in nearest(frame(rows, SCHEMA), lambda i: i % 50 == 0).collect()] == [(50, 1, 7, 65536), (50, 2, 9, 65536)]
+
+
+def test_rows_count_one_by_one(frame):
+    """Repeated rows, rows of one id, vectors of several lengths: every row but the query's own is a candidate."""
+    rng = random.Random(2)
+    rows = [(50, [1.0]), (50, [2.0]), (7, [1.0]), (7, [1.0]), (9, [0.5]), (8, [1.0, 2.0]), (50, [1.0]), (100, []), (100, [])]
+    rows += [(rng.randrange(120), [float(rng.randint(-3, 3)) for _ in range(rng.randint(1, 3))]) for _ in range(150)] * 2
+    rows += [(150, [1.0, 1.0])] * 40
+    padded = [(i, [256 * int(x) if x == int(x) else math.floor(256 * x) for x in v] + [0] * (3 - len(v))) for i, v in rows]
+    expected = []
+    for a, (q, v) in enumerate(padded):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for b, (i, w) in enumerate(padded) if b != a)[:5]
+            expected += [(q, rank, i, -score) for rank, (score, i) in enumerate(best, 1)]
+    found = nearest(frame([(i, v, "", "") for i, v in rows], SCHEMA), lambda i: i % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_hot_query_cells_are_cut(frame, monkeypatch):
+    from studylake.llm import topk
+
+    monkeypatch.setattr(topk, "PART", 64)
+    rng = random.Random(9)
+    rows = [(i, [round(rng.gauss(0, 1), 3) for _ in range(4)] if i % 3 else [1.0, 2.0, 3.0, 4.0], "", "") for i in range(900)]
+    stored = [(r.vec_id, r.embedding) for r in frame(rows, SCHEMA).collect()]
+    assert sorted(map(tuple, nearest(frame(rows, SCHEMA), lambda i: i % 2 == 0).collect())) == sorted(plainly(stored, 2))
+
+
+def test_scores_that_would_not_be_exact_are_refused(frame):
+    with pytest.raises(ValueError, match="not be exact"):
+        nearest(frame([(0, [3e5] * 2, "", ""), (1, [1.0, 1.0], "", "")], SCHEMA), lambda i: i % 50 == 0)
+    fits = nearest(frame([(0, [2e5] * 2, "", ""), (1, [2e5, 1.0], "", "")], SCHEMA), lambda i: i % 50 == 0).collect()
+    assert [r.score for r in fits] == [(256 * 200_000) ** 2 + 256 * 200_000 * 256]
 
 
 def test_query_equals_sql(spark):
