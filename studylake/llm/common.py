@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from studylake.session import materialize
 
-__all__ = ["by_place", "free_shuffles", "materialize", "partitions", "pick", "read_table"]
+__all__ = ["by_place", "free_shuffles", "materialize", "partitions", "pick", "read_table", "split_bytes"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """The most bytes of files that Spark puts into one input split."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the files of shuffles nothing refers to any more, before the next large one."""
     gc.collect()

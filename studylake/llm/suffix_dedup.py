@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylake.llm.bytetext import U64, Sums, arrow_bytes, slices
-from studylake.llm.common import free_shuffles, materialize, partitions, pick
+from studylake.llm.common import free_shuffles, materialize, partitions, pick, split_bytes
 from studylake.session import scratch_path
 
 #: Bytes of an input split that become one chunk, by a hash of the document id.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text whose keys make one bucket, which a task sorts at once.
+BUCKET_BYTES = 8 << 20
 KEYS = "round int, chunk int, bucket int, once binary, many binary"
 TIES = "round int, chunk int, bucket int, tied binary"
 OUT = (
@@ -294,20 +296,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     if length < 1:
         raise ValueError("length must be positive")
     spark = docs.sparkSession
-    n = partitions(spark)
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    per_split = max(1, split // CHUNK_BYTES)
+    per_split = max(1, split_bytes(spark) // CHUNK_BYTES)
     texts = pick(docs, doc_id=id_column, text=text_column).withColumns(
         {
             "doc_id": F.col("doc_id").cast("long"),
+            "size": F.octet_length("text").cast("long"),
             "chunk": (F.spark_partition_id() * per_split + F.pmod(F.hash("doc_id"), F.lit(per_split))).cast("int"),
         }
     )
     # Bucketed by chunk, so that each step reads the text where it lies and only keys are shuffled.
     name = f"suffix_texts_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
-    texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
+    texts.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), "chunk").saveAsTable(name)
+    # The frame keeps the files and their buckets; the session's catalog needs no name for them.
     texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    n = max(partitions(spark), -(-(texts.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
+    texts = texts.select("doc_id", "text", "chunk")
 
     def answers(keys: DataFrame) -> DataFrame:
         return materialize(keys.groupBy("bucket").applyInArrow(_sort_bucket, TIES), "suffix-ties")

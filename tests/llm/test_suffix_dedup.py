@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from studylake.llm import suffix_dedup
+from studylake.llm.common import split_bytes
 from studylake.llm.queries import QUERIES
 from studylake.llm.suffix_dedup import difference_cover, remove_repeats
 
@@ -48,6 +50,31 @@ def test_equals_plain_reading(frame, length):
     assert got(remove_repeats(frame(rows, SCHEMA), length)) == list(plainly(texts, length))
 
 
+def test_more_buckets_than_partitions(frame, monkeypatch):
+    """Buckets grow with the text; each chunk sends few keys to each of them."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 256)
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdé") for _ in range(400))
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) + passage[rng.randint(0, 200) :] for _ in range(40)] + [passage] * 20
+    assert got(remove_repeats(frame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA), 60)) == list(plainly(texts, 60))
+
+
+def test_no_table_is_left_in_the_catalog(spark, frame):
+    out = remove_repeats(frame([(1, "abc" * 20, "", 0)], SCHEMA), 12)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("suffix_texts")]
+    assert out.collect()[0].n_removed == 60
+
+
+def test_split_bytes(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for text, size in (("16m", 16 << 20), ("134217728b", 128 << 20), ("1g", 1 << 30), ("4096", 4096), ("64KB", 64 << 10)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", text)
+            assert split_bytes(spark) == size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_repeated_rows_null_ids_and_no_rows(frame):
     rows = [(None, "q" * 10 + "r" * 30, "", 0)] * 2 + [(1, "s" * 8, "", 0)]
     out = remove_repeats(frame(rows, SCHEMA), 12).collect()
