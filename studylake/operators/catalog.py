@@ -489,6 +489,35 @@ def dataset_variables(
     return links.select("version_id", "variable_id").join(described, "variable_id")
 
 
+def datasets_described(
+    assets: DataFrame, versions: DataFrame, links: DataFrame, variables: DataFrame, vocabularies: DataFrame | None = None,
+    include_versions: bool = False,
+) -> DataFrame:
+    """Datasets with their latest version, or all of them, and its variables as one list, in table order and then by name.
+
+    `links(version_id, variable_id[, ordinal, keyrole])`; what a link does not say about its key role the variable does. With
+    `vocabularies` (a `vocabulary_items_nested` result) each variable has its items. A version without variables has an empty list.
+    The list of a version is one cell.
+    """
+    described = variables if vocabularies is None else with_vocabulary(variables, vocabularies)
+    own = lambda name: F.col(f"l.{name}") if name in links.columns else F.lit(None)
+    given = lambda name: F.col(f"v.{name}") if name in described.columns else F.lit(None)
+    entry = F.struct(
+        own("ordinal").cast("int").alias("ordinal"), F.col("v.name").alias("name"), F.col("v.variable_id").alias("variable_id"),
+        given("value_type_id").cast("int").alias("value_type_id"), given("value_format").cast("string").alias("value_format"),
+        F.coalesce(own("keyrole"), given("keyrole")).cast("string").alias("keyrole"), given("description").cast("string").alias("description"),
+        *([F.col("v.items").alias("items")] if vocabularies is not None else []),
+    )
+    listed = links.alias("l").join(described.alias("v"), F.col("l.variable_id") == F.col("v.variable_id")).select("l.version_id", entry.alias("variable"))
+    # Without an ordinal a variable comes last, as NULL sorts first.
+    placed = F.struct(F.coalesce("variable.ordinal", F.lit(2**31 - 1)).alias("at"), F.col("variable.name").alias("name"), "variable")
+    lists = listed.groupBy("version_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+    found = study_versions(assets, versions, "dataset", include_versions).join(lists, "version_id", "left")
+    kind = listed.schema["variable"].dataType.simpleString()
+    nested = F.coalesce(F.transform("placed", lambda x: x["variable"]), F.array().cast(f"array<{kind}>"))
+    return found.select("asset_id", "study_id", "name", "version_id", *VERSION, nested.alias("variables"))
+
+
 # --- provenance -----------------------------------------------------------------------------------------------
 
 def study_transformations(

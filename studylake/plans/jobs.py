@@ -361,6 +361,14 @@ def eav_to_dataset(
     return lake.spark.read.parquet(location)
 
 
+def describe_datasets(lake: StudyLake, study: str, include_versions: bool = False) -> DataFrame:
+    """The study's datasets with their latest version, or all of them, its variables and those variables' vocabulary items."""
+    study_id, state = lake.study_id(study), lake.catalog()
+    own = state["assets"].where(F.col("study_id") == study_id)
+    nested = catalog.vocabulary_items_nested(state["vocabularies"], state["vocabulary_items"])
+    return catalog.datasets_described(own, state["asset_versions"], state["dataset_variables"], state["variables"], nested, include_versions)
+
+
 def query_to_dataset(
     lake: StudyLake,
     study: str,

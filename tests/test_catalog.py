@@ -233,3 +233,23 @@ def test_hot_asset(spark):
     latest = cat.latest_versions(versions)
     assert latest.where("asset_id = 0").first().patch == 59997
     assert "Window" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_datasets_described(frame):
+    assets = frame([(1, 7, "a", "dataset"), (2, 7, "f", "file"), (3, 8, "b", "dataset")], "asset_id bigint, study_id bigint, name string, asset_type string")
+    versions = frame(
+        [(10, 1, 1, 0, 0, False), (11, 1, 1, 1, 0, True), (20, 2, 1, 0, 0, True), (30, 3, 1, 0, 0, True)],
+        "version_id bigint, asset_id bigint, major int, minor int, patch int, is_latest boolean",
+    )
+    links = frame([(11, 1, 2, None), (11, 2, 1, "record"), (11, 3, None, None), (10, 1, 1, "none")], "version_id bigint, variable_id bigint, ordinal int, keyrole string")
+    variables = frame(
+        [(1, 5, "x", 7, "none", 100), (2, 5, "y", 1, "none", None), (3, 5, "w", 1, "external", None)],
+        "variable_id bigint, domain_id bigint, name string, value_type_id int, keyrole string, vocabulary_id bigint",
+    )
+    nested = cat.vocabulary_items_nested(frame([(100, "v")], "vocabulary_id bigint, name string"), frame([(100, 1, "N", None)], "vocabulary_id bigint, value bigint, code string, description string"))
+    found = {r.version_id: r for r in cat.datasets_described(assets, versions, links, variables, nested).collect()}
+    assert [(v.name, v.ordinal, v.keyrole, [i.code for i in v["items"]]) for v in found[11].variables] == [
+        ("y", 1, "record", []), ("x", 2, "none", ["N"]), ("w", None, "external", []),
+    ]
+    assert found[30].variables == [] and set(found) == {11, 30}
+    assert set(r.version_id for r in cat.datasets_described(assets, versions, links, variables, include_versions=True).collect()) == {10, 11, 30}

@@ -461,5 +461,8 @@ def test_who_made_a_version(described, tmp_path):
     path = tmp_path / "export.csv"
     path.write_text(EXPORT)
     jobs.eav_to_dataset(described, "My study", "visits_eav", str(path), multi_line=True)
+    (dataset,) = jobs.describe_datasets(described, "My study").collect()
+    assert (dataset.name, dataset.major) == ("visits", 1) and {v.name for v in dataset.variables} == {"age", "seen", "sex", "signs"}
+    assert [i.code for v in dataset.variables if v.name == "sex" for i in v["items"]]
     asset, version = described.table("assets").first(), described.table("asset_versions").first()
     assert asset.created_by and asset.created_by == version.created_by and asset.date_created is not None

@@ -271,6 +271,20 @@ def _(x):
     return cat.study_versions(x.cat_assets, x.raw_versions, "dataset", details=x.cat_dataset_variables)
 
 
+@query(
+    "datasets_described",
+    f"""SELECT a.asset_id, study_id, a.name, v.version_id, major, minor, patch, COUNT(d.variable_id) AS n_variables,
+    COALESCE(string_agg(x.name || ':' || x.value_type_id, '; ' ORDER BY d.variable_id % 3, x.name), '') AS variables
+    FROM cat_assets a JOIN ({LATEST}) v ON v.asset_id = a.asset_id LEFT JOIN cat_dataset_variables d ON d.version_id = v.version_id
+    LEFT JOIN cat_variables x ON x.variable_id = d.variable_id WHERE asset_type = 'dataset' GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+)
+def _(x):
+    links = x.cat_dataset_variables.withColumn("ordinal", (F.col("variable_id") % 3).cast("int"))
+    found = cat.datasets_described(x.cat_assets, x.raw_versions, links, x.cat_variables)
+    text = F.array_join(F.transform("variables", lambda v: F.concat(v["name"], F.lit(":"), v["value_type_id"].cast("string"))), "; ")
+    return found.withColumns({"n_variables": F.size("variables").cast("bigint"), "variables": text})
+
+
 VOCABULARIES = "SELECT DISTINCT p_type AS vocabulary FROM part UNION SELECT p_brand FROM part"
 
 
