@@ -1,15 +1,17 @@
 """Operator 4: licence scan with a positional index of rare words.
 
-Templates are short licence texts, each with a phrase that must stand there word for word. The index holds, for each licence word,
-the templates and positions it stands at. Document frequencies of all licence words are counted over the whole corpus; of each
-template's phrase the word of highest inverse document frequency is looked up in each file. Where it stands, the template's
-other words are looked for at the same relative positions, and the place counts if the whole phrase is there. So no place of a
-phrase is missed: a file without the phrase's rarest word cannot hold the phrase.
+Templates are licence texts, short ones and whole ones, each with a phrase that must stand there word for word. The index holds, for
+each licence word, the templates and positions it stands at. Document frequencies of all licence words are counted over the whole
+corpus. Each file then ranks its own licence words by inverse document frequency over their places in the file: a word the file
+repeats often is looked up last. For each template whose phrase words the file holds, all of them, the phrase word of highest rank
+in that file is looked up; from its places the template's other words are looked for at the same relative positions, and the place
+counts if the whole phrase is there. So no place of a phrase is missed, whatever word leads to it.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from studylake.llm.bytetext import ALNUM, U64, Sums, arrow_bytes, lower_ascii, slices, word_spans
 from studylake.llm.common import materialize, pick
+from studylake.llm.licence_texts import WHOLE
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,11 @@ class Template:
     phrase: str
 
 
+def template_words(text: str) -> list[str]:
+    """Words of a template's text or phrase, by the rule for files."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
 #: Phrases whose places are counted, with their labels.
 BASE = (
     Template("mit", "mit license", "mit license"),
@@ -58,32 +66,36 @@ TEMPLATES = (
     Template("cc", "licensed under a creative commons attribution license", "creative commons attribution"),
     Template("public-domain", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     Template("reserved", "all rights reserved", "all rights reserved"),
+    *(Template(*whole) for whole in WHOLE),
 )
 
 
+#: Places that are compared with a template at once.
+CANDIDATES = 4096
+
+
 class Index:
     """Licence words by fingerprint, and each template as numbers of words with the place of its phrase."""
 
     def __init__(self, base: tuple[Template, ...] = BASE, templates: tuple[Template, ...] = TEMPLATES):
         self.base, self.all = len(base), (*base, *templates)
-        words = sorted({w for t in self.all for w in t.text.split()})
+        texts, phrases = [template_words(t.text) for t in self.all], [template_words(t.phrase) for t in self.all]
+        words = sorted({w for text in texts for w in text})
         raw = [w.encode() for w in words]
         buf, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
         keys = Sums(buf).spans(at[:-1], at[1:])
         order = np.argsort(keys)
         self.keys, self.words = keys[order], [words[i] for i in order]
         number = {w: i for i, w in enumerate(self.words)}
-        self.numbers = [np.array([number[w] for w in t.text.split()]) for t in self.all]
+        self.numbers = [np.array([number[w] for w in text]) for text in texts]
         self.phrases = []
-        for t in self.all:
-            own, phrase = t.text.split(), t.phrase.split()
+        for own, phrase in zip(texts, phrases):
             self.phrases.append(next((i, i + len(phrase)) for i in range(len(own)) if own[i : i + len(phrase)] == phrase))
-        self.anchors = [a for a, _ in self.phrases]
+        self.rarity = np.zeros(len(self.words))
 
     def weigh(self, holding: dict[int, int], documents: int) -> None:
-        """Choose each template's word to look up: of its phrase, the one fewest documents hold; of equals the first."""
-        rarity = [math.log((documents + 1) / (holding.get(i, 0) + 1)) for i in range(len(self.words))]
-        self.anchors = [max(range(a, b), key=lambda j, n=n: (rarity[n[j]], -j)) for (a, b), n in zip(self.phrases, self.numbers)]
+        """Inverse document frequency of each licence word."""
+        self.rarity = np.array([math.log((documents + 1) / (holding.get(i, 0) + 1)) for i in range(len(self.words))])
 
     def numbered(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the licence word or -1, text) of each word."""
@@ -103,18 +115,38 @@ class Index:
         hits = np.flatnonzero(number >= 0)
         by_word = hits[np.argsort(number[hits], kind="stable")]
         edges = np.searchsorted(number[by_word], np.arange(len(self.words) + 1))
-        for t, (words, (a, b), anchor) in enumerate(zip(self.numbers, self.phrases, self.anchors)):
-            at = by_word[edges[words[anchor]] : edges[words[anchor] + 1]]
-            if not len(at):
-                continue
-            spots = at[:, None] - anchor + np.arange(len(words))
-            inside = (spots >= 0) & (spots < len(number))
-            spots = np.clip(spots, 0, len(number) - 1)
-            inside &= rows[spots] == rows[at][:, None]
-            equal = inside & (number[spots] == words)
-            found = equal[:, a:b].all(1)
-            if found.any():
-                yield t, at[found] - anchor + a, equal[found].mean(1)
+        # Each word's files, ascending, with its places in each.
+        held = {}
+        for w in np.flatnonzero(np.diff(edges)).tolist():
+            held[w] = np.unique(rows[by_word[edges[w] : edges[w + 1]]], return_counts=True)
+        for t, (words, (a, b)) in enumerate(zip(self.numbers, self.phrases)):
+            for at in self._candidates(words[a:b], held, rows, by_word, edges):
+                # `at`: where the phrase would start.
+                spots = at[:, None] - a + np.arange(len(words))
+                inside = (spots >= 0) & (spots < len(number))
+                spots = np.clip(spots, 0, len(number) - 1)
+                inside &= rows[spots] == rows[np.clip(at, 0, len(number) - 1)][:, None]
+                equal = inside & (number[spots] == words)
+                found = equal[:, a:b].all(1)
+                if found.any():
+                    yield t, at[found], equal[found].mean(1)
+
+    def _candidates(self, phrase: np.ndarray, held: dict, rows: np.ndarray, by_word: np.ndarray, edges: np.ndarray):
+        """Where a phrase may start, by the word each file with all of its words ranks highest: a bounded number at a time."""
+        if any(w not in held for w in phrase.tolist()):
+            return
+        files = held[phrase[0]][0]
+        for w in phrase[1:]:
+            files = files[np.isin(files, held[w][0], assume_unique=True)]
+        if not len(files):
+            return
+        rank = np.stack([self.rarity[w] - np.log(held[w][1][np.searchsorted(held[w][0], files)]) for w in phrase])
+        chosen = rank.argmax(0)
+        for j in np.unique(chosen).tolist():
+            at = by_word[edges[phrase[j]] : edges[phrase[j] + 1]]
+            at = at[np.isin(rows[at], files[chosen == j])] - j
+            for first in range(0, len(at), CANDIDATES):
+                yield at[first : first + CANDIDATES]
 
 
 _ARROW_COUNTS = pa.schema([("word", pa.int32()), ("holding", pa.int64())])

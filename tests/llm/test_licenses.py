@@ -3,7 +3,11 @@
 import random
 import re
 
-from studylake.llm.licenses import BASE, TEMPLATES, licenses
+import numpy as np
+
+from studylake.llm.bytetext import arrow_bytes
+from studylake.llm.licence_texts import WHOLE
+from studylake.llm.licenses import BASE, TEMPLATES, Index, Template, licenses
 from studylake.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, n_words long, labels string"
@@ -15,7 +19,7 @@ def words_of(text):
 
 
 def places(words, phrase):
-    phrase = phrase.split()
+    phrase = words_of(phrase)
     return [i for i in range(len(words) - len(phrase) + 1) if words[i : i + len(phrase)] == phrase]
 
 
@@ -36,7 +40,7 @@ def found(df):
 
 def test_equals_plain_reading(frame):
     rng = random.Random(2)
-    vocabulary = sorted({w for t in TEMPLATES for w in t.text.split()}) + ["É", "x1"]
+    vocabulary = sorted({w for t in TEMPLATES for w in words_of(t.text)}) + ["É", "x1"]
     texts = [None, "", "?!", "MIT License", "mit-license MIT\nLICENSE mit", "GNU General Public License general public license", "Mit Lizenz", "license mit"]
     texts += [t.text for t in TEMPLATES] + ["mit license " * 20_000, "general public", "the apache LICENSE, Version 2.0 or the MIT license"]
     for _ in range(200):
@@ -61,3 +65,31 @@ def test_query_over_the_whole_table(spark):
     out = QUERIES["op4_license_scan"](spark, sf_dir)
     assert found(out) == [plainly(d.text) for d in docs]
     assert any(r.n_base for r in out.collect())
+
+
+def test_each_file_looks_up_the_word_it_holds_least(monkeypatch):
+    import pyarrow as pa
+
+    index = Index((Template("x", "mit license", "mit license"),), ())
+    texts = ["mit " * 50 + "license", "license " * 50 + "mit license", "mit mit mit", "license mit license mit"]
+    buf, at = arrow_bytes(pa.array(texts))
+    number, rows = index.numbered(buf, at)
+    # Both words are equally rare in the corpus, so the places in the file decide.
+    index.weigh({i: 4 for i in range(len(index.words))}, 4)
+    looked_up = []
+    candidates = index._candidates
+    monkeypatch.setattr(index, "_candidates", lambda *given: (looked_up.append(c) or c for c in candidates(*given)))
+    found = {int(rows[w]): int(w - np.searchsorted(rows, rows[w])) for _, ws, _ in index.places(number, rows) for w in ws}
+    assert found == {0: 49, 1: 50, 3: 1}
+    # One place of `license` in the first file, one of `mit` in the second, two of either in the last; the third lacks a word.
+    assert sum(map(len, looked_up)) == 4
+
+
+def test_whole_texts(frame):
+    rows = [(i, "Copyright 2020 somebody\n\n" + text, 0, "") for i, (_, text, _) in enumerate(WHOLE)]
+    # A text cut after its first two thirds is known by its phrase if that is there, with a smaller share of its words.
+    cut = words_of(WHOLE[0][1])[:100]
+    out = licenses(frame([*rows, (len(rows), " ".join(cut), 0, "")], SCHEMA), templates=tuple(Template(*w) for w in WHOLE)).orderBy("doc_id").collect()
+    for r, (label, _, _) in zip(out, WHOLE):
+        assert label in r.labels.split(",") and r.score == 1
+    assert out[-1].labels == "mit" and abs(out[-1].score - len(cut) / len(words_of(WHOLE[0][1]))) < 1e-12
