@@ -188,3 +188,13 @@ def test_samples_are_bounded_and_leave_held_out_rows_alone(spark):
     labels = docs.selectExpr("doc_id", "1 AS toxic").union(docs.selectExpr("doc_id", "1"))
     both = labelled_texts(docs, labels, "toxic", 100)
     assert 60 < len(both) <= 200 and not any(out_of_fold(int(t[1:])) for t, _ in both)
+
+
+def test_rare_labels_are_sampled_whole(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 6000 = 0, 'zz', if(id % 2 = 0, 'aa', 'bb')) AS lang")
+    sample = training_texts(docs, "lang", 400)
+    count = {lang: sum(x == lang for _, x in sample) for lang in ("aa", "bb", "zz")}
+    rare = [i for i in range(0, 60_000, 6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(t for t, lang in sample if lang == "zz") == sorted(f"t{i}" for i in rare)
+    assert 80 <= count["aa"] <= 200 and 80 <= count["bb"] <= 200
+    assert sample == training_texts(docs.repartition(5), "lang", 400)
