@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,19 +29,11 @@ EDAM_FORMATS = {
 }
 
 
-def empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Files of no bytes below `path`, which Spark's own file scan passes over."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for status in store.globStatus(top) or []:
-        below = store.listFiles(status.getPath(), True)
-        while below.hasNext():
-            entry = below.next()
-            if entry.getLen() == 0:
-                found.append(entry.getPath().toString())
-    return [uri for uri in found if not uri.rsplit("/", 1)[-1].startswith(("_", "."))]
+def empty_files(files: DataFrame) -> DataFrame:
+    """`path` of the files without bytes, which a scan lists but passes over: those that give no row."""
+    # Both spell a path without a host in their own way.
+    listed = local_rows(files.sparkSession, [(re.sub("^([^:/]+):///", r"\1:/", unquote(uri)),) for uri in files.inputFiles()], "path string")
+    return listed.join(files.select("path"), "path", "left_anti")
 
 
 def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -52,7 +45,7 @@ def scan_files(spark: SparkSession, path: str, cell_bytes: int = CELL_BYTES) ->
     name = F.substring_index("path", "/", -1)
     extension = F.regexp_extract(name, r"(\.[^.]+)$", 1)
     nothing = hashlib.sha256(b"").hexdigest()
-    empty = local_rows(spark, [(uri, 0, nothing) for uri in empty_files(spark, path)], "path string, length bigint, digest string")
+    empty = empty_files(files).select("path", F.lit(0).cast("bigint").alias("length"), F.lit(nothing).alias("digest"))
     return small.unionByName(streamed).unionByName(empty).select(
         F.col("path").alias("storage_uri"), name.alias("file_name"), extension.alias("extension"), "length", "digest"
     )

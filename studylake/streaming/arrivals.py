@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,20 @@ from studylake.sources.readers import scan_eav_csv
 
 
 def arriving_files(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the paths and first lines of CSV files as they land."""
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    """Stream of the paths of CSV files as they land; nothing of them is read."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    header = F.substring_index(F.substring_index(F.col("content").cast("string"), "\n", 1), "\r", 1)
-    return files.schema(schema).load(folder).select("path", header.alias("header"))
+    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
+    return files.schema(schema).load(folder).select("path")
+
+
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """`path, header` of text files. Only the first block of a file is looked at, line by line, so a file may be of any size."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), "value",
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # A block is read in order by one task, so its first line has the smallest number.
+    return lines.where("_start = 0").groupBy("path").agg(F.min_by("value", "_at").alias("header"))
 
 
 def collect_exports(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 1000):
@@ -27,8 +38,9 @@ def collect_exports(spark: SparkSession, folder: str, target: str, checkpoint: s
 
     def store(batch: DataFrame, batch_id: int) -> None:
         by_header: dict[str, list[str]] = {}
-        for row in batch.collect():  # at most `files_per_batch` names and headers
-            by_header.setdefault(row.header, []).append(row.path)
+        paths = [row.path for row in batch.collect()]  # at most `files_per_batch` names, then as many headers
+        for row in first_lines(batch.sparkSession, paths).collect() if paths else []:
+            by_header.setdefault(row.header, []).append(unquote(row.path))
         rows = [scan_eav_csv(batch.sparkSession, paths) for _, paths in sorted(by_header.items())]
         if rows:
             reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")

@@ -10,7 +10,7 @@ from studylake.operators.reconcile import assert_same_rows
 from studylake.plans import jobs
 from studylake.plans.store import StudyLake
 from studylake.sources import files, readers, writers
-from studylake.streaming.arrivals import collect_exports, collected_exports
+from studylake.streaming.arrivals import collect_exports, collected_exports, first_lines
 from studylake.types import CATEGORY, DATETIME, FLOAT, INTEGER, STRING, Variable
 
 DICTIONARY = [
@@ -228,9 +228,11 @@ def test_code_list_that_became_empty(lake, frame):
 def test_large_files_are_hashed_as_streams(spark, tmp_path):
     (tmp_path / "a b.bin").write_bytes(bytes(range(256)) * 100)
     (tmp_path / "c.bin").write_bytes(b"")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "d +%20é.bin").write_bytes(b"")
     whole = {r.file_name: (r.length, r.digest) for r in files.scan_files(spark, str(tmp_path)).collect()}
     streamed = {r.file_name: (r.length, r.digest) for r in files.scan_files(spark, str(tmp_path), cell_bytes=100).collect()}
-    assert whole["c.bin"] == (0, hashlib.sha256(b"").hexdigest()) and set(whole) == {"a b.bin", "c.bin"}
+    assert whole["c.bin"] == (0, hashlib.sha256(b"").hexdigest()) and set(whole) == {"a b.bin", "c.bin", "d +%20é.bin"}
     assert whole == streamed
     stored = files.scan_files(spark, str(tmp_path)).withColumn("digest", F.upper("digest"))
     assert files.verify_digests(stored, files.scan_files(spark, str(tmp_path))).count() == 0
@@ -299,7 +301,7 @@ def test_arriving_exports(spark, tmp_path):
     collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
     (folder / "2.csv").write_text('record,field_name,value\n2,a,"y\nz"\n')
     collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
-    (folder / "3.csv").write_text("record,redcap_event_name,field_name,value\n3,base,age,30\n")
+    (folder / "3 +a%20.csv").write_text("record,redcap_event_name,field_name,value\n3,base,age,30\n")
     (folder / "4.csv").write_text("value,record,field_name\n31,4,age\n")
     collect_exports(spark, str(folder), target, checkpoint).awaitTermination()
     assert sorted(tuple(r) for r in collected_exports(spark, target).collect()) == [
@@ -307,6 +309,20 @@ def test_arriving_exports(spark, tmp_path):
     ]
 
 
+def test_first_lines_of_files_in_many_blocks(spark, tmp_path):
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"head,{i}\n" + "".join(f"{j},row\n" for j in range(500)))
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "long.csv").write_text("x" * 3000 + "\r\nrow\r\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        found = {r.path.rsplit("/", 1)[1]: r.header for r in first_lines(spark, [str(p) for p in tmp_path.iterdir()]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found == {"0.csv": "head,0", "1.csv": "head,1", "2.csv": "head,2", "long.csv": "x" * 3000}
+
+
 def test_query_reader_conforms_to_variables(spark, frame):
     frame([("1", "2.5", "x")], "a string, b string, c string").createOrReplaceTempView("texts")
     result = readers.read_query(spark, "SELECT * FROM texts")
