@@ -5,8 +5,8 @@ tables there are. Columns are numbered from the schemas; only those numbers, nam
 
 - **References.** Equal values meet once: each value gives the set of columns that hold it. Different sets are few compared with
   values. What a column's sets have in common, as bits, are the columns that hold all of its values.
-- **Keys.** Level by level: combinations whose approximate distinct count is far from the row count are no keys; those left are counted
-  exactly; a combination that contains a key is not looked at again.
+- **Keys.** Level by level: equal rows are first looked for in one slice of the values by hash, which holds all rows of a value or none,
+  so a combination that repeats there is no key; those left are counted in full; a combination that contains a key is not looked at again.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ BATCH = 32
 LONG = 64
 #: Columns that share one number of a bit set.
 WORD = 62
-#: Relative error of a sketch; a combination this many errors below the row count is no key.
-SKETCH_ERROR, SKETCH_ERRORS = 0.05, 6
+#: A combination is first looked at in one slice of its values out of so many.
+SLICES = 256
 KINDS = ("integer", "text")
 
 
@@ -147,42 +147,45 @@ def _key_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def _combined(df: DataFrame, level: Sequence[Combination], hashes: str) -> DataFrame:
-    """A row for each row and combination: its place in `level` and hashes of the row's values; NULL where one of them is.
+def _combined(df: DataFrame, level: Sequence[Combination]) -> DataFrame:
+    """A row for each row and combination of columns without NULL: its place in `level` and two hashes of the row's values.
 
     Each column is hashed once, however many combinations it is part of.
     """
     names = list(dict.fromkeys(name for combination in level for name in combination))
     at = {name: i for i, name in enumerate(names)}
-    hashed = df.select(
-        *[F.when(_quoted(n).isNotNull(), F.xxhash64(F.lit(seed), _quoted(n))).alias(f"{h}{i}") for n, i in at.items() for seed, h in enumerate(hashes)]
-    )
+    hashed = df.select(*[F.xxhash64(F.lit(seed), _quoted(n)).alias(f"{h}{i}") for n, i in at.items() for seed, h in enumerate("xy")])
     entries = []
     for place, combination in enumerate(level):
-        whole = reduce(lambda a, b: a & b, [F.col(f"{hashes[0]}{at[name]}").isNotNull() for name in combination])
-        values = [F.when(whole, F.xxhash64(*[F.col(f"{h}{at[name]}") for name in combination])).alias(h) for h in hashes]
+        values = [F.xxhash64(*[F.col(f"{h}{at[name]}") for name in combination]).alias(h) for h in "xy"]
         entries.append(F.struct(F.lit(place).alias("place"), *values))
     return hashed.select(F.inline(F.array(*entries)))
 
 
-def _sketches(tables: Mapping[str, DataFrame], wanted: Mapping[str, Sequence[Combination]]) -> DataFrame:
-    """(table_name, place, n, whole, about): rows, rows without NULL in the combination, and about how many different ones."""
+def _sizes(tables: Mapping[str, DataFrame], usable: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(table_name, n, filled): rows, and rows without NULL of each of the columns."""
     parts = [
-        _combined(tables[name], level, "x").groupBy("place")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("whole"), F.approx_count_distinct("x", SKETCH_ERROR).alias("about"))
-        .select(F.lit(name).alias("table_name"), "place", "n", "whole", "about")
-        for name, level in wanted.items()
+        tables[name].agg(F.count(F.lit(1)).alias("n"), F.array(*[F.count(_quoted(c)) for c in columns]).cast("array<bigint>").alias("filled"))
+        .select(F.lit(name).alias("table_name"), "n", "filled")
+        for name, columns in usable.items()
     ]
-    return stacked(parts, "key-sketches")
+    return stacked(parts, "table-sizes")
 
 
-def _repeating(tables: Mapping[str, DataFrame], wanted: Mapping[str, Sequence[Combination]]) -> set[tuple[str, Combination]]:
-    """Combinations with two equal rows, by exact counting."""
-    parts = [_combined(tables[name], level, "xy").select(F.lit(name).alias("table_name"), "place", "x", "y") for name, level in wanted.items()]
+def _repeating(tables: Mapping[str, DataFrame], wanted: Mapping[str, Sequence[Combination]], slices: int = 1) -> set[tuple[str, Combination]]:
+    """Combinations with two equal rows, by exact counting: of all values, or of one slice of the values out of `slices`."""
+    parts = [_combined(tables[name], level).select(F.lit(name).alias("table_name"), "place", "x", "y") for name, level in wanted.items()]
+    if slices > 1:
+        parts = [part.where(F.pmod("x", F.lit(slices)) == 0) for part in parts]
     counted = stacked(parts, "key-values").groupBy("table_name", "place", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     return {(row.table_name, wanted[row.table_name][row.place]) for row in counted.where("n > 1").select("table_name", "place").distinct().collect()}
 
 
+def _without(wanted: Mapping[str, Sequence[Combination]], repeating: set[tuple[str, Combination]]) -> dict[str, list[Combination]]:
+    left = {name: [c for c in level if (name, c) not in repeating] for name, level in wanted.items()}
+    return {name: level for name, level in left.items() if level}
+
+
 def unique_combinations(tables: Mapping[str, DataFrame], width: int = 2) -> DataFrame:
     """`table_name, key_columns, n` of the smallest combinations of up to `width` columns in which all rows differ.
 
@@ -192,8 +195,11 @@ def unique_combinations(tables: Mapping[str, DataFrame], width: int = 2) -> Data
     spark = next(iter(tables.values())).sparkSession
     found: list[tuple[str, list[str], int]] = []
     known: dict[str, list[frozenset[str]]] = {name: [] for name in tables}
-    # Columns that hold NULL, or nothing, are left out after the first level.
-    usable = {name: _key_columns(df) for name, df in tables.items()}
+    usable = {name: columns for name, df in tables.items() if (columns := _key_columns(df))}
+    # One row a table: bounded by the schemas.
+    sizes = {row.table_name: row for row in _sizes(tables, usable).collect()} if usable else {}
+    # Columns that hold NULL, or nothing, are left out.
+    usable = {name: [c for c, filled in zip(columns, sizes[name].filled) if filled == sizes[name].n > 0] for name, columns in usable.items()}
     for size in range(1, width + 1):
         wanted = {
             name: [c for c in combinations(columns, size) if not any(key <= set(c) for key in known[name])] for name, columns in usable.items()
@@ -201,22 +207,12 @@ def unique_combinations(tables: Mapping[str, DataFrame], width: int = 2) -> Data
         wanted = {name: level for name, level in wanted.items() if level}
         if not wanted:
             break
-        # One row a combination: bounded by the schemas.
-        rows = _sketches(tables, wanted).collect()
-        likely: dict[str, list[Combination]] = {}
-        sizes = {row.table_name: row.n for row in rows}
-        if size == 1:
-            filled = {(row.table_name, wanted[row.table_name][row.place][0]) for row in rows if row.whole == row.n}
-            usable = {name: [c for c in columns if (name, c) in filled] for name, columns in usable.items()}
-        for row in rows:
-            if row.whole == row.n and row.about >= row.n * (1 - SKETCH_ERRORS * SKETCH_ERROR):
-                likely.setdefault(row.table_name, []).append(wanted[row.table_name][row.place])
+        # Two equal rows are in the same slice, so one that holds a pair settles the matter; whoever passes is counted in full.
+        likely = _without(wanted, _repeating(tables, wanted, SLICES))
         if not likely:
             continue
-        repeating = _repeating(tables, likely)
-        for name, level in likely.items():
+        for name, level in _without(likely, _repeating(tables, likely)).items():
             for names in level:
-                if (name, names) not in repeating:
-                    known[name].append(frozenset(names))
-                    found.append((name, list(names), sizes[name]))
+                known[name].append(frozenset(names))
+                found.append((name, list(names), sizes[name].n))
     return local_rows(spark, found, "table_name string, key_columns array<string>, n bigint")

@@ -88,6 +88,21 @@ def test_nearly_a_key_is_none(spark):
     assert found == {("id",), ("nearly", "five")}
 
 
+def test_what_repeats_in_a_slice_is_not_counted_in_full(spark, monkeypatch):
+    """A column with one repeat in twenty values passes for a key by its approximate count, but not in a slice of its values."""
+    rows = spark.range(20_000).select("id", (F.col("id") % 19_000).alias("often"), F.lit(1).alias("one"), F.lit(None).cast("int").alias("none"))
+    counted, repeating = [], disc._repeating
+
+    def recorded(tables, wanted, slices=1):
+        if slices == 1:
+            counted.extend(c for level in wanted.values() for c in level)
+        return repeating(tables, wanted, slices)
+
+    monkeypatch.setattr(disc, "_repeating", recorded)
+    assert [tuple(r.key_columns) for r in disc.unique_combinations({"t": rows, "empty": rows.limit(0)}).collect()] == [("id",)]
+    assert ("id",) in counted and ("often",) not in counted
+
+
 def test_many_tables_go_in_batches(spark):
     tables = {f"t{i}": spark.range(i, i + 3).select(F.col("id").cast("int").alias("k")) for i in range(70)}
     frame = disc.stacked([df.withColumn("t", F.lit(name)) for name, df in tables.items()], "stacked")
