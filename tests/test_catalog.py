@@ -253,3 +253,17 @@ def test_datasets_described(frame):
     ]
     assert found[30].variables == [] and set(found) == {11, 30}
     assert set(r.version_id for r in cat.datasets_described(assets, versions, links, variables, include_versions=True).collect()) == {10, 11, 30}
+
+
+def test_provenance_is_counted_without_copies_of_each_row(spark, tmp_path):
+    import __spark_entry__
+
+    spark.sql("SELECT s_suppkey, concat('s', s_suppkey) AS s_name FROM VALUES (0L), (1L), (5L), (null) AS t(s_suppkey)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql(
+        "SELECT * FROM VALUES (0L, 1L, 'R'), (0L, 1L, 'R'), (0L, 2L, 'N'), (5L, 2L, 'N'), (5L, 3L, 'A'), (1L, null, 'R'), (1L, 9L, 'N'), (8L, 4L, 'R')"
+        " AS t(l_suppkey, l_orderkey, l_returnflag)"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    counted = __spark_entry__.queries()["record_provenance"](spark, str(tmp_path))
+    found = {r.transformation_type: (r.n, r.n_inputs, r.n_outputs) for r in counted.collect()}
+    assert found == {"ingest": (4, 3, 2), "transform": (2, 1, 1), "repository": (0, 0, 0)}
+    assert "Expand" not in counted._jdf.queryExecution().optimizedPlan().toString()

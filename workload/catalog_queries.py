@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from studylake import types as VT
 from studylake.operators import catalog as cat
+from studylake.session import spread
 from workload.dictionary_queries import items_text, legal_sql
 from workload.registry import query
 
@@ -370,10 +371,17 @@ def _(x):
         existing, x.cat_transformations.select(shifted, "transformation_type", "description"),
         x.cat_outputs.select(shifted, "version_id"), x.cat_outputs,
     )
-    reads = new["transformation_inputs"].select("transformation_id", F.col("version_id").alias("i"), F.lit(None).cast("bigint").alias("o"))
-    writes = new["transformation_outputs"].select("transformation_id", F.lit(None).cast("bigint").alias("i"), F.col("version_id").alias("o"))
-    return new["transformations"].join(reads.unionByName(writes), "transformation_id", "left").groupBy("transformation_type").agg(
-        F.count_distinct("transformation_id").alias("n"), F.count_distinct("i").alias("n_inputs"), F.count_distinct("o").alias("n_outputs")
+    kinds = new["transformations"].select("transformation_type", "transformation_id")
+    edges = [
+        new[f"transformation_{name}"].select("transformation_id", F.lit(name).alias("counted"), F.col("version_id").alias("value"))
+        for name in ("inputs", "outputs")
+    ]
+    edges = kinds.join(edges[0].unionByName(edges[1]), "transformation_id").select("transformation_type", "counted", "value")
+    ids = kinds.select("transformation_type", F.lit("ids").alias("counted"), F.col("transformation_id").alias("value"))
+    # Each value once, in one grouping of narrow rows: three distinct counts side by side would copy every row three times.
+    each = spread(edges.unionByName(ids), "transformation_type", "counted", "value").distinct()
+    return each.groupBy("transformation_type").agg(
+        *[F.count(F.when(F.col("counted") == name, F.col("value"))).alias(out) for name, out in (("ids", "n"), ("inputs", "n_inputs"), ("outputs", "n_outputs"))]
     )
 
 
