@@ -162,3 +162,12 @@ def test_recoding_between_vocabularies(frame):
     assert sorted(map(tuple, har.class_conflicts(merged).collect())) == [(1, 1, 2, 1, 2), (1, 3, 2, 4, 5)]
     with pytest.raises(Exception, match="several counterparts of 10"):
         har.recode_between(data, "code", merged, 1, 3, "new").collect()
+
+
+def test_asset_entities_keep_their_partitions(frame):
+    """Adaptive execution would merge them by bytes, into one here."""
+    used = frame([(1, 7, "a"), (1, 7, "a"), (1, 8, "a"), (2, 7, None), (None, 7, "a")], "asset int, study int, person string")
+    people = frame([(7, "a", 70), (8, "a", 80), (8, "a", 80), (7, None, 71)], "study_id bigint, external_id string, instance_id bigint")
+    links = har.asset_entities(used, "asset", "person", people, study_id="study")
+    assert sorted((r.asset_id or 0, r.entity_instance_id) for r in links.collect()) == [(0, 70), (1, 70), (1, 80)]
+    assert links.rdd.getNumPartitions() >= 32
