@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions.values import cast_integer, typed_columns
+from studylake.session import spread
 from studylake.types import Variable
 
 RECORD = ("record",)
@@ -45,7 +46,7 @@ def multi_fields(eav: DataFrame, keys: Sequence[str] = RECORD) -> DataFrame:
 def single_rows(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Rows of the fields that are never multi-valued."""
     multi = multi_fields(eav) if multi is None else multi
-    return _without(eav, multi).select(*eav.columns)
+    return _without(eav, F.broadcast(multi)).select(*eav.columns)
 
 
 def _without(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def _distinct_values(eav: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _join_distinct(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     repeated = F.when(F.col("value").isNotNull(), _written_out(F.col("value"), F.col("n")))
     return (
-        values.withColumn("repeated", repeated).groupBy(*keys, "field_name")
+        spread(values.withColumn("repeated", repeated), *map(_backticked, keys), "field_name").groupBy(*keys, "field_name")
         .agg(F.expr("listagg(repeated, ', ') WITHIN GROUP (ORDER BY value)").alias("value"))
     )
 
@@ -81,8 +82,9 @@ def _written_out(value: Column, n: Column) -> Column:
 def multi_agg(eav: DataFrame, multi: DataFrame | None = None) -> DataFrame:
     """Joined values of the multi-valued fields."""
     multi = multi_fields(eav) if multi is None else multi
-    # Names stand once, so an inner join takes no row twice; a semi join would be moved below a union (see `_without`).
-    return joined_values(eav.join(multi.select("field_name"), "field_name"))
+    # Names stand once, so an inner join takes no row twice; a semi join would be moved below a union (see `_without`). Names are
+    # columns of the wide table and so few; a shuffle by name would leave the whole export to as many tasks as there are fields.
+    return joined_values(eav.join(F.broadcast(multi.select("field_name")), "field_name"))
 
 
 def prepped(eav: DataFrame) -> DataFrame:

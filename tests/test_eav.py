@@ -185,3 +185,18 @@ def test_odd_field_names(frame):
     rows = frame([("1", "a.b", "x"), ("1", "c`d", "y"), ("1", "e f", "2")], EAV_SCHEMA)
     wide = eav.wide_typed(rows, [Variable("a.b", STRING), Variable("c`d", STRING), Variable("e f", INTEGER)])
     assert [tuple(r) for r in wide.collect()] == [(1, "x", "y", 2)]
+
+
+def test_rows_are_not_shuffled_by_field_name(spark, frame):
+    """A few fields would leave a large export to as many tasks; listed values go to more partitions than there are fields."""
+    rows = frame([("1", "a", "x"), ("1", "a", "y"), ("2", "a", None), ("2", "b", "z"), ("3", None, "w"), ("3", None, "v")], "record string, field_name string, value string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = eav.multi_agg(rows)
+        assert found.rdd.getNumPartitions() >= 32
+        assert {tuple(r) for r in found.collect()} == {("1", "a", "x, y"), ("2", "a", None)}
+        for df in (found, eav.single_rows(rows)):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
