@@ -22,6 +22,8 @@ from studylake.session import local_rows
 from studylake.types import CATALOG_SCHEMAS
 
 COMMITS_SCHEMA = "commit_no BIGINT, table_name STRING, location STRING"
+#: Who added a row, and when: NULL for rows that come without them.
+AUDIT_COLUMNS = ("date_created", "created_by")
 
 
 class StudyLake:
@@ -59,7 +61,7 @@ class StudyLake:
         """Write changed catalog tables, check the resulting state, then publish it in one append.
 
         `keys` are the natural keys of the rows that a change adds, alters or removes, where the caller knows them; of a table that is
-        not named there all rows are checked.
+        not named there all rows are checked. Rows need all columns of their table but `AUDIT_COLUMNS`.
         """
         locations = self.locations()
         state = {name: self.table(name, locations) for name in locations}
@@ -70,6 +72,9 @@ class StudyLake:
         for name, df in changes.items():
             location = f"{self.root}/catalog/{name}/{attempt}"
             schema = T.StructType.fromDDL(CATALOG_SCHEMAS[name])
+            given = {c.lower() for c in df.columns}
+            unknown = [f.name for f in schema.fields if f.name in AUDIT_COLUMNS and f.name not in given]
+            df = df.withColumns({c: F.lit(None) for c in unknown}) if unknown else df
             df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.parquet(location)
             written[name] = location
             state[name] = self.spark.read.schema(schema).parquet(location)

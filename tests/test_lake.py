@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from studylake.operators.reconcile import assert_same_rows
@@ -482,3 +483,16 @@ def test_who_made_a_version(described, tmp_path):
     assert [i.code for v in dataset.variables if v.name == "sex" for i in v["items"]]
     asset, version = described.table("assets").first(), described.table("asset_versions").first()
     assert asset.created_by and asset.created_by == version.created_by and asset.date_created is not None
+
+
+def test_rows_without_audit_columns(lake, frame):
+    study = lake.study_id("My study")
+    plain = "asset_id bigint, study_id bigint, name string, description string, asset_type string"
+    lake.commit({"assets": frame([(5, study, "visits", None, "dataset")], plain)})
+    asset = lake.table("assets").first()
+    assert (asset.asset_id, asset.name, asset.date_created, asset.created_by) == (5, "visits", None, None)
+    lake.commit({"assets": frame([(5, study, "visits", None, "dataset", "me")], f"{plain}, Created_By string")})
+    assert lake.table("assets").first().created_by == "me"
+    with pytest.raises(AnalysisException, match="asset_type"):
+        lake.commit({"assets": lake.table("assets").drop("asset_type")})
+    assert lake.table("assets").first().created_by == "me"
